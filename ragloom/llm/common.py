@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -43,7 +44,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    free(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ragloom_path = path
+    return out
+
+
+def free(spark: SparkSession) -> None:
+    """Let the driver's cleaner drop the shuffle files of finished jobs that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of `materialise` that no plan reads any more."""
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._ragloom_path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ship(spark: SparkSession) -> None:
