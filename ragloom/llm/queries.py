@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, jaccard_join, token_store, toxicity
+from . import fm_index, html_wrapper, jaccard_join, multiset_hash, token_store, toxicity
 from .common import read
 
 
@@ -18,17 +18,25 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_text(read(spark, sf_dir, "pages"))
+
+
 def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.report(read(spark, sf_dir, "documents"))
+
+
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return fm_index.digest(found)
 
 
 def queries() -> dict:
-    own = [op3_bit_plane_tokens, op4_toxicity, op8_jaccard_components, op10_fm_decontamination]
+    own = [op3_bit_plane_tokens, op4_toxicity, op5_wrapper_induction, op8_jaccard_components, op9_multiset_fingerprints, op10_fm_decontamination]
     return {f.__name__: f for f in own}
 
 
