@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, html_wrapper, jaccard_join, multiset_hash, token_store, toxicity
+from . import fm_index, html_wrapper, jaccard_join, mixture, multiset_hash, token_attribution, token_store, toxicity
 from .common import read
 
 
+def op2_hierarchical_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.choose(read(spark, sf_dir, "documents"))
+
+
 def op3_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write(read(spark, sf_dir, "documents"))
     return token_store.documents_of(store)
@@ -22,6 +26,10 @@ def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.main_text(read(spark, sf_dir, "pages"))
 
 
+def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_attribution.count(read(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -36,9 +44,9 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op3_bit_plane_tokens, op4_toxicity, op5_wrapper_induction, op8_jaccard_components, op9_multiset_fingerprints, op10_fm_decontamination]
+    own = [op2_hierarchical_mixture, op3_bit_plane_tokens, op4_toxicity, op5_wrapper_induction, op7_token_attribution, op8_jaccard_components, op9_multiset_fingerprints, op10_fm_decontamination]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_hierarchical_mixture": mixture.oracle_sql()}
