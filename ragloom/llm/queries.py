@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, html_wrapper, jaccard_join, mixture, multiset_hash, token_attribution, token_store, toxicity
+from . import fm_index, html_wrapper, jaccard_join, lm_score, mixture, multiset_hash, token_attribution, token_store, toxicity
 from .common import read
 
 
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 def op2_hierarchical_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.choose(read(spark, sf_dir, "documents"))
 
@@ -44,9 +48,9 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op2_hierarchical_mixture, op3_bit_plane_tokens, op4_toxicity, op5_wrapper_induction, op7_token_attribution, op8_jaccard_components, op9_multiset_fingerprints, op10_fm_decontamination]
+    own = [op1_stupid_backoff, op2_hierarchical_mixture, op3_bit_plane_tokens, op4_toxicity, op5_wrapper_induction, op7_token_attribution, op8_jaccard_components, op9_multiset_fingerprints, op10_fm_decontamination]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_hierarchical_mixture": mixture.oracle_sql()}
+    return {"op1_stupid_backoff": lm_score.oracle_sql(), "op2_hierarchical_mixture": mixture.oracle_sql()}
