@@ -9,7 +9,7 @@ shingle under a fixed share of the hash range, so that a query's p lists are nea
 T-occurrence. A query asks for partners that are no smaller than itself. Such a partner must occur in
 T = ceil(8 n / 9) - (n - p) - u of the query's p lists (u: those of the p that the index might lack for a partner). Lists with
 more than LONG entries are long; DivideSkip leaves out the T - 1 longest of them at most, as a partner must
-then still be in T less as many of the others. So passages that many documents share cost nothing, unless a
+then still be in T less as many of the others, and size classes keep out documents that no query could reach. So passages that many documents share cost nothing, unless a
 document consists of little else.
 
 Blocks first. Every involved node goes to the block of its first list, large blocks are dealt into sub-blocks that share
@@ -35,6 +35,8 @@ WORDS = 5
 LONG = 100
 SUB_BLOCK = 64
 INDEX_SHARE = 0.22
+#: Partners' sizes differ by 1.25 times at most, so by one class of this ratio.
+CLASS = 1.26
 NULL_ID = -(2**63)
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -105,8 +107,9 @@ def _sets(batches):
             part = b.slice(s, 512)
             own = [shingles(t, memo) for t in part.column("text").to_pylist()]
             keep = [len(x) > 0 and _set_id(x) == i for x, i in zip(own, part.column("set_id").to_pylist())]
-            rows = [part.column("set_id"), part.column("block"), pa.array([x.tobytes() for x in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(rows, ["set_id", "block", "shingles"]).filter(pa.array(keep, pa.bool_()))
+            names = ["set_id", "block", "leader", "salts"]
+            rows = [*map(part.column, names), pa.array([x.tobytes() for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(rows, [*names, "shingles"]).filter(pa.array(keep, pa.bool_()))
 
 
 def links_of(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -239,17 +242,19 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     nodes = common.materialise(nodes.selectExpr("set_id", "n", "need", "transform(entries, e -> e.key) as keys", "short"), "nodes")
     common.drop(sketch)
 
+    size_class = f"cast(floor(ln(n) / ln({CLASS})) as int)"
     asked = common.materialise(nodes.select("set_id", "n", "need", F.explode("short").alias("key")), "asked")
-    index = nodes.select("set_id", "n", F.explode("keys").alias("key"))
-    index = common.materialise(index.join(asked.select("key").distinct(), "key", "left_semi"), "index")
+    sought = asked.selectExpr("key", f"explode(array({size_class}, {size_class} + 1)) as size_class").distinct()
+    index = nodes.selectExpr("set_id", "n", f"{size_class} as size_class", "explode(keys) as key")
+    index = common.materialise(index.join(sought, ["key", "size_class"], "left_semi").drop("size_class"), "index")
     involved = common.materialise(index.groupBy("set_id").agg(F.min("key").alias("block")), "involved")
-    reps = slim.join(involved, "set_id").groupBy("set_id", "block").agg(F.min("id").alias("id"))
-    sets = docs.join(reps, "id").select("set_id", "block", "text").mapInArrow(_sets, "set_id long, block long, shingles binary")
-    sets = common.materialise(sets, "sets")
+    sizes = involved.groupBy("block").agg(F.count("*").alias("c"), F.min("set_id").alias("leader"))
+    sizes = sizes.selectExpr("block", "leader", f"if(c > 1, cast(ceil(c / {SUB_BLOCK}) as long), 0L) as salts")
+    reps = slim.join(involved, "set_id").groupBy("set_id", "block").agg(F.min("id").alias("id")).join(sizes, "block")
+    rows = docs.join(reps, "id").select("set_id", "block", "leader", "salts", "text")
+    sets = common.materialise(rows.mapInArrow(_sets, "set_id long, block long, leader long, salts long, shingles binary"), "sets")
 
-    sizes = involved.groupBy("block").agg(F.count("*").alias("c"), F.min("set_id").alias("leader")).where("c > 1")
-    sizes = sizes.selectExpr("block", "leader", f"cast(ceil(c / {SUB_BLOCK}) as long) as salts")
-    members = sets.join(sizes, "block")
+    members = sets.where("salts > 0")
     dealt = members.selectExpr("block", "pmod(xxhash64(set_id), salts) as salt", "set_id", "shingles")
     leaders = members.where("set_id = leader and salts > 1").selectExpr("block", "explode(sequence(0L, salts - 1)) as salt", "set_id", "shingles")
     blocks = dealt.union(leaders).repartition("block", "salt").sortWithinPartitions("block", "salt")
