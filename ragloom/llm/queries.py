@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, html_wrapper, jaccard_join, lm_score, mixture, multiset_hash, token_attribution, token_store, toxicity
+from . import fm_index, html_wrapper, jaccard_join, licenses, lm_score, mixture, multiset_hash, token_attribution, token_store, toxicity
 from .common import read
 
 
@@ -30,6 +30,10 @@ def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.main_text(read(spark, sf_dir, "pages"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_attribution.count(read(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_stupid_backoff, op2_hierarchical_mixture, op3_bit_plane_tokens, op4_toxicity, op5_wrapper_induction, op7_token_attribution, op8_jaccard_components, op9_multiset_fingerprints, op10_fm_decontamination]
+    own = [op1_stupid_backoff, op2_hierarchical_mixture, op3_bit_plane_tokens, op4_toxicity, op5_wrapper_induction, op6_license_scan, op7_token_attribution, op8_jaccard_components, op9_multiset_fingerprints, op10_fm_decontamination]
     return {f.__name__: f for f in own}
 
 
