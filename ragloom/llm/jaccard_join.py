@@ -9,11 +9,13 @@ shingle under a fixed share of the hash range, so that a query's p lists are nea
 T-occurrence. A query asks for partners that are no smaller than itself. Such a partner must occur in
 T = ceil(8 n / 9) - (n - p) - u of the query's p lists (u: those of the p that the index might lack for a partner). Lists with
 more than LONG entries are long; DivideSkip leaves out the T - 1 longest of them at most, as a partner must
-then still be in T less as many of the others, and size classes keep out documents that no query could reach. So passages that many documents share cost nothing, unless a
-document consists of little else.
+then still be in T less as many of the others, so in one of the rarest lists, all but that number less 1. Size classes keep
+out documents that no query could reach. So passages that many documents share cost nothing, unless a query consists
+of so much of them that long lists are left. Such heavy queries, and all they could reach, are searched once more by all
+their shingles: there T is ceil(8 n / 9) of n lists, and only the n - T + 1 rarest are asked.
 
-Blocks first. Every involved node goes to the block of its first list, large blocks are dealt into sub-blocks that share
-one leader, and each sub-block runs the whole search inside: merging its short lists, probing the long ones in
+Blocks first. Every involved node goes to the block of its most popular list, large blocks are dealt into sub-blocks twice,
+each time by another hash and with another leader that all share, and each sub-block runs the whole search inside: merging its short lists, probing the long ones in
 each candidate's sorted shingles, which gives exact intersections. The classes found so absorb large groups in time
 linear in their size. Then the lists are searched again for pairs of different classes only, and these are verified
 by exact intersection. No pair of one class needs to be seen twice, and no link between classes is lost.
@@ -107,11 +109,31 @@ def _sets(batches):
             part = b.slice(s, 512)
             own = [shingles(t, memo) for t in part.column("text").to_pylist()]
             keep = [len(x) > 0 and _set_id(x) == i for x, i in zip(own, part.column("set_id").to_pylist())]
-            names = ["set_id", "block", "leader", "salts"]
+            names = ["set_id", "block", "leader", "leader2", "salts"]
             rows = [*map(part.column, names), pa.array([x.tobytes() for x in own], pa.binary())]
             yield pa.RecordBatch.from_arrays(rows, [*names, "shingles"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingles_of(docs: DataFrame, slim: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (set_id, block, leader, leader2, salts) with the shingles, from one document of each set."""
+    reps = slim.join(wanted, "set_id").groupBy("set_id", "block", "leader", "leader2", "salts").agg(F.min("id").alias("id"))
+    rows = docs.join(reps, "id").select("set_id", "block", "leader", "leader2", "salts", "text")
+    return rows.mapInArrow(_sets, "set_id long, block long, leader long, leader2 long, salts long, shingles binary")
+
+
+def _explode_all(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        for s in range(0, b.num_rows, 256):
+            part = b.slice(s, 256)
+            sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in part.column("shingles")]
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            ids = np.repeat(np.array(part.column("set_id").to_pylist(), dtype=np.int64), sizes)
+            keys = _signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(keys)], ["set_id", "n", "key"])
+
+
 def links_of(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links among some sets by T-occurrence search, enough of them to join every class (a pair already joined by
     others is passed over). Sets are queried from the smallest; each asks for partners no smaller than itself."""
@@ -237,26 +259,59 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         "set_id", "n", "entries", f"greatest(1, (8 * n + 8) div 9 - (n - {p}) - ({p} - inside)) as t",
         f"filter(entries, e -> e.pos < {p}) as own",
     ).selectExpr("*", f"least(t - 1, size(filter(own, e -> e.df > {LONG}))) as skipped")
-    nodes = nodes.selectExpr("set_id", "n", "t - skipped as need", "entries", "slice(own, skipped + 1, size(own)) as short")
-    nodes = nodes.selectExpr("set_id", "n", "need", "entries", "if(size(short) >= need, transform(short, e -> e.key), array()) as short")
-    nodes = common.materialise(nodes.selectExpr("set_id", "n", "need", "transform(entries, e -> e.key) as keys", "short"), "nodes")
+    nodes = nodes.selectExpr("set_id", "n", "t - skipped as need", "entries", "slice(own, skipped + 1, size(own)) as short").selectExpr(
+        "set_id", "n", "need", "transform(entries, e -> e.key) as keys", "if(size(short) >= need, transform(short, e -> e.key), array()) as short",
+        f"size(short) >= need and exists(short, e -> e.df > {LONG}) as heavy",
+    )
+    nodes = common.materialise(nodes, "nodes")
     common.drop(sketch)
 
     size_class = f"cast(floor(ln(n) / ln({CLASS})) as int)"
-    asked = common.materialise(nodes.select("set_id", "n", "need", F.explode("short").alias("key")), "asked")
-    sought = asked.selectExpr("key", f"explode(array({size_class}, {size_class} + 1)) as size_class").distinct()
-    index = nodes.selectExpr("set_id", "n", f"{size_class} as size_class", "explode(keys) as key")
-    index = common.materialise(index.join(sought, ["key", "size_class"], "left_semi").drop("size_class"), "index")
-    involved = common.materialise(index.groupBy("set_id").agg(F.min("key").alias("block")), "involved")
-    sizes = involved.groupBy("block").agg(F.count("*").alias("c"), F.min("set_id").alias("leader"))
-    sizes = sizes.selectExpr("block", "leader", f"if(c > 1, cast(ceil(c / {SUB_BLOCK}) as long), 0L) as salts")
-    reps = slim.join(involved, "set_id").groupBy("set_id", "block").agg(F.min("id").alias("id")).join(sizes, "block")
-    rows = docs.join(reps, "id").select("set_id", "block", "leader", "salts", "text")
-    sets = common.materialise(rows.mapInArrow(_sets, "set_id long, block long, leader long, salts long, shingles binary"), "sets")
+    reached = f"explode(array({size_class}, {size_class} + 1)) as size_class"
+    postings = nodes.selectExpr("set_id", "n", f"{size_class} as size_class", "explode(keys) as key")
+
+    def reach(rows: DataFrame, queries: DataFrame) -> DataFrame:
+        """Index rows (key, set_id, n) that a query (key, n) asks for and whose size it can link with."""
+        sought = queries.selectExpr("key", reached).distinct()
+        return rows.join(sought, ["key", "size_class"], "left_semi").select("key", "set_id", "n")
+
+    # a partner is in `need` of the short lists, so in one of the rarest: all but need - 1
+    rarest = "slice(short, need, size(short))"
+    light = nodes.where("not heavy")
+    index = common.materialise(reach(postings, light.selectExpr("n", f"explode({rarest}) as key")), "index")
+    asked = light.select("set_id", "n", "need", F.explode("short").alias("key"))
+    index = postings.join(index.select("set_id").distinct(), "set_id", "left_semi").join(asked.select("key").distinct(), "key", "left_semi").select("key", "set_id", "n")
+
+    # queries that keep long lists even so, and whatever they reach, are searched by all their shingles
+    heavy = nodes.where("heavy")
+    near = reach(postings, heavy.selectExpr("n", f"explode({rarest}) as key")).select("set_id").union(heavy.select("set_id")).distinct()
+    near = common.materialise(near.join(heavy.select("set_id", "heavy"), "set_id", "left").selectExpr("set_id", "coalesce(heavy, false) as heavy"), "near")
+    wide = _shingles_of(docs, slim, near.select("set_id", F.lit(0).cast("long").alias("block"), *[F.lit(0).cast("long").alias(c) for c in ("leader", "leader2", "salts")]))
+    wide = common.materialise(wide.select("set_id", "shingles"), "wide")
+    every = wide.mapInArrow(_explode_all, "set_id long, n long, key long")
+    counts = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    every = common.materialise(every.join(counts, "key"), "every")
+    lists = every.join(near.where("heavy").select("set_id"), "set_id", "left_semi").groupBy("set_id", "n")
+    lists = lists.agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))
+    t = "((8 * n + 8) div 9)"
+    lists = lists.where(f"size(own) >= {t}").selectExpr("set_id", "n", f"slice(own, 1, greatest(0, cast(size(own) - {t} + 1 as int))) as own")
+    asked2 = lists.selectExpr("set_id", "n", "1L as need", "explode(own.key) as key")
+    asked = common.materialise(asked.union(asked2), "asked")
+    index2 = reach(every.selectExpr("set_id", "n", f"{size_class} as size_class", "key"), asked2.select("n", "key"))
+    index = common.materialise(index.union(index2).distinct(), "index")
+    common.drop(every)
+
+    popular = index.join(index.groupBy("key").agg(F.count("*").alias("c")), "key")
+    involved = common.materialise(popular.groupBy("set_id").agg(F.max_by("key", F.struct("c", "key")).alias("block")), "involved")
+    sizes = involved.groupBy("block").agg(F.count("*").alias("c"), F.min("set_id").alias("leader"), F.max("set_id").alias("leader2"))
+    sizes = sizes.selectExpr("block", "leader", "leader2", f"if(c > 1, cast(ceil(c / {SUB_BLOCK}) as long), 0L) as salts")
+    sets = common.materialise(_shingles_of(docs, slim, involved.join(sizes, "block")), "sets")
 
     members = sets.where("salts > 0")
-    dealt = members.selectExpr("block", "pmod(xxhash64(set_id), salts) as salt", "set_id", "shingles")
-    leaders = members.where("set_id = leader and salts > 1").selectExpr("block", "explode(sequence(0L, salts - 1)) as salt", "set_id", "shingles")
+    turns = members.selectExpr("*", "explode(if(salts > 1, array(0L, 1L), array(0L))) as turn")
+    dealt = turns.selectExpr("block", "turn * salts + pmod(xxhash64(set_id, turn), salts) as salt", "set_id", "shingles")
+    heads = turns.where("salts > 1 and set_id = if(turn = 0, leader, leader2)")
+    leaders = heads.selectExpr("block", "explode(sequence(turn * salts, turn * salts + salts - 1)) as salt", "set_id", "shingles")
     blocks = dealt.union(leaders).repartition("block", "salt").sortWithinPartitions("block", "salt")
     first = common.materialise(blocks.mapInArrow(_block_links, "a long, b long"), "links")
     known = components(first)
