@@ -340,8 +340,14 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`docs` with one row of each class: the one with the smallest doc_id (and text, of rows that share it). Rows with
-    an empty set all stay."""
-    found = classes(docs, text, doc_id).where("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id").distinct()
-    gone = docs.join(found.withColumnRenamed("doc_id", "__gone"), F.col(doc_id).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    return gone
+    """`docs` with one row of each class: the one with the smallest doc_id. Rows with an empty set all stay; of rows that
+    share doc_id and text, in a class, one stays."""
+    found = common.materialise(classes(docs, text, doc_id).where("n_shingles > 0").select("doc_id", "component_id"), "classes")
+    own = F.col(doc_id).cast("long")
+    same = own.eqNullSafe(F.col("__id"))
+    gone = found.where("not (doc_id <=> component_id)").selectExpr("doc_id as __id").distinct()
+    kept = docs.join(gone, same, "left_anti")
+    again = found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__c")).where("__c > 1").select("__id")
+    if not again.limit(1).count():
+        return kept
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
