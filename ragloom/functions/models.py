@@ -8,13 +8,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Factory = Callable[[], Callable[[list], list]]
 
 
 def call(df: DataFrame, column: str, out: str, factory: Factory, kind: str, retries: int = 3, wait: float = 5.0, batch: int = 64) -> DataFrame:
     """`df` with `out`, the model's output for `column`. A failing batch is tried again after 1, 2, .. times `wait` seconds."""
-    schema = df.schema.add(out, kind)
+    schema = T.StructType([*df.schema.fields]).add(out, kind)
     names = df.columns
 
     def run(batches):
@@ -40,8 +41,8 @@ def call(df: DataFrame, column: str, out: str, factory: Factory, kind: str, retr
 
 def call_distinct(df: DataFrame, column: str, out: str, factory: Factory, kind: str, **options) -> DataFrame:
     """Like `call`, with one call per distinct input."""
-    once = call(df.select(column).distinct(), column, out, factory, kind, **options)
-    return df.join(once, df[column].eqNullSafe(once[column]), "left").drop(once[column])
+    once = call(df.select(F.col(column).alias("__given")).distinct(), "__given", out, factory, kind, **options)
+    return df.join(once, F.col(column).eqNullSafe(F.col("__given")), "left").drop("__given")
 
 
 def hashed_embedder(size: int = 16) -> Factory:
