@@ -14,8 +14,8 @@ out documents that no query could reach. So passages that many documents share c
 of so much of them that long lists are left. Such heavy queries, and all they could reach, are searched once more by all
 their shingles: there T is ceil(8 n / 9) of n lists, and only the n - T + 1 rarest are asked.
 
-Blocks first. Every involved node goes to the block of its most popular list, large blocks are dealt into sub-blocks twice,
-each time by another hash and with another leader that all share, and each sub-block runs the whole search inside: merging its short lists, probing the long ones in
+Blocks first. Every involved node goes to the block of its most popular list, large blocks are dealt into sub-blocks several
+times, each time by another hash and with a leader that all share, and each sub-block runs the whole search inside: merging its short lists, probing the long ones in
 each candidate's sorted shingles, which gives exact intersections. The classes found so absorb large groups in time
 linear in their size. Then the lists are searched again for pairs of different classes only, and these are verified
 by exact intersection. No pair of one class needs to be seen twice, and no link between classes is lost.
@@ -35,7 +35,9 @@ from . import common
 
 WORDS = 5
 LONG = 100
-SUB_BLOCK = 64
+SUB_BLOCK = 192
+#: How often a large block is dealt; a node meets some TURNS * SUB_BLOCK others of its block.
+TURNS = 3
 INDEX_SHARE = 0.22
 #: Partners' sizes differ by 1.25 times at most, so by one class of this ratio.
 CLASS = 1.26
@@ -308,9 +310,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     sets = common.materialise(_shingles_of(docs, slim, involved.join(sizes, "block")), "sets")
 
     members = sets.where("salts > 0")
-    turns = members.selectExpr("*", "explode(if(salts > 1, array(0L, 1L), array(0L))) as turn")
+    turns = members.selectExpr("*", f"explode(if(salts > 1, sequence(0L, {TURNS - 1}L), array(0L))) as turn")
     dealt = turns.selectExpr("block", "turn * salts + pmod(xxhash64(set_id, turn), salts) as salt", "set_id", "shingles")
-    heads = turns.where("salts > 1 and set_id = if(turn = 0, leader, leader2)")
+    heads = turns.where("salts > 1 and set_id = if(turn = 1, leader2, leader)")
     leaders = heads.selectExpr("block", "explode(sequence(turn * salts, turn * salts + salts - 1)) as salt", "set_id", "shingles")
     blocks = dealt.union(leaders).repartition("block", "salt").sortWithinPartitions("block", "salt")
     first = common.materialise(blocks.mapInArrow(_block_links, "a long, b long"), "links")
