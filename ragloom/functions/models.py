@@ -73,10 +73,8 @@ def echo_generator(words: int = 5) -> Factory:
     return lambda: lambda prompts: [" ".join((p or "").split()[-words:]) for p in prompts]
 
 
-def lexical_reranker(query: str, text: str, stop=()) -> F.Column:
-    """Stand-in reranker: Jaccard similarity of content words."""
-    from .text import content_words
-
-    a, b = content_words(F.col(query)), content_words(F.col(text))
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union.cast("double")).otherwise(F.lit(0.0))
+def lexical_reranker(query_words: F.Column, card_words: F.Column) -> F.Column:
+    """Stand-in reranker: Jaccard similarity of two sets of content words. The sets are made once per question and per card,
+    and joined to the pairs."""
+    union = F.size(F.array_union(query_words, card_words))
+    return F.when(union > 0, F.size(F.array_intersect(query_words, card_words)) / union.cast("double")).otherwise(F.lit(0.0))

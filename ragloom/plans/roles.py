@@ -67,8 +67,10 @@ def candidates(t: Tables, alpha: float = 0.5, k: int = 20) -> DataFrame:
     """Top k by fusion with the stand-in reranker's scores and ranks."""
     group = ["country", "item_id"]
     top = retrieval.top_k(retrieval.hybrid(graded(t), alpha), k, group, "hybrid", out="place").select(*group, "card_id", "hybrid", "place")
-    pairs = top.join(t.benchmark.selectExpr("item_id", "text as question"), "item_id").join(cards(t).select("card_id", "text_en"), "card_id")
-    scored = pairs.withColumn("rerank", F.round(models.lexical_reranker("question", "text_en"), 6)).drop("question", "text_en")
+    asked = t.benchmark.select("item_id", text.content_words(F.col("text")).alias("qw"))
+    words = cards(t).select("card_id", text.content_words(F.col("text_en")).alias("cw"))
+    pairs = top.join(asked, "item_id").join(words, "card_id")
+    scored = pairs.withColumn("rerank", F.round(models.lexical_reranker(F.col("qw"), F.col("cw")), 6)).drop("qw", "cw")
     return scored.withColumn("rank", scores.rank_within(group, F.col("rerank").desc(), F.col("card_id").asc()))
 
 
