@@ -10,17 +10,6 @@ from ragloom.functions import scores
 from . import retrieval
 
 
-def grid(spark, first: int, last: int, step: int, scale: int, name: str) -> DataFrame:
-    """Grid values from integers, so that 0.15 is 0.15."""
-    return spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step))).alias("i")).select((F.row_number().over(_by("i")) - 1).alias("pos"), (F.col("i") / F.lit(float(scale))).alias(name))
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 def recall_at(top: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
     """Share of the questions of `hits` (keys: those with a gold card) with a gold card among `top` (keys.., card_id)."""
     found = top.join(hits, [*keys, "card_id"], "left_semi").select(*keys).distinct().withColumn("hit", F.lit(1.0))
