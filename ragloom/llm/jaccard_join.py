@@ -17,8 +17,9 @@ their shingles: there T is ceil(8 n / 9) of n lists, and only the n - T + 1 rare
 Blocks first. Every involved node goes to the block of its most popular list, large blocks are dealt into sub-blocks several
 times, each time by another hash and with a leader that all share, and each sub-block runs the whole search inside: merging its short lists, probing the long ones in
 each candidate's sorted shingles, which gives exact intersections. The classes found so absorb large groups in time
-linear in their size. Then the lists are searched again for pairs of different classes only, and these are verified
-by exact intersection. No pair of one class needs to be seen twice, and no link between classes is lost.
+linear in their size. Then the lists are searched again for links of different classes only: a query visits each cell (a
+sub-block of one deal) where enough of its lists have members of other classes, and is searched there as before. So
+rows move per query and cell and not per pair. No link between classes is lost.
 
 Defined results: null or empty texts, or texts of white space, have an empty set and are linked with nothing; texts under five words
 have one shingle, the whole sequence; repeated rows and doc_ids are kept row by row; a null doc_id counts as the
@@ -136,17 +137,44 @@ def _explode_all(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(keys)], ["set_id", "n", "key"])
 
 
+class Lists:
+    """Inverted lists over some sets, which are numbered from the smallest (`order`: their places in `sets`)."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        self.order = np.argsort(size, kind="stable")
+        self.sets, self.size = [sets[i] for i in self.order], size[self.order]
+        flat, owner = np.concatenate(self.sets), np.repeat(np.arange(len(sets)), self.size)
+        by_hash = np.lexsort((owner, flat))
+        self.flat, self.owner = flat[by_hash], owner[by_hash]
+
+    def search(self, s: np.ndarray, others: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Those of `others` (a mask of sets no smaller than `s`) that the short lists leave, with the counts so far, and
+        the shingles whose long lists were skipped."""
+        low, high = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
+        length = high - low
+        t = required(len(s), len(s))
+        by_length = np.argsort(-length, kind="stable")
+        n_long = min(t - 1, int((length > LONG).sum()))
+        short = by_length[n_long:]
+        total = length[short]
+        at = np.repeat(low[short] - (np.cumsum(total) - total), total) + np.arange(total.sum())
+        count = np.bincount(self.owner[at], minlength=len(self.sets))
+        return np.flatnonzero((count >= max(1, t - n_long)) & others).tolist(), count, s[by_length[:n_long]]
+
+    def linked(self, s: np.ndarray, b: int, counted: int, probes: np.ndarray) -> bool:
+        """Whether set b links with `s`: its short lists' count and the long lists, probed in b itself."""
+        other = self.sets[b]
+        if len(probes):
+            hit = np.searchsorted(other, probes)
+            counted += int((other[np.minimum(hit, len(other) - 1)] == probes).sum())
+        return counted >= required(len(s), len(other))
+
+
 def links_of(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links among some sets by T-occurrence search, enough of them to join every class (a pair already joined by
     others is passed over). Sets are queried from the smallest; each asks for partners no smaller than itself."""
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    order = np.argsort(size, kind="stable")
-    place = np.empty(len(sets), dtype=np.int64)
-    place[order] = np.arange(len(sets))
-    flat = np.concatenate(sets)
-    owner = np.repeat(place, size)
-    by_hash = np.lexsort((owner, flat))
-    flat, owner = flat[by_hash], owner[by_hash]
+    lists = Lists(sets)
     root = np.arange(len(sets))
     found = []
     for a in range(len(sets) - 1):
@@ -154,31 +182,11 @@ def links_of(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         others[: a + 1] = False
         if not others.any():
             continue
-        s = sets[order[a]]
-        low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-        length = high - low
-        t = required(len(s), len(s))
-        by_length = np.argsort(-length, kind="stable")
-        n_long = min(t - 1, int((length > LONG).sum()))
-        long, short = by_length[:n_long], by_length[n_long:]
-        short = short[length[short] > 1]
-        if not len(short):
-            continue
-        total = length[short]
-        at = np.repeat(low[short] - (np.cumsum(total) - total), total) + np.arange(total.sum())
-        count = np.bincount(owner[at], minlength=len(sets))
-        candidates = np.flatnonzero((count >= max(1, t - n_long)) & others)
-        probes = s[long]
-        for b in candidates.tolist():
-            if root[b] == root[a]:
-                continue
-            other = sets[order[b]]
-            overlap = int(count[b])
-            if len(probes):
-                hit = np.searchsorted(other, probes)
-                overlap += int((other[np.minimum(hit, len(other) - 1)] == probes).sum())
-            if overlap >= required(len(s), len(other)):
-                found.append((int(order[a]), int(order[b])))
+        s = lists.sets[a]
+        candidates, count, probes = lists.search(s, others)
+        for b in candidates:
+            if root[b] != root[a] and lists.linked(s, b, int(count[b]), probes):
+                found.append((int(lists.order[a]), int(lists.order[b])))
                 root[root == root[b]] = root[a]
     return found
 
@@ -213,16 +221,39 @@ def _block_links(batches):
         yield out
 
 
-def _verify(batches):
+def _visit_links(batches):
+    """Rows sorted by (block, cell, kind), a cell's members (kind 0) before the queries that visit it (kind 1), to links
+    between classes: one for each class that a query links with. A task holds one cell and a batch of queries."""
     import pyarrow as pa
 
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column("x"), b.column("y")):
-            x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-            hit = np.searchsorted(y, x)
-            keep.append(int((y[np.minimum(hit, len(y) - 1)] == x).sum()) >= required(len(x), len(y)))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    at, held, lists = None, [], None
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in ("block", "cell", "kind", "set_id", "root")]
+        data = batch.column("shingles")
+        found = []
+        for i, (block, cell, kind, set_id, root) in enumerate(zip(*columns)):
+            if (block, cell) != at:
+                at, held, lists = (block, cell), [], None
+            s = np.frombuffer(data[i].as_py(), dtype=np.uint64)
+            if kind == 0:
+                held.append((set_id, root, s))
+                continue
+            if lists is None:
+                if not held:
+                    continue
+                lists = Lists([x for _, _, x in held])
+                ids, roots = (np.array([held[j][k] for j in lists.order], dtype=np.int64) for k in (0, 1))
+            others = (roots != root) & ((lists.size > len(s)) | ((lists.size == len(s)) & (ids > set_id)))
+            if not others.any():
+                continue
+            candidates, count, probes = lists.search(s, others)
+            joined = set()
+            for b in candidates:
+                if roots[b] not in joined and lists.linked(s, b, int(count[b]), probes):
+                    joined.add(roots[b])
+                    found.append((set_id, int(ids[b])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -293,6 +324,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     every = wide.mapInArrow(_explode_all, "set_id long, n long, key long")
     counts = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     every = common.materialise(every.join(counts, "key"), "every")
+    # a set with fewer shared shingles than the least overlap it can link with is neither query nor partner
+    live = every.groupBy("set_id", "n").agg(F.count("*").alias("c")).where("c >= (4 * n + 4) div 5").select("set_id")
+    whole, every = every, every.join(live, "set_id", "left_semi")
     lists = every.join(near.where("heavy").select("set_id"), "set_id", "left_semi").groupBy("set_id", "n")
     lists = lists.agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))
     t = "((8 * n + 8) div 9)"
@@ -301,7 +335,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     asked = common.materialise(asked.union(asked2), "asked")
     index2 = reach(every.selectExpr("set_id", "n", f"{size_class} as size_class", "key"), asked2.select("n", "key"))
     index = common.materialise(index.union(index2).distinct(), "index")
-    common.drop(every)
+    common.drop(whole)
 
     popular = index.join(index.groupBy("key").agg(F.count("*").alias("c")), "key")
     involved = common.materialise(popular.groupBy("set_id").agg(F.max_by("key", F.struct("c", "key")).alias("block")), "involved")
@@ -318,20 +352,22 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     first = common.materialise(blocks.mapInArrow(_block_links, "a long, b long"), "links")
     known = components(first)
 
-    index = index.join(known.withColumnRenamed("node", "set_id"), "set_id", "left").selectExpr("key", "set_id", "n", "coalesce(root, set_id) as root")
-    per_class = index.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed = per_class.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    index = common.materialise(index.join(mixed, "key"), "mixed")
-    asked = asked.join(index.select("key", "set_id", "root", "main"), ["key", "set_id"])
-    query = asked.selectExpr("key", "set_id as a", "n as na", "need", "root as ra", "main")
-    reply = index.selectExpr("key", "set_id as b", "n as nb", "root as rb", "main as mb")
-    fits = "ra <> rb and 5 * na >= 4 * nb and (na < nb or (na = nb and a < b))"
-    rest = query.where("ra <> main").join(reply, "key").where(fits)
-    main = query.where("ra = main").join(reply.where("rb <> mb"), "key").where(fits)
-    pairs = rest.select("a", "b", "need").union(main.select("a", "b", "need")).groupBy("a", "b", "need").agg(F.count("*").alias("c"))
-    pairs = pairs.where("c >= need").select("a", "b")
-    sides = pairs.join(sets.selectExpr("set_id as a", "shingles as x"), "a").join(sets.selectExpr("set_id as b", "shingles as y"), "b")
-    second = common.materialise(sides.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "links")
+    root = known.withColumnRenamed("node", "set_id")
+    placed = sets.selectExpr("set_id", "block", "pmod(xxhash64(set_id), greatest(salts, 1L)) as cell", "shingles").join(root, "set_id", "left")
+    placed = placed.selectExpr("set_id", "block", "cell", "coalesce(root, set_id) as root", "shingles")
+    index = index.join(placed.drop("shingles"), "set_id")
+    mixed = index.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    index = common.materialise(index.join(mixed, "key", "left_semi"), "mixed")
+    # a query visits the cells where `need` of its lists have members that it might link with, of other classes
+    cells = index.groupBy("key", "block", "cell").agg(*[f(c).alias(a) for f, c, a in ((F.min, "root", "lo"), (F.max, "root", "hi"), (F.min, "n", "small"), (F.max, "n", "large"))])
+    query = asked.join(index.select("key", "set_id", "root"), ["key", "set_id"])
+    visits = query.join(cells, "key").where("(lo <> root or hi <> root) and large >= n and 4 * small <= 5 * n")
+    visits = visits.groupBy("set_id", "root", "need", "block", "cell").agg(F.count("*").alias("c")).where("c >= need")
+    visits = common.materialise(visits.select("set_id", "root", "block", "cell"), "visits")
+    guests = visits.join(sets.select("set_id", "shingles"), "set_id").selectExpr("block", "cell", "1 as kind", "set_id", "root", "shingles")
+    hosts = placed.join(visits.select("block", "cell").distinct(), ["block", "cell"], "left_semi").selectExpr("block", "cell", "0 as kind", "set_id", "root", "shingles")
+    rows = hosts.union(guests).repartition("block", "cell").sortWithinPartitions("block", "cell", "kind")
+    second = common.materialise(rows.mapInArrow(_visit_links, "a long, b long"), "links")
     final = components(first.union(second)) if second.limit(1).count() else known
 
     found = slim.join(final.withColumnRenamed("node", "set_id"), "set_id", "left").selectExpr("id", "set_id", "n", "coalesce(root, set_id) as root")
