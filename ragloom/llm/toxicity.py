@@ -7,7 +7,7 @@ softmax learn together by Adam on the documents' labels; Platt's scaling on a he
 score a probability.
 
 Labels come from at most about `TRAIN_ROWS` labelled rows per class, picked by a hash of doc_id. Scoring covers every
-document and its whole text. Memory: a task holds one Arrow batch and a bounded memo of word logits.
+document and its whole text. Memory: one task holds the training rows; a scoring task holds one Arrow batch and a bounded memo of word logits.
 
 Defined results: null and empty texts have no words and get the score of an empty bag sum (low); without labels of both
 classes every score is 0; repeated rows are scored each; other columns are ignored or, in `keep_clean`, carried along.
@@ -30,6 +30,7 @@ EPOCHS = 40
 DECAY = 3e-6
 STRIP = ".,;:!?\"'()[]{}#$%&*+=~^|<>-_"
 EMPTY_LOGIT = -6.0
+WORDS_AT_ONCE = 1 << 15
 
 
 def words(text: str) -> list[str]:
@@ -37,7 +38,11 @@ def words(text: str) -> list[str]:
 
 
 def bags(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of all words, `<` before and `>` after each, in one pass: (buckets, first index of each word)."""
+    """Hashed n-grams of all words, `<` before and `>` after each, a bounded number of words at once: (buckets, first index of each word)."""
+    if len(vocabulary) > WORDS_AT_ONCE:
+        parts = [bags(vocabulary[s : s + WORDS_AT_ONCE]) for s in range(0, len(vocabulary), WORDS_AT_ONCE)]
+        before = np.cumsum([0, *(len(g) for g, _ in parts[:-1])])
+        return np.concatenate([g for g, _ in parts]), np.concatenate([first + b for (_, first), b in zip(parts, before)])
     joined = "".join(f"<{w.strip(STRIP) or w}>" for w in vocabulary)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     sizes = np.array([len(w.strip(STRIP) or w) + 2 for w in vocabulary], dtype=np.int64)
@@ -192,9 +197,23 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    table = training_rows(docs, labels, rows).toArrow()
-    order = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), table.column("toxic").to_pylist()))
-    return fit([t for _, t, _ in order], np.array([y for _, _, y in order]))
+    """Fits in one task, so that the driver gets the model (4 MB) and no texts; a lost executor's task runs again."""
+    common.ship(docs.sparkSession)
+
+    def run(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        held = [x for b in batches for x in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "toxic")))]
+        held.sort()
+        model = fit([t for _, t, _ in held], np.array([y for _, _, y in held]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    import pickle
+
+    fitted = training_rows(docs, labels, rows).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(fitted[0].model) if fitted else Model()
 
 
 def scorer(model: Model):
