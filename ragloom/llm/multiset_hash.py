@@ -5,12 +5,12 @@ over paragraphs:
 
 * `SUM_LANES` lanes of 32 bits: the paragraph's SHA-256, cut into 32-bit words, summed modulo 2^32. Equal multisets have
   equal lanes, in whatever order the paragraphs come; other multisets agree by chance only.
-* `SIGN_LANES` lanes of 16 bits: the paragraph's own vector, which is the sum of sign vectors of its clauses (the pieces between
-  `.`, `,` and line breaks), each sign a bit of the clause's MD5, summed modulo 2^16. Inner products of these lanes estimate
+* `SIGN_LANES` lanes of 32 bits: the paragraph's own vector, which is the sum of sign vectors of its clauses (the pieces between
+  `.`, `,` and line breaks), each sign a bit of the clause's MD5, summed modulo 2^32, which no text has clauses enough to wrap. Inner products of these lanes estimate
   how much two documents share, so their cosine is the fingerprints' likeness; equal fingerprints have likeness 1.
 
 Both are sums, so `add` and `remove` update a fingerprint from fingerprints of what comes or goes, without the document.
-The string has the lanes in order, in lower-case hex: 8 digits for each of the first, 4 for each of the second.
+The string has the lanes in order, in lower-case hex, 8 digits each.
 
 Defined results: a null text is an empty one, which has one empty paragraph and no clause; repeated rows have equal fingerprints; with
 repeated doc_ids the next document is the next row by (doc_id, text); a null doc_id counts as the lowest; an only
@@ -26,8 +26,7 @@ from . import common
 
 SUM_LANES = 8
 SIGN_LANES = 64
-MODULUS = 1 << 32
-HALF, FULL = 1 << 15, 1 << 16
+HALF, MODULUS = 1 << 31, 1 << 32
 #: Two lanes' counts of set bits share a 64-bit sum, 32 bits each, which would carry beyond 2^31 clauses only.
 ROWS_PER_BUCKET = 1_500
 
@@ -52,24 +51,24 @@ def fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
     signs = [2 * F.col(f"c{i}").bitwiseAND(F.lit(0xFFFFFFFF)) - F.col("clauses") for i in range(32)]
     signs += [2 * F.shiftright(f"c{i}", 32) - F.col("clauses") for i in range(32)]
     sums = [F.col(f"l{i}") % MODULUS for i in range(SUM_LANES)]
-    return out.select(*keys, F.array(*sums).alias("sums"), F.array(*[F.pmod(x, F.lit(FULL)) for x in signs]).alias("signs"))
+    return out.select(*keys, F.array(*sums).alias("sums"), F.array(*[F.pmod(x, F.lit(MODULUS)) for x in signs]).alias("signs"))
 
 
 def text_form(sums, signs) -> F.Column:
-    lanes = lambda a, width: F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), width, "0"))), "")
-    return F.concat(lanes(sums, 8), lanes(signs, 4))
+    lanes = lambda a: F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.concat(lanes(sums), lanes(signs))
 
 
 def from_text(fingerprint) -> tuple[F.Column, F.Column]:
     """The lanes of a fingerprint's string."""
-    cut = lambda start, width, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(F.substring(fingerprint, F.lit(start + 1) + i * width, F.lit(width)), 16, 10).cast("long"))
-    return cut(0, 8, SUM_LANES), cut(8 * SUM_LANES, 4, SIGN_LANES)
+    cut = lambda start, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(F.substring(fingerprint, F.lit(start + 1) + i * 8, F.lit(8)), 16, 10).cast("long"))
+    return cut(0, SUM_LANES), cut(8 * SUM_LANES, SIGN_LANES)
 
 
 def _combine(x, y, sign: int) -> F.Column:
     (xs, xc), (ys, yc) = from_text(x), from_text(y)
-    move = lambda a, b, m: F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: F.pmod(z["a"] + sign * z["b"], F.lit(m)))
-    return text_form(move(xs, ys, MODULUS), move(xc, yc, FULL))
+    move = lambda a, b: F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: F.pmod(z["a"] + sign * z["b"], F.lit(MODULUS)))
+    return text_form(move(xs, ys), move(xc, yc))
 
 
 def add(fingerprint, inserted) -> F.Column:
@@ -83,11 +82,11 @@ def remove(fingerprint, deleted) -> F.Column:
 
 def likeness(sums, signs, other_sums, other_signs) -> F.Column:
     """Cosine of the sign lanes, from 0 to 1; 1 for equal fingerprints."""
-    signed = lambda x: F.when(x >= HALF, x - FULL).otherwise(x)
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    dot = total(F.zip_with(signs, other_signs, lambda x, y: signed(x) * signed(y)))
-    norm = total(F.transform(signs, lambda x: signed(x) * signed(x))) * total(F.transform(other_signs, lambda x: signed(x) * signed(x)))
-    cosine = F.when(norm > 0, dot / F.sqrt(norm.cast("double"))).otherwise(F.lit(0.0))
+    signed = lambda a: F.transform(a, lambda x: F.when(x >= HALF, x - MODULUS).otherwise(x).cast("double"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    own, other = signed(signs), signed(other_signs)
+    norm = dot(own, own) * dot(other, other)
+    cosine = F.when(norm > 0, dot(own, other) / F.sqrt(norm)).otherwise(F.lit(0.0))
     same = (sums == other_sums) & (signs == other_signs)
     return F.when(same, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 

@@ -178,6 +178,12 @@ def test_fingerprint_report(spark, monkeypatch):
     assert multiset_hash.report(documents(spark, [])).count() == 0
 
 
+def test_likeness_of_texts_that_repeat_a_clause_often(spark):
+    rows = [(1, "the same line\n" * 100_000), (2, "0," * 10_000), (3, "of its own")]
+    out = {r.doc_id: r for r in multiset_hash.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].near_edited > 0.9 and out[2].near_edited > 0.9 and out[1].near_next < 0.6
+
+
 # Language-model scores
 
 
