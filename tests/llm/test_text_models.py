@@ -110,6 +110,17 @@ def test_licence_families(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licence_texts_and_wrapped_notices(spark):
+    mit = 'Copyright (c) 2020 A. Writer\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.'
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    isc = "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    lines = {1: mit, 2: bsd, 3: isc, 4: "This is free and unencumbered software released into the public domain.", 5: "Licensed under the Apache License,\nVersion 2.0", 6: "weather and tea\nAll rights\nreserved.", 7: "hereby we go to the lake"}
+    data = [*lines.items()] + [(100 + i, f"ordinary line number {i} about the weather and tea\nsecond line {i}") for i in range(60)]
+    out = {r.doc_id: r.licence for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(1, 8)] == ["MIT", "BSD", "ISC", "Unlicense", "Apache", "proprietary", "none"]
+    assert all(out[100 + i] == "none" for i in range(60))
+
+
 # Mixing
 
 
