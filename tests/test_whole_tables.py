@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ragloom.plans import roles
+from ragloom.plans import catalog, roles
 from ragloom.plans.registry import Tables
 
 
@@ -20,3 +20,11 @@ def test_dense_scores_use_every_vector(spark, tmp_path):
     assert len(got) == 2 * n and len(set(used.tolist())) == n
     for item in (1, 901):
         assert np.allclose([got[item, c] for c in range(n)], unit[used] @ unit[item], atol=2e-6)
+
+
+def test_soft_exact_match_uses_every_item(spark, tmp_path):
+    items = [(10 * i, f"alpha{i} beta{i} gamma{i} delta{i} eta{i} zeta{i}") for i in range(90)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 0, "user", items[i][1]) for i in range(90)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = catalog.queries()["soft_exact_match"](spark, str(tmp_path)).collect()
+    assert len(out) == 90 and all(r.sem_b == 1 for r in out)
