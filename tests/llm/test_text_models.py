@@ -83,6 +83,16 @@ def test_article_pages_and_edges(spark):
     assert html_wrapper.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_never_rule_out_the_page():
+    text = lambda page: html_wrapper.extract(page, None)
+    assert text("<body class='home has-sidebar'><p>own words</p><div class=sidebar>x</div></body>") == "own words"
+    assert text("<body class='social'><article class='post comments-open'><p>own words</p><div class=comments><article class=comment>reader</article></div></article></body>") == "own words"
+    assert text("<nav>x</nav><div id=content class=with-banner><p>own words</p></div><footer>y</footer>") == "own words"
+    assert text("<div class='banner wrap'><main class=social-page>own words</main></div><p>x</p>") == "own words"
+    assert text("<article>own words</article><div class=comments><article class=comment>reader</article></div>") == "own words"
+    assert text("<nav>x</nav><div class=related><p>own words</p></div>") == "own words"
+
+
 def test_simple_tree_matching():
     def tree(spec):
         node = html_wrapper.Node(spec[0])
