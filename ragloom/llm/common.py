@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,18 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def pack(a: np.ndarray) -> bytes:
+    """Byte planes of an array under zstandard."""
+    raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
+
+
+def unpack(data: bytes, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).reshape(-1)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser over uint64 arrays (fixed multipliers of the public splitmix64 generator)."""
     with np.errstate(over="ignore"):

@@ -23,11 +23,11 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import pack, unpack
 
 ORDER = 3
 ALPHA = 0.4
@@ -35,18 +35,6 @@ BLOCK_WORDS = 1_500_000
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Byte planes of an integer array under zstandard."""
-    raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
-
-
-def unpack(data: bytes, dtype: str) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).reshape(-1)
-
-
 def _blocks(batches):
     """Documents to blocks: (block, doc_ids, lengths, types, words): `words` are indexes into the sorted `types`."""
     import pyarrow as pa

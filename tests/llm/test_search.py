@@ -64,9 +64,11 @@ def test_classes_on_edge_cases(spark):
     assert jaccard_join.classes(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("seed, long, sub", [(1, 100, 64), (2, 3, 8), (3, 1, 3)])
-def test_classes_against_brute_force(spark, monkeypatch, seed, long, sub):
-    """Small LONG and SUB_BLOCK send small data through long lists, heavy queries and dealt blocks."""
+@pytest.mark.parametrize("seed, long, sub, block", [(1, 100, 64, 1_000_000), (2, 3, 8, 300), (3, 1, 3, 60)])
+def test_classes_against_brute_force(spark, monkeypatch, seed, long, sub, block):
+    """Small bounds send small data through long lists, heavy queries, dealt blocks, and many blocks and ranges."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "RANGE", block * 4)
     monkeypatch.setattr(jaccard_join, "LONG", long)
     monkeypatch.setattr(jaccard_join, "SUB_BLOCK", sub)
     data = corpus(seed)
@@ -88,6 +90,15 @@ def test_keep_one(spark):
     assert kept.columns == clashing(documents(spark)).columns
 
 
+def test_keep_one_keeps_one_of_each_class_where_doc_ids_repeat(spark):
+    a = "one two three four five six seven eight nine ten eleven"
+    b = a.replace("one", "uno").replace("five", "cinco").replace("ten", "diez")
+    c = "quite another text that has nothing to do with the others at all"
+    data = [(5, a), (9, a), (2, b), (5, b), (7, c), (7, c), (None, c), (None, None), (None, "")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    assert rows(kept, "doc_id", "text") == sorted([(5, a), (2, b), (None, c), (None, None), (None, "")], key=str)
+
+
 ITEMS = [
     (0, "one two three four five six seven eight nine ten eleven twelve"), (1, "short item"), (2, None), (3, "..."), (4, "short item"),
     (5, "Größe ñandú a b c d e f g h i"), (10, "three four five six seven eight nine ten eleven twelve thirteen"),
