@@ -84,6 +84,43 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(spark: SparkSession, size: int, each: int) -> int:
+    """Partitions for `size` bytes or entries: the session's number at least, and as many as `each` of them fill."""
+    return max(partitions(spark), -(-int(size) // each))
+
+
+#: Quantiles of an order's key that the driver may hold.
+QUANTILES = 4096
+
+
+def with_range(df: DataFrame, key: str, out: str, rows: int, each: int) -> DataFrame:
+    """`df` with `out`: the number of the range of `key` (a long) that a row lies in, ascending with it; -1 for null. Ranges hold
+    about `each` of the `rows` rows.
+
+    Boundaries are approximate quantiles, QUANTILES at most; larger tables cut each of these ranges into equal widths. So far-off
+    keys make no range larger than a QUANTILES-th of the rows, whatever the keys' distribution."""
+    from pyspark.ml.feature import Bucketizer
+
+    wanted = min(QUANTILES, max(1, -(-rows // each)))
+    found = df.agg(F.percentile_approx(key, [i / wanted for i in range(wanted + 1)], max(10_000, 20 * wanted)).alias("q")).first().q
+    found = [float(x) for x in found or [0]]
+    ends = sorted(set(found))
+    if len(ends) < 3:
+        placed = df.withColumn(out, F.lit(0.0))
+        ends = [ends[0], ends[-1]]
+    else:
+        raw = f"{out}_key"
+        bucketizer = Bucketizer(splits=[float("-inf"), *ends[1:-1], float("inf")], inputCol=raw, outputCol=out, handleInvalid="keep")
+        placed = bucketizer.transform(df.withColumn(raw, F.col(key).cast("double"))).drop(raw)
+    place, inside = F.col(out), max(1, -(-rows // (each * wanted)))
+    if inside > 1:
+        at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col(out).cast("int") + 1)
+        width = at([max(1.0, (b - a) / inside) for a, b in zip(ends, ends[1:])])
+        part = F.floor((F.col(key).cast("double") - at(ends[:-1])) / width)
+        place = place * inside + F.greatest(F.lit(0.0), F.least(F.lit(inside - 1.0), part.cast("double")))
+    return placed.withColumn(out, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(place).cast("long"))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -11,7 +11,11 @@ Words, as the contract has them: A-Z lower-cased, then maximal runs of character
 \\x00-\\x2F \\x3A-\\x60 \\x7B-\\x7F. A window is `n` consecutive item words; an item of fewer words is one window.
 
 Defined results: a null or empty text has no words, is clean and kept as it is; an item without words has no window; equal items both
-count; repeated rows are each searched; empty tables give empty results; other columns are carried along in `remove`.
+count; repeated rows are each searched; a text of any length is searched whole, as a block of its own; empty tables give empty
+results; other columns are carried along in `remove`.
+
+Memory: a worker holds one block of documents and one pass of the benchmark, PASS_BYTES of text and its windows (about
+nine bytes for each byte of text); the driver holds a pass's texts while it sends them.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ N = 10
 SAMPLE = 8
 BLOCK_BYTES = 8_000_000
 #: Benchmark text that one pass carries to every task; a larger benchmark is searched in as many passes as it needs.
-PASS_BYTES = 32_000_000
+PASS_BYTES = 8_000_000
 
 _KEPT = bytes(b for b in range(256) if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)
 #: A-Z to a-z, any byte outside words to a blank; UTF-8's bytes of other characters are all above 0x7F and stay.
@@ -138,23 +142,41 @@ class FMIndex:
 
 
 class Windows:
-    """The distinct windows of benchmark items, as symbol rows, and the items of each."""
+    """The distinct windows of benchmark items as rows of symbols, and the items of each: `items[i]` for i in
+    `holders[first[w] : first[w + 1]]`. Symbols 0 and 1 end a text and stand for words that no item has."""
 
     def __init__(self, items: list[tuple], n: int = N):
         vocabulary: dict[bytes, int] = {}
-        rows: dict[tuple, set] = {}
-        for item, text in items:
-            w = [vocabulary.setdefault(x, len(vocabulary) + 2) for x in words(text)]
-            for i in range(max(1, len(w) - n + 1) if w else 0):
-                rows.setdefault(tuple(w[i : i + n]), set()).add(item)
+        get = vocabulary.setdefault
+        texts = [np.array([get(x, len(vocabulary) + 2) for x in words(text)], dtype=np.int32) for _, text in items]
         self.vocabulary, self.sigma = vocabulary, len(vocabulary) + 2
-        self.lengths = np.array([len(r) for r in rows], dtype=np.int64)
-        self.rows = np.zeros((len(rows), n), dtype=np.int64)
-        for i, r in enumerate(rows):
-            self.rows[i, : len(r)] = r
-        self.items = [sorted(map(str, x)) for x in rows.values()]
+        names = [str(item) for item, _ in items]
+        self.items, holder = np.unique(names, return_inverse=True) if names else (np.zeros(0, "U1"), np.zeros(0, np.int64))
+        counts = np.array([max(1, len(w) - n + 1) if len(w) else 0 for w in texts], dtype=np.int64)
+        rows = np.zeros((int(counts.sum()), n), dtype=np.int32)
+        at = 0
+        for w, c in zip(texts, counts.tolist()):
+            if len(w) >= n:
+                rows[at : at + c] = np.lib.stride_tricks.sliding_window_view(w, n)
+            elif c:
+                rows[at, : len(w)] = w
+            at += c
+        owner = np.repeat(np.asarray(holder, dtype=np.int64), counts)
+        order = np.lexsort((owner, *rows.T)) if len(rows) else np.zeros(0, np.int64)
+        rows, owner = rows[order], owner[order]
+        fresh = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, bool)
+        again = ~fresh
+        again[1:] &= owner[1:] == owner[:-1]
+        self.rows = rows[fresh]
+        self.holders = owner[~again].astype(np.int32)
+        self.first = np.append(np.flatnonzero(fresh[~again]), len(self.holders))
+        self.lengths = (self.rows > 0).sum(axis=1)
         self.shortest = int(self.lengths.min(initial=n))
 
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        held = [self.holders[self.first[w] : self.first[w + 1]] for w in windows.tolist()]
+        return self.items[np.unique(np.concatenate(held))].tolist()
+
 
 def find(texts: list[bytes], windows: Windows) -> list[tuple[int, np.ndarray, list[str]]]:
     """For folded texts: number of words, hit words' indexes, items with occurring windows."""
@@ -194,11 +216,10 @@ def find(texts: list[bytes], windows: Windows) -> list[tuple[int, np.ndarray, li
     begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     document = np.searchsorted(begins, place, side="right") - 1
     pairs = np.unique(np.stack([document, which], axis=1), axis=0)
-    for d in np.unique(pairs[:, 0]).tolist():
-        own = pairs[pairs[:, 0] == d, 1]
-        items = sorted({x for w in own.tolist() for x in windows.items[w]})
+    hit_documents, first = np.unique(pairs[:, 0], return_index=True)
+    for d, own in zip(hit_documents.tolist(), np.split(pairs[:, 1], first[1:])):
         span = covered[begins[d] : begins[d] + lengths[d]]
-        found[d] = (int(lengths[d]), np.flatnonzero(span), items)
+        found[d] = (int(lengths[d]), np.flatnonzero(span), windows.items_of(own))
     return found
 
 
@@ -224,53 +245,92 @@ def _blocks(texts, limit: int):
         yield first, held
 
 
-def passes(benchmark: DataFrame, n: int) -> list[Windows]:
-    """The benchmark's windows, in passes of at most PASS_BYTES of text (or one longer item) each."""
-    items = benchmark.select(F.col("item_id").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // PASS_BYTES))
-    out = []
-    for p in range(parts):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p).collect()
-        out.append(Windows([("" if r.item is None else r.item, r.text) for r in part], n))
-    return out
+def passes(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(item, text) of the benchmark, and in how many passes of at most PASS_BYTES of text (or one longer item) it goes."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return items, max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES))
+
+
+def _pass(items: DataFrame, p: int, parts: int):
+    """One pass's items, for tasks: texts travel, windows are built there."""
+    part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p).collect()
+    return items.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in part])
+
+
+_built: dict = {}
+
+
+def _windows(sent, n: int) -> Windows:
+    """The windows of a pass, built once per Python worker; it holds one pass at a time."""
+    key = (sent._path, n)
+    if key not in _built:
+        _built.clear()
+        _built[key] = Windows(sent.value, n)
+    return _built[key]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """Per document: doc_id, n_words, spans (merged [first, past) word ranges to remove), items (sorted strings).
 
-    Map-only: a block of documents is indexed for each pass of the benchmark in turn."""
+    Map-only where the benchmark goes in one pass. Else each pass is a job of its own that writes what it found, by doc_id
+    and the text's hash, and the passes' spans are merged in the end."""
     spark = docs.sparkSession
     common.ship(spark)
-    schema = "doc_id long, n_words long, spans array<array<long>>, items array<string>"
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = passes(benchmark, n)
-    return docs.mapInArrow(_scan([spark.sparkContext.broadcast(w) for w in each]), schema)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    items, parts = passes(benchmark)
+    if parts == 1:
+        return docs.mapInArrow(_scan(_pass(items, 0, 1), n), FOUND).drop("h")
+    first, hits = _in_turn(docs, items, parts, n)
+    joined = first.join(hits, F.expr("doc_id <=> d and h = g"), "left")
+    return joined.selectExpr("doc_id", "n_words", "coalesce(spans, array()) as spans", "coalesce(items, array()) as items")
+
+
+def _in_turn(docs: DataFrame, items: DataFrame, parts: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n_words) of all rows, and (d, g, spans, items) of what all passes hit, by doc_id and the text's hash."""
+    every = []
+    for p in range(parts):
+        sent = _pass(items, p, parts)
+        found = docs.mapInArrow(_scan(sent, n), FOUND)
+        every.append(common.materialise(found if p == 0 else found.where("size(spans) > 0"), f"pass{p}"))
+        sent.destroy()
+    hits = every[0].where("size(spans) > 0")
+    for other in every[1:]:
+        hits = hits.union(other)
+    hits = hits.selectExpr("doc_id as d", "h as g", "spans", "items").distinct().groupBy("d", "g")
+    hits = hits.agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return every[0].select("doc_id", "h", "n_words"), hits.select("d", "g", _merged("spans").alias("spans"), "items")
+
+
+FOUND = "doc_id long, h long, n_words long, spans array<array<long>>, items array<string>"
+
+
+def _merged(spans: str):
+    """Overlapping and touching spans of several passes as one."""
 
+    def step(out, s):
+        last = F.element_at(out, -1)
+        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.array(last[0], F.greatest(last[1], s[1]))))
+        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))[1] >= s[0]), joined).otherwise(F.concat(out, F.array(s)))
 
-def _merged(found: list[list[tuple]]) -> list[tuple]:
-    out = []
-    for same in zip(*found):
-        hits = np.unique(np.concatenate([x[1] for x in same]))
-        out.append((same[0][0], hits, sorted({i for x in same for i in x[2]})))
-    return out
+    return F.aggregate(F.array_sort(spans), F.expr("cast(array() as array<array<bigint>>)"), step)
 
 
-def _scan(every):
+def _scan(sent, n: int):
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for first, texts in _blocks(b.column("text"), BLOCK_BYTES):
-                found = _merged([find(texts, w.value) for w in every])
+                found = find(texts, _windows(sent, n))
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(first, len(texts)),
+                        b.column("h").slice(first, len(texts)),
                         pa.array([f[0] for f in found], pa.int64()),
                         pa.array([[list(x) for x in spans(f[1])] for f in found], pa.list_(pa.list_(pa.int64()))),
                         pa.array([f[2] for f in found], pa.list_(pa.string())),
                     ],
-                    ["doc_id", "n_words", "spans", "items"],
+                    ["doc_id", "h", "n_words", "spans", "items"],
                 )
 
     return run
@@ -285,45 +345,76 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def cut(text: str, every: list[Windows]) -> str:
+def without(text: str, hit: list[tuple[int, int]]) -> str:
     """`text` without its hit words: each span goes, from its first word's first character to its last word's last, and
-    a line break takes its place. Repeated until no window occurs, as cutting can bring words together."""
-    while True:
-        raw = text.encode("utf-8", "surrogatepass")
-        folded = raw.translate(FOLD)
-        hits = _merged([find([folded], w) for w in every])[0][1]
-        if not len(hits):
-            return text
-        places = [m.span() for m in WORD.finditer(folded)]
-        out, last = [], 0
-        for a, b in spans(hits):
-            out.append(raw[last : places[a][0]])
-            last = places[b - 1][1]
-        out.append(raw[last:])
-        text = b"\n".join(out).decode("utf-8", "surrogatepass")
+    a line break takes its place."""
+    raw = text.encode("utf-8", "surrogatepass")
+    places = [m.span() for m in WORD.finditer(raw.translate(FOLD))]
+    out, last = [], 0
+    for a, b in hit:
+        out.append(raw[last : places[a][0]])
+        last = places[b - 1][1]
+    out.append(raw[last:])
+    return b"\n".join(out).decode("utf-8", "surrogatepass")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "text") -> DataFrame:
-    """`docs` with every benchmark window cut out of `text`; clean rows stay as they are, and rows of which nothing but
-    white space is left go. All columns are kept."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    every = [spark.sparkContext.broadcast(w) for w in passes(benchmark, n)]
-    schema = docs.schema
+def cut(text: str, windows: Windows) -> str:
+    """`text` without its hit words, repeated until no window occurs, as cutting can bring words together."""
+    while len(hits := find([text.encode("utf-8", "surrogatepass").translate(FOLD)], windows)[0][1]):
+        text = without(text, spans(hits))
+    return text
+
 
+def _remove(sent, n: int, text: str):
     def run(batches):
         import pyarrow as pa
 
-        own = [w.value for w in every]
         for b in batches:
             at = b.schema.get_field_index(text)
             column = b.column(at)
             for first, texts in _blocks(column, BLOCK_BYTES):
-                found = _merged([find(texts, w) for w in own])
+                own = _windows(sent, n)
+                found = find(texts, own)
                 part, old = b.slice(first, len(texts)), column.slice(first, len(texts)).to_pylist()
                 new = [cut(t, own) if len(f[1]) else t for t, f in zip(old, found)]
                 part = part.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
-                keep = pa.array([n is o or bool(n.strip()) for n, o in zip(new, old)], pa.bool_())
-                yield part.filter(keep)
+                yield part.filter(pa.array([n is o or bool(n.strip()) for n, o in zip(new, old)], pa.bool_()))
+
+    return run
+
+
+def _without(text: str, names: list[str]):
+    """Rows (names, __spans) without what lies in their spans."""
+
+    def run(batches):
+        import pyarrow as pa
 
-    return docs.mapInArrow(run, schema)
+        for b in batches:
+            new = [without(t, s) for t, s in zip(b.column(b.schema.get_field_index(text)).to_pylist(), b.column("__spans").to_pylist())]
+            at = names.index(text)
+            part = b.select(range(len(names))).set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+            yield part.filter(pa.array([bool(t.strip()) for t in new], pa.bool_()))
+
+    return run
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "text") -> DataFrame:
+    """`docs` with every benchmark window cut out of `text`; clean rows stay as they are, and rows of which nothing but
+    white space is left go. All columns are kept. With several passes, rows are cut by all passes' spans at once, and
+    what was cut is searched again until nothing is found, as within one pass."""
+    common.ship(docs.sparkSession)
+    items, parts = passes(benchmark)
+    if parts == 1:
+        return docs.mapInArrow(_remove(_pass(items, 0, 1), n, text), docs.schema)
+    length, h = F.octet_length(F.col(text)).cast("long"), F.xxhash64(F.col(text).cast("string"))
+    clean, rest = None, docs
+    while True:
+        keyed = rest.where(F.col(text).isNotNull()).select(length.alias("doc_id"), h.alias("h"), F.col(text).cast("string").alias("text"))
+        hits = common.materialise(_in_turn(keyed, items, parts, n)[1].selectExpr("d as __d", "g as __g", "spans as __spans"), "hits")
+        same = (length == F.col("__d")) & (h == F.col("__g"))
+        left = rest.join(hits, same, "left_anti")
+        clean = left if clean is None else clean.union(left)
+        if not hits.limit(1).count():
+            return clean
+        hit = rest.join(hits, same).select(*[rest[f"`{c}`"] for c in docs.columns], "__spans")
+        rest = common.materialise(hit.mapInArrow(_without(text, docs.columns), docs.schema), "cut")

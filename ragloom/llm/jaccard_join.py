@@ -403,14 +403,14 @@ def _reached(final: bool):
 
 def _search(sets: DataFrame, entries: int, name: str, long: int | None, classed: bool, final: bool) -> DataFrame:
     """Queries among `sets` (SET, own, other) that may have partners, and those that may be partners."""
-    buckets = max(8, -(-entries // RANGE))
-    by_set = sets.select(*SET, "own", "other").repartition(max(common.partitions(sets.sparkSession), -(-entries // BLOCK)), "set_id").sortWithinPartitions("set_id", "id", "h")
+    buckets, parts = max(8, -(-entries // RANGE)), common.parts_for(sets.sparkSession, entries, BLOCK)
+    by_set = sets.select(*SET, "own", "other").repartition(parts, "set_id").sortWithinPartitions("set_id", "id", "h")
     blocks = common.materialise(by_set.mapInArrow(_to_blocks, BLOCKS), f"{name}-blocks")
 
     def turn(blocks: DataFrame, send, answer, close, schema: str, what: str) -> DataFrame:
         pairs = blocks.mapInArrow(send(buckets), PAIRS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
         replies = common.materialise(pairs.mapInArrow(answer, BLOCKS), f"{name}-replies")
-        back = blocks.union(replies).repartition("block").sortWithinPartitions("block", "kind", "bucket")
+        back = blocks.union(replies).repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
         out = common.materialise(back.mapInArrow(close, schema), f"{name}-{what}")
         common.drop(blocks)
         common.drop(replies)
@@ -606,13 +606,15 @@ def _classes(docs: DataFrame) -> DataFrame:
     texts = docs.join(placed, ["id", "h"]).select("set_id", "block", "leader", "leader2", "salts", "text")
     sets = texts.mapInArrow(_add_shingles, "set_id long, block long, leader long, leader2 long, salts long, shingles binary")
     sets = common.materialise(sets.dropDuplicates(["set_id"]), "sets")
+    total, most = found.agg(F.sum("n"), F.count("*")).first()
+    total, mean = total or 0, (total or 0) // max(1, most)
 
     members = sets.where("salts > 0")
     turns = members.selectExpr("*", f"explode(if(salts > 1, sequence(0L, {TURNS - 1}L), array(0L))) as turn")
     dealt = turns.selectExpr("block", "turn * salts + pmod(xxhash64(set_id, turn), salts) as salt", "set_id", "shingles")
     heads = turns.where("salts > 1 and set_id = if(turn = 1, leader2, leader)")
     leaders = heads.selectExpr("block", "explode(sequence(turn * salts, turn * salts + salts - 1)) as salt", "set_id", "shingles")
-    blocks = dealt.union(leaders).repartition("block", "salt").sortWithinPartitions("block", "salt")
+    blocks = dealt.union(leaders).repartition(common.parts_for(spark, TURNS * total, BLOCK), "block", "salt").sortWithinPartitions("block", "salt")
     first = common.materialise(blocks.mapInArrow(_block_links, "a long, b long"), "links")
     known = components(first)
 
@@ -643,7 +645,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     members = place.join(visited, F.expr("block = b and cell = c"), "left_semi").join(roots, "set_id", "left")
     members = members.selectExpr("set_id", "coalesce(root, set_id) as root", "block", "cell", "0 as kind").union(visits.selectExpr("set_id", "root", "block", "cell", "1 as kind"))
     rows = members.join(sets.select("set_id", "shingles"), "set_id").select("block", "cell", "kind", "set_id", "root", "shingles")
-    rows = rows.repartition("block", "cell").sortWithinPartitions("block", "cell", "kind")
+    rows = rows.repartition(common.parts_for(spark, 2 * visits.count() * mean, BLOCK), "block", "cell").sortWithinPartitions("block", "cell", "kind")
     second = common.materialise(rows.mapInArrow(_visit_links, "a long, b long"), "links")
     final = components(first.union(second)) if second.limit(1).count() else known
 

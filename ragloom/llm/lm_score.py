@@ -15,7 +15,7 @@ documents have it. Orders run one after the other, and what the exchange of one
 Words: A-Z lower-cased, split at white space 0x20 and 0x09 to 0x0D. N-grams are 64-bit hashes.
 
 Defined results: null and empty texts have no words, a score of 0 and a null mean; repeated rows and doc_ids are documents of
-their own; an only document has nothing but unseen words; empty tables give empty results; other columns are ignored.
+their own; an only document has nothing but unseen words; a text of any length is one document of one block; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -209,11 +209,11 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, buckets: in
     """doc_id, n_words, log_score, mean_log, n_backoff, n_unseen of every document."""
     spark = docs.sparkSession
     common.ship(spark)
-    buckets = buckets or max(8, common.partitions(spark))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = docs.mapInArrow(_blocks, "block string, doc_ids array<long>, lengths array<long>, types binary, words binary")
     blocks = common.materialise(blocks, "blocks")
     corpus_words = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets = buckets or common.parts_for(spark, corpus_words, BLOCK_WORDS)
     rows = blocks.selectExpr("block", "0 as kind", "0L as bucket", "doc_ids", "lengths", "types", "words", "cast(null as binary) as totals")
     for n in range(1, order + 1):
         pairs = blocks.drop("doc_ids").mapInArrow(_explode(n, buckets), "bucket long, block string, keys binary, counts binary")
@@ -223,7 +223,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, buckets: in
         rows = rows.union(
             replies.selectExpr("block", f"{n} as kind", "bucket", f"{nothing} as doc_ids", f"{nothing} as lengths", "cast(null as binary) as types", "cast(null as binary) as words", "totals")
         )
-    dealt = rows.repartition("block").sortWithinPartitions("block", "kind", "bucket")
+    dealt = rows.repartition(common.parts_for(spark, corpus_words, BLOCK_WORDS), "block").sortWithinPartitions("block", "kind", "bucket")
     out = dealt.mapInArrow(_score(order, corpus_words, alpha), "doc_id long, n_words long, log_score double, n_backoff long, n_unseen long")
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), mean.alias("mean_log"), "n_backoff", "n_unseen")

@@ -5,8 +5,8 @@ over paragraphs:
 
 * `SUM_LANES` lanes of 32 bits: the paragraph's SHA-256, cut into 32-bit words, summed modulo 2^32. Equal multisets have
   equal lanes, in whatever order the paragraphs come; other multisets agree by chance only.
-* `SIGN_LANES` lanes of 32 bits: the paragraph's own vector, which is the sum of sign vectors of its clauses (the pieces between
-  `.`, `,` and line breaks), each sign a bit of the clause's MD5, summed modulo 2^32, which no text has clauses enough to wrap. Inner products of these lanes estimate
+* `SIGN_LANES` lanes of 32 bits: the paragraph's own vector, which is the sum of sign vectors of its clauses (its pieces between
+  `.` and `,`), each sign a bit of the clause's MD5, summed modulo 2^32, which no text has clauses enough to wrap. Inner products of these lanes estimate
   how much two documents share, so their cosine is the fingerprints' likeness; equal fingerprints have likeness 1.
 
 Both are sums, so `add` and `remove` update a fingerprint from fingerprints of what comes or goes, without the document.
@@ -14,7 +14,7 @@ The string has the lanes in order, in lower-case hex, 8 digits each.
 
 Defined results: a null text is an empty one, which has one empty paragraph and no clause; repeated rows have equal fingerprints; with
 repeated doc_ids the next document is the next row by (doc_id, text); a null doc_id counts as the lowest; an only
-document is its own next; empty tables give empty results; other columns are ignored.
+document is its own next; texts of any length are hashed whole; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +29,16 @@ SIGN_LANES = 64
 HALF, MODULUS = 1 << 31, 1 << 32
 #: Two lanes' counts of set bits share a 64-bit sum, 32 bits each, which would carry beyond 2^31 clauses only.
 ROWS_PER_BUCKET = 1_500
+#: Text of a shuffle partition.
+PARTITION_BYTES = 32_000_000
 
 
 def fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, sums array<long>, signs array<long>) of each row of `docs` (keys, text), whose keys are unique: lanes as
     residues. A row's pieces stay in its task until they are summed; only sums are shuffled."""
     paragraphs = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.lit(True).alias("whole"), x.alias("s")))
-    clauses = F.transform(F.split("text", "[.,\n]+ *"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("s")))
+    split = F.flatten(F.transform(F.split("text", "\n", -1), lambda x: F.split(x, "[.,]+ *")))
+    clauses = F.transform(split, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("s")))
     pieces = docs.select(*keys, F.explode(F.concat(paragraphs, F.filter(clauses, lambda c: c["s"] != ""))).alias("piece"))
     hashed = pieces.select(*keys, "piece.whole", F.when(F.col("piece.whole"), F.sha2("piece.s", 256)).otherwise(F.md5("piece.s")).alias("h"))
     lane = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")
@@ -95,17 +98,17 @@ def with_next(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFr
     """`docs` (doc_id, text) as rows (bucket, place) in ascending order, with the text of the next row and, on the last row
     of a bucket, the bucket that holds it; the first row follows the last.
 
-    One shuffle: rows go to equal ranges of doc_id, in each of which a window looks one row ahead. The next of a range's
-    last row is the first of the next range that has rows; there is one such row per range."""
+    One shuffle: rows go to ranges of doc_id, cut at its quantiles, in each of which a window looks one row ahead. The next of
+    a range's last row is the first of the next range that has rows; there is one such row per range."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, (high - low + 1) * rows_per_bucket // max(1, n)) if low is not None else 1
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    docs = common.with_range(docs, "doc_id", "bucket", n, rows_per_bucket)
     order = "partition by bucket order by doc_id nulls first, text"
-    placed = docs.withColumn("bucket", bucket).selectExpr(
+    dealt = docs.repartition(common.parts_for(docs.sparkSession, size or 0, PARTITION_BYTES), "bucket")
+    placed = dealt.selectExpr(
         "doc_id", "bucket", "text", f"row_number() over ({order}) as place", f"lead(text) over ({order}) as ahead"
     )
-    spans = docs.select(bucket.alias("bucket")).distinct().withColumn("span", F.floor(F.col("bucket") / 512))
+    spans = docs.select("bucket").distinct().withColumn("span", F.floor(F.col("bucket") / 512))
     firsts = spans.groupBy("span").agg(F.min("bucket").alias("first"))
     firsts = firsts.selectExpr("span", "coalesce(lead(first) over (order by span), min(first) over ()) as following")
     after = "coalesce(lead(bucket) over (partition by span order by bucket), following)"

@@ -13,7 +13,8 @@ Segments lie, in ascending doc_id order, as rows (shard, segment, first_id, payl
 Spark's committer writes to any file system: a lost executor's segments are written anew and never twice.
 
 Defined results: a null text is an empty one (one end id); empty tables give an empty store; repeated doc_ids are all
-kept, ordered by (doc_id, text), a null doc_id counts as the lowest and is returned as null; other columns are ignored.
+kept, ordered by (doc_id, packed ids), a null doc_id counts as the lowest and is returned as null; texts of any length are
+encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BLOCK = 65_536
 END_ID = 2
 SEGMENT_IDS = 500_000
 ROWS_PER_SHARD = 4_000
+#: Text whose ids make a shuffle partition.
+PARTITION_BYTES = 64_000_000
 NULL_ID = -(2**63)
 MARKS = ".,;:!?#$%&*+=@~^\"()[]{}/-"
 
@@ -248,14 +251,6 @@ def _segments(kind: int, block: int, segment_ids: int):
     return run
 
 
-def shards(docs: DataFrame, rows_per_shard: int) -> tuple[int, int]:
-    """(lowest doc_id, ids per shard): equal doc_id ranges that hold `rows_per_shard` rows each where ids are dense."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if low is None:
-        return 0, 1
-    return low, max(1, (high - low + 1) * rows_per_shard // max(1, n))
-
-
 def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, planes: int = BYTE_PLANES,
           block: int = BLOCK, segment_ids: int = SEGMENT_IDS, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """Encode `docs` (doc_id, text), write them as a token store at `path` (default: the shared folder), and return the
@@ -263,10 +258,9 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    low, width = shards(docs, rows_per_shard)
-    shard = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    encoded = docs.select(shard.alias("shard"), "doc_id", "text").mapInArrow(_encode(tokenizer, end_id), "shard long, doc_id long, ids binary")
-    dealt = encoded.repartition(F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    encoded = common.with_range(docs, "doc_id", "shard", n, rows_per_shard).select("shard", "doc_id", "text").mapInArrow(_encode(tokenizer, end_id), "shard long, doc_id long, ids binary")
+    dealt = encoded.repartition(common.parts_for(spark, size or 0, PARTITION_BYTES), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     out = dealt.mapInArrow(_segments(planes, block, segment_ids), "shard long, segment long, n_docs long, n_ids long, payload binary")
     if path is None:
         return common.materialise(out, "tokens")

@@ -152,6 +152,18 @@ def test_remove_leaves_nothing_to_find_and_clean_rows_alone(spark):
     assert texts[2] == TEXTS[2] and texts[3] is None and texts[4] == "" and texts[5] == "---" and 8 not in texts
 
 
+def test_passes_agree_with_one_pass(spark, monkeypatch):
+    texts = [*enumerate(TEXTS), (3, None), (50, " ".join(f"w{i % 4000}" for i in range(200_000)) + " short item")]
+    df = clashing(spark.createDataFrame(texts, "doc_id long, text string"))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    once = rows(fm_index.remove(df, items), "doc_id", "text")
+    monkeypatch.setattr(fm_index, "PASS_BYTES", 60)
+    again = fm_index.remove(df, items)
+    assert again.columns == df.columns and not fm_index.digest(fm_index.scan(again, items)).where("contaminated").count()
+    assert [r[0] for r in rows(again, "doc_id", "text")] == [r[0] for r in once]
+    assert rows(fm_index.remove(df.where("doc_id in (0, 50)"), items), "doc_id", "text") == [r for r in once if r[0] in (0, 50)]
+
+
 def test_fm_index_against_plain_search():
     rng = np.random.default_rng(3)
     text = rng.integers(1, 5, 500)

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import ROWS, clashing, documents, rows
 from pyspark.sql import functions as F
 
@@ -180,6 +181,59 @@ def test_fingerprints_are_multiset_sums(spark):
     assert (r.a, r.b) == (got[3], got[1])
 
 
+def brute_lanes(text):
+    """(sums, signs) with plain integers."""
+    import hashlib
+
+    sums, signs = [0] * multiset_hash.SUM_LANES, [0] * multiset_hash.SIGN_LANES
+    for paragraph in text.split("\n"):
+        digest = hashlib.sha256(paragraph.encode()).hexdigest()
+        for i in range(len(sums)):
+            sums[i] = (sums[i] + int(digest[8 * i : 8 * i + 8], 16)) % 2**32
+        for clause in re.split("[.,]+ *", paragraph):
+            if clause:
+                digest = hashlib.md5(clause.encode()).hexdigest()
+                for half in (0, 1):
+                    word = int(digest[8 * half : 8 * half + 8], 16)
+                    for i in range(32):
+                        signs[32 * half + i] += 1 if word >> i & 1 else -1
+    return sums, signs
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    norm = sum(x * x for x in a[1]) * sum(x * x for x in b[1])
+    return max(0.0, min(1.0, sum(x * y for x, y in zip(a[1], b[1])) / math.sqrt(norm))) if norm else 0.0
+
+
+def test_lanes_and_likeness_against_plain_integers(spark):
+    texts = ["x\n  b", "  b\nx", "one, two. three\nfour", "four\none, two. three", "", "...", "a.b.c.d,e\n\n f ,g", "one, two. other\nfour, five"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in multiset_hash.report(df).collect()}
+    assert len(out) == len(texts) and out[0].fingerprint == out[1].fingerprint and out[2].fingerprint == out[3].fingerprint
+    for i, t in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        own = brute_lanes(t)
+        for got, lanes in ((out[i].fingerprint, own), (out[i].edited_fingerprint, brute_lanes(edited))):
+            assert got == "".join(f"{x % 2**32:08x}" for x in [*lanes[0], *lanes[1]])
+        assert out[i].near_edited == pytest.approx(brute_likeness(own, brute_lanes(edited))) and out[i].near_next == pytest.approx(brute_likeness(own, brute_lanes(following)))
+
+
+@pytest.mark.parametrize("each, quantiles", [(3, 4096), (2, 7)])
+def test_far_off_ids_leave_ranges_small_and_in_order(spark, monkeypatch, each, quantiles):
+    from ragloom.llm import common
+
+    monkeypatch.setattr(common, "QUANTILES", quantiles)
+    ids = [-(2**63) + 1, *range(200), 10**15, 2**63 - 1, None]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = {r.doc_id: r.b for r in common.with_range(df, "doc_id", "b", len(ids), each).collect()}
+    assert got.pop(None) == -1
+    places = [got[i] for i in sorted(got)]
+    assert places == sorted(places) and max(Counter(places).values()) <= max(3 * each, 2 * len(ids) // quantiles)
+
+
 def test_fingerprint_report(spark, monkeypatch):
     import hashlib
 
@@ -236,7 +290,9 @@ def test_scores_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BLOCK_WORDS", 5_000)
     got = lm_score.score(clashing(documents(spark)).repartition(3), buckets=5).collect()
     ours = sorted(((r.doc_id, r.n_words, round(r.log_score, 3), r.n_backoff, r.n_unseen) for r in got), key=str)
-    for a, b in zip(ours, brute_scores([(r[0], r[1]) for r in ROWS])):
+    expected = brute_scores([(r[0], r[1]) for r in ROWS])
+    assert len(ours) == len(expected)
+    for a, b in zip(ours, expected):
         assert a[:2] == b[:2] and a[3:] == b[3:] and abs(a[2] - b[2]) < 0.01
     assert all((r.mean_log is None) == (r.n_words == 0) for r in got)
     assert lm_score.score(documents(spark, [])).count() == 0
