@@ -1,7 +1,11 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark decontamination, mixing, token output.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next one's
-`docs`. All but the last return the columns of `documents`.
+`docs`. All but the last return the columns of `documents`, extra columns included.
+
+Defined results: rows with a null or empty text are clean and stay, up to mixing, which may leave them out like any other; rows whose
+text decontamination empties go; repeated rows are one group of copies, of which one row stays, but rows without a word are
+linked with nothing and all stay; a null doc_id counts as the lowest; empty tables give empty results; texts of any length are taken whole.
 """
 
 from __future__ import annotations
