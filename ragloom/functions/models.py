@@ -9,14 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 Factory = Callable[[], Callable[[list], list]]
 
 
 def call(df: DataFrame, column: str, out: str, factory: Factory, kind: str, retries: int = 3, wait: float = 5.0, batch: int = 64) -> DataFrame:
     """`df` with `out`, the model's output for `column`. A failing batch is tried again after 1, 2, .. times `wait` seconds."""
-    schema = T.StructType([*df.schema.fields]).add(out, kind)
-    names = df.columns
+    made_type = T.DataType.fromDDL(kind)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, made_type)])
+    names, arrow = df.columns, to_arrow_type(made_type)
 
     def run(batches):
         import pyarrow as pa
@@ -34,7 +36,7 @@ def call(df: DataFrame, column: str, out: str, factory: Factory, kind: str, retr
                         if attempt == retries:
                             raise
                         time.sleep(wait * attempt)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made)], [*names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, arrow)], [*names, out])
 
     return df.mapInArrow(run, schema)
 
@@ -46,18 +48,21 @@ def call_distinct(df: DataFrame, column: str, out: str, factory: Factory, kind:
 
 
 def hashed_embedder(size: int = 16) -> Factory:
-    """Stand-in embedder: signed counts of hashed words, to unit length."""
+    """Stand-in embedder: signed counts of hashed words (between 0x20 and 0x09 to 0x0D), to unit length."""
 
     def factory():
+        import hashlib
         import math
-        import zlib
+        import re
+
+        word = re.compile(r"[^\x20\x09-\x0D]+")
 
         def embed(texts):
             out = []
             for t in texts:
                 v = [0.0] * size
-                for w in (t or "").lower().split():
-                    h = zlib.crc32(w.encode())
+                for w in word.findall((t or "").lower()):
+                    h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
                     v[h % size] += 1.0 if h & 0x8000 else -1.0
                 norm = math.sqrt(sum(x * x for x in v)) or 1.0
                 out.append([x / norm for x in v])

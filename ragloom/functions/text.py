@@ -46,6 +46,16 @@ def content_words(text: Column, stop: Iterable[str] = CONTENT_STOP_WORDS) -> Col
     return F.array_distinct(F.filter(tokens(text), lambda w: (F.length(w) > 2) & ~w.isin(drop)))
 
 
+def phrases(text: Column, n: int) -> Column:
+    """All runs of `n` consecutive tokens, joined by one blank, repeats kept."""
+
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(tokens(text)), runs)[0]  # the outer array binds the tokens, so that they are made once
+
+
 def normalize(text: Column) -> Column:
     return F.array_join(tokens(text), " ")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,20 +112,27 @@ def population_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).withColumns({f"{c}_scaled": e for c, e in scaled.items()})
 
 
-def estimator(kind: str, numeric: list[str], categorical: list[str], label: str = "help"):
+def estimator(kind: str, numeric: list[str], categorical: list[str], label: str = "help", rows: int = 2, strength: float = 1.0, iterations: int = 200):
+    """Standardised numbers (population deviation) and one-hot categories, where a category that was not seen is all zeros, into a
+    logistic regression with squared penalty 1 / `strength` or boosted trees. `rows`: how many it will be fitted on."""
     index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categorical]
     hot = [OneHotEncoder(inputCols=[f"{c}_i" for c in categorical], outputCols=[f"{c}_h" for c in categorical], dropLast=True)] if categorical else []
-    wide = [VectorAssembler(inputCols=numeric, outputCol="numbers"), StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True)]
+    wide = [VectorAssembler(inputCols=numeric, outputCol="numbers"), StandardScaler(inputCol="numbers", outputCol="sample", withMean=True, withStd=True)]
+    population = ElementwiseProduct(inputCol="sample", outputCol="scaled", scalingVec=Vectors.dense([(rows / max(1, rows - 1)) ** 0.5] * len(numeric)))
     all_of = VectorAssembler(inputCols=["scaled", *[f"{c}_h" for c in categorical]], outputCol="features")
-    if kind == "logreg":
-        model = LogisticRegression(labelCol=label, weightCol="weight", regParam=0.001, standardization=False, maxIter=100)
+    if kind == "logreg":  # weights sum to `rows`, and the mean loss stands for the sum
+        model = LogisticRegression(labelCol=label, weightCol="weight", regParam=1.0 / (strength * max(1, rows)), standardization=False, maxIter=2000)
     else:
-        model = GBTClassifier(labelCol=label, weightCol="weight", maxDepth=3, stepSize=0.05, maxIter=20, seed=0)
-    return Pipeline(stages=[*index, *hot, *wide, all_of, model])
+        model = GBTClassifier(labelCol=label, weightCol="weight", maxDepth=3, stepSize=0.05, maxIter=iterations, seed=0)
+    return Pipeline(stages=[*index, *hot, *wide, population, all_of, model])
 
 
-def fit(train: DataFrame, kind: str, numeric: list[str], categorical: list[str], label: str = "help"):
-    return estimator(kind, numeric, categorical, label).fit(class_weights(train.where(F.col(label).isNotNull()), label))
+def fit(train: DataFrame, kind: str, numeric: list[str], categorical: list[str], label: str = "help", **options):
+    """A category column that has one value in `train` tells nothing and is left out."""
+    train = train.where(F.col(label).isNotNull())
+    found = train.agg(F.count("*").alias("__rows"), *[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+    varied = [c for c in categorical if found[c] > 1]
+    return estimator(kind, numeric, varied, label, found["__rows"], **options).fit(class_weights(train, label))
 
 
 def predict(model, rows: DataFrame, out: str = "p") -> DataFrame:
@@ -143,7 +151,7 @@ def coefficients(model) -> list[tuple[str, float]]:
     return sorted(zip(names, stages[-1].coefficients.toArray().tolist()), key=lambda x: -abs(x[1]))
 
 
-def cross_fit(df: DataFrame, numeric: list[str], categorical: list[str], kinds=("logreg",), folds: int = 3, inner: int = 2, label: str = "help") -> DataFrame:
+def cross_fit(df: DataFrame, numeric: list[str], categorical: list[str], kinds=("logreg",), folds: int = 5, inner: int = 3, label: str = "help") -> DataFrame:
     """Out-of-fold probability and threshold of every row. Within each training part the model kind is the one with the best
     grouped out-of-fold AUC, the threshold the one with the best gain, the first of equals; the model is refitted on all of it.
 

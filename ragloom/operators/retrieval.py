@@ -44,6 +44,13 @@ def bm25(cards: DataFrame, questions: DataFrame, part: str = "country", card: st
     return grid.join(hits, [part, question, card], "left").select(part, question, card, F.round(F.coalesce("s", F.lit(0.0)), DIGITS).alias("bm25"))
 
 
+def mentions(cards: DataFrame, golds: DataFrame, keys: list[str], body: str, lengths: list[int]) -> DataFrame:
+    """`golds` (gold: phrases in normal form of `lengths` words, other columns) with the cards (keys) that hold them as whole words:
+    an equi-join on the phrase, so that no pattern meets every text."""
+    own = F.array_distinct(F.concat(*[text.phrases(F.col(body), n) for n in lengths]))
+    return cards.select(*keys, F.explode(own).alias("gold")).join(golds, "gold")
+
+
 def dense(queries: DataFrame, cards: DataFrame, part: str, query: str, card: str, a: str, b: str) -> DataFrame:
     """Cosine of unit vectors for every card of a query's partition."""
     q = queries.select(part, query, scores.l2_normalize(F.col(a)).alias("__q"))

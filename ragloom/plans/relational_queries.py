@@ -44,14 +44,14 @@ def json_props_extract(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(get("$.k"), F.lit(-1)).alias("k"), F.coalesce(get("$.absent"), F.lit(0)).alias("absent"))
 
 
-@query("select doc_id, source, null as kb_version from documents where lang <> 'es' union all select doc_id, source, 'v2' from documents where lang = 'es'")
+@query("select doc_id, source, null as kb_version from documents where lang is distinct from 'es' union all select doc_id, source, 'v2' from documents where lang = 'es'")
 def union_optional_kb(t: Tables) -> DataFrame:
-    first = t.documents.where("lang <> 'es'").select("doc_id", "source")
+    first = t.documents.where("not (lang <=> 'es')").select("doc_id", "source")
     second = t.documents.where("lang = 'es'").select("doc_id", "source", F.lit("v2").alias("kb_version"))
     return readers.with_optional(first, second)
 
 
-@query(None)
+@query("select n_nationkey, 'nation' as run from nation")
 def file_metadata_partition(t: Tables) -> DataFrame:
     """The file name as a partition value."""
     names = t.spark.read.parquet(f"{t.dir}/nation.parquet").select("n_nationkey", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1).alias("run"))
@@ -101,9 +101,9 @@ def pending_groups(t: Tables) -> DataFrame:
 
 
 # Projections and filters
-@query(f"with {CARDS} select card_id, case when language = 'en' then left(text_en, 40) else country end as shown from cards")
+@query(f"with {CARDS} select card_id, case when language = 'en' then text_en else country end as shown from cards")
 def conditional_projection(t: Tables) -> DataFrame:
-    shown = jobs.question_text(F.col("language"), F.lit("en"), F.substring("text_en", 1, 40), F.col("country"))
+    shown = jobs.question_text(F.col("language"), F.lit("en"), F.col("text_en"), F.col("country"))
     return roles.cards(t).select("card_id", shown.alias("shown"))
 
 
@@ -373,7 +373,7 @@ def describe_min_med_max(t: Tables) -> DataFrame:
     return scoring.describe(t.lineitem, "l_quantity")
 
 
-@query(None)
+@query(f"with {JOBS} select job_id, array_to_string(w[greatest(1, len(w) - 4):], ' ') as response from (select job_id, regexp_extract_all(coalesce(prompt, ''), '[^\\x20\\x09-\\x0D]+') as w from jobs)")
 def generate_standin(t: Tables) -> DataFrame:
     """The generation stage with its stand-in model."""
     return models.call(roles.jobs(t).select("job_id", "prompt"), "prompt", "response", models.echo_generator(), "string").select("job_id", "response")

@@ -14,7 +14,6 @@ from ragloom.operators import retrieval
 
 from .registry import Tables
 
-VECTORS = 500  # of the SQL below only, which is right up to 500 vectors; the plans use all
 DEV = ("src0", "src1", "src2")
 PROMPTS = ("p0", "p1")
 MODELS = ("m0", "m1", "m2")
@@ -32,16 +31,14 @@ def questions(t: Tables) -> DataFrame:
 
 
 def golds(t: Tables) -> DataFrame:
-    """The first three, by alphabet, of an item's distinct tokens of eight letters or more."""
-    long = F.filter(text.tokens(F.col("text")), lambda w: F.length(w) >= 8)
-    return t.benchmark.select("item_id", F.explode(F.slice(F.array_sort(F.array_distinct(long)), 1, 3)).alias("gold"))
+    """An item's gold answers: its distinct phrases of two words of six letters or more each."""
+    long = F.filter(text.phrases(F.col("text"), 2), lambda p: F.forall(F.split(p, " "), lambda w: F.length(w) >= 6))
+    return t.benchmark.select("item_id", F.explode(F.array_distinct(long)).alias("gold"))
 
 
 def gold_hits(t: Tables) -> DataFrame:
-    """(country, item_id, card_id, gold=true) of cards that have a gold as a token: an equi-join on the token."""
-    g = golds(t)
-    words = cards(t).select("country", "card_id", F.explode(F.array_distinct(text.tokens(F.col("text_en")))).alias("gold"))
-    return words.join(F.broadcast(g), "gold").select("country", "item_id", "card_id").distinct().withColumn("gold", F.lit(True))
+    """(country, item_id, card_id, gold=true) of cards that mention a gold as whole words."""
+    return retrieval.mentions(cards(t), golds(t), ["country", "card_id"], "text_en", [2]).select("country", "item_id", "card_id").distinct().withColumn("gold", F.lit(True))
 
 
 def dense_scores(t: Tables) -> DataFrame:
@@ -123,16 +120,22 @@ CARDS = "cards as (select doc_id as card_id, source as country, lang as language
 QUESTIONS = (
     "questions as (select country, item_id, text as question, 't' || (item_id % 6) as topic from benchmark cross join (select distinct source as country from documents))"
 )
-GOLDS = f"golds as (select item_id, unnest(list_sort(list_distinct(list_filter({tok('text')}, lambda w: length(w) >= 8)))[1:3]) as gold from benchmark)"
+def pairs(x: str) -> str:
+    """Phrases of two consecutive tokens of the list `x`."""
+    return f"list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i + 1])"
+
+
+GOLDS = f"""golds as (select distinct item_id, gold from (select item_id, unnest({pairs('w')}) as gold from (select item_id, {tok('text')} as w from benchmark))
+    where length(split_part(gold, ' ', 1)) >= 6 and length(split_part(gold, ' ', 2)) >= 6)"""
 HITS = (
-    f"hits as (select distinct w.country, g.item_id, w.card_id, true as gold from (select country, card_id, unnest(list_distinct({tok('text_en')})) as gold from cards) w"
+    f"hits as (select distinct w.country, g.item_id, w.card_id, true as gold from (select country, card_id, unnest(list_distinct({pairs('w')})) as gold from (select country, card_id, {tok('text_en')} as w from cards)) w"
     " join golds g using (gold))"
 )
-DENSE = f"""unit as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as u
-    from embeddings where vec_id < {VECTORS}),
-pairs as (select a.vec_id as qv, b.vec_id as cv, round(list_inner_product(a.u, b.u), 6) as dense from unit a join (select distinct item_id % {VECTORS} as qv from benchmark) q
-    on q.qv = a.vec_id cross join unit b),
-dense as (select country, item_id, card_id, dense from questions join cards using (country) join pairs on qv = item_id % {VECTORS} and cv = (card_id * 7 + 3) % {VECTORS})"""
+DENSE = """unit as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as u from embeddings),
+dims as (select n, (select min(s) from range(7, 200) r(s) where gcd(s, n) = 1) as step from (select greatest(1, count(*)) as n from embeddings)),
+qs as (select country, item_id, u as qu from questions cross join dims join unit on vec_id = item_id % n),
+cs as (select country, card_id, u as cu from cards cross join dims join unit on vec_id = (card_id * step + 3) % n),
+dense as (select country, item_id, card_id, round(list_inner_product(qu, cu), 6) as dense from qs join cs using (country))"""
 BM25 = f"""ct as (select country, card_id, {idx('text_en')} as terms from cards),
 lens as (select country, card_id, len(terms)::bigint as dl from ct),
 tf as (select country, card_id, term, count(*) as tf from (select country, card_id, unnest(terms) as term from ct) group by all),

@@ -45,8 +45,8 @@ def append_missing(df: DataFrame, spark: SparkSession, path: str, key: list[str]
 def cached(spark: SparkSession, path: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
     """A table kept under a path that spells its parameters out."""
     at = f"{path}/" + "/".join(f"{k}={v}" for k, v in sorted(key.items()))
-    if not exists(spark, at):
-        make().write.parquet(at)
+    if not exists(spark, f"{at}/_SUCCESS"):  # a half-written folder is no finished one
+        make().write.mode("overwrite").parquet(at)
     return spark.read.parquet(at)
 
 
