@@ -101,7 +101,29 @@ def test_simple_tree_matching():
         return node
 
     a, b = tree(("r", ("a",), ("b", ("x",)), ("c",))), tree(("r", ("b", ("x",), ("y",)), ("d",), ("c",)))
-    assert html_wrapper.match(a.kids, b.kids) == (3, [(1, 0), (2, 2)])
+    assert html_wrapper.match(a, b)[id(a), id(b)] == (3, [(1, 0), (2, 2)])
+
+
+def test_template_decides_where_pages_have_no_landmarks(spark, monkeypatch):
+    """No article, no telling names, classes that change from page to page: only the host's template tells content from the rest."""
+    monkeypatch.setattr(html_wrapper, "GROUP", 5)
+    monkeypatch.setattr(html_wrapper, "TEXTS", 4)
+    page = "<body><div><span>Our site</span></div><div class=x{c}><p>story {n} begins here</p><p>and {n} ends</p></div><div><p>{often}</p></div><div><p>Made by us</p></div></body>"
+    data = [(i, "http://one.example/x", page.format(c=i % 2, n=i, often="on most pages" if i % 100 < 81 else f"once {i}")) for i in range(200)]
+    data += [(1000 + i, "http://two.example/x", page.format(c=0, n=i, often="on some pages" if i % 100 < 78 else f"once {i}")) for i in range(200)]
+    out = {r.page_id: r.text for r in html_wrapper.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for i, _, html in data:
+        n, alone = i % 1000, html_wrapper.extract(html, None)
+        often = [] if n % 100 < 81 and i < 1000 else ["on some pages" if n % 100 < 78 and i >= 1000 else f"once {n}"]
+        assert out[i] == "\n".join([f"story {n} begins here", f"and {n} ends", *often]) and alone != out[i] and "Our site" in alone
+
+
+def test_deep_long_and_repeated_pages(spark):
+    deep = "<div>" * 30_000 + "<p>deep {n}</p>" + "</div>" * 30_000
+    many = "<ul>" + "".join(f"<li>{{n}} item {i}</li>" for i in range(20_000)) + "</ul>"
+    data = [(i, "http://deep.example/", deep.format(n=i // 2)) for i in range(4)] + [(10 + i, "http://many.example/", many.replace("{n}", str(i))) for i in range(2)]
+    out = {r.page_id: r.text for r in html_wrapper.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(4)] == ["deep 0", "deep 0", "deep 1", "deep 1"] and out[11].count("\n") == 19_999
 
 
 # Licences
