@@ -152,17 +152,17 @@ def coefficients(model) -> list[tuple[str, float]]:
 
 
 def cross_fit(df: DataFrame, numeric: list[str], categorical: list[str], kinds=("logreg",), folds: int = 5, inner: int = 3, label: str = "help") -> DataFrame:
-    """Out-of-fold probability and threshold of every row. Within each training part the model kind is the one with the best
+    """By grouped folds that are balanced by rows: out-of-fold probability and threshold of every row. Within each training part the model kind is the one with the best
     grouped out-of-fold AUC, the threshold the one with the best gain, the first of equals; the model is refitted on all of it.
 
-    `df` needs `template`. Models are fitted one after the other by the driver; data stay distributed."""
+    `df` needs `template`, of which there must be three at least. Models are fitted one after the other by the driver; data stay distributed."""
     spark = df.sparkSession
-    df = df.withColumn("fold", hash_folds(F.col("template"), folds)).persist()
+    df = df.join(balanced_folds(df, "template", folds), "template").persist()
     grid = spark.createDataFrame([(i, t) for i, t in enumerate(THRESHOLDS)], "pos int, t double")
     parts = []
-    for k in range(folds):
+    for k in sorted(r.fold for r in df.select("fold").distinct().collect()):
         train, test = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
-        train = train.withColumn("inner", hash_folds(F.concat(F.lit("inner"), F.col("template")), inner))
+        train = train.join(balanced_folds(train, "template", inner).withColumnRenamed("fold", "inner"), "template").persist()
         best = None
         for kind in kinds:
             oof = None
