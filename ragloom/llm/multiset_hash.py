@@ -113,7 +113,8 @@ def with_next(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFr
     firsts = firsts.selectExpr("span", "coalesce(lead(first) over (order by span), min(first) over ()) as following")
     after = "coalesce(lead(bucket) over (partition by span order by bucket), following)"
     after = spans.join(firsts, "span").selectExpr("bucket", f"{after} as next_bucket")
-    heads = placed.where("place = 1").selectExpr("bucket as next_bucket", "text as head")
+    # from `docs`, where each task leaves one row of a range before anything moves
+    heads = docs.selectExpr("bucket as next_bucket", "text as head", f"row_number() over ({order}) as place").where("place = 1").drop("place")
     heads = heads.join(after, "next_bucket").selectExpr("bucket as b", "next_bucket", "head")
     joined = placed.join(heads, (F.col("bucket") == F.col("b")) & F.col("ahead").isNull(), "left")
     return joined.selectExpr("doc_id", "bucket", "place", "next_bucket", "text", "coalesce(ahead, head) as next_text")
