@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ragloom.functions import scores
+
 Factory = Callable[[], Callable[[list], list]]
 
 
@@ -21,6 +23,8 @@ def call(df: DataFrame, column: str, out: str, factory: Factory, kind: str, retr
     names, arrow = df.columns, to_arrow_type(made_type)
 
     def run(batches):
+        from http.client import HTTPException
+
         import pyarrow as pa
 
         model = factory()
@@ -32,7 +36,7 @@ def call(df: DataFrame, column: str, out: str, factory: Factory, kind: str, retr
                     try:
                         made = model(given)
                         break
-                    except (OSError, ValueError):
+                    except (OSError, ValueError, HTTPException):
                         if attempt == retries:
                             raise
                         time.sleep(wait * attempt)
@@ -47,6 +51,41 @@ def call_distinct(df: DataFrame, column: str, out: str, factory: Factory, kind:
     return df.join(once, F.col(column).eqNullSafe(F.col("__given")), "left").drop("__given")
 
 
+#: What `chat_client` returns.
+CHAT = "struct<response:string, top_logprobs:array<struct<token:string, logprob:double>>>"
+
+
+def chat_client(url: str, model: str, logprobs: int = 0, max_tokens: int | None = None, timeout: float = 600.0, **options) -> Factory:
+    """Generation over HTTP: one JSON request per prompt, greedy unless `options` say otherwise. With `logprobs`, the first token's
+    alternatives come along, for `scores.p_yes`. A server that fails or answers no JSON makes `call` try again."""
+
+    def factory():
+        import json
+        import urllib.request
+
+        settings = {"temperature": 0, **({"num_predict": max_tokens} if max_tokens is not None else {}), **options}
+        extra = {"logprobs": True, "top_logprobs": logprobs} if logprobs else {}
+
+        def ask(prompt):
+            body = json.dumps({"model": model, "prompt": prompt or "", "stream": False, "options": settings, **extra}).encode()
+            request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+            with urllib.request.urlopen(request, timeout=timeout) as reply:
+                got = json.load(reply)
+            first = (got.get("logprobs") or [{}])[0].get("top_logprobs") or []
+            return {"response": got.get("response"), "top_logprobs": [{"token": x["token"], "logprob": float(x["logprob"])} for x in first]}
+
+        return lambda prompts: [ask(p) for p in prompts]
+
+    return factory
+
+
+def judge(df: DataFrame, prompt: str, factory: Factory, **how) -> DataFrame:
+    """`df` with the judge's P(YES), where it comes from, and the raw answer."""
+    asked = call(df, prompt, "__said", factory, CHAT, **{"batch": 1, **how})
+    lps, said = F.col("__said.top_logprobs"), F.col("__said.response")
+    return asked.select(*df.columns, F.round(scores.p_yes(lps, said), 6).alias("p_yes"), scores.p_yes_source(lps).alias("how"), said.alias("raw"))
+
+
 def hashed_embedder(size: int = 16) -> Factory:
     """Stand-in embedder: signed counts of hashed words (between 0x20 and 0x09 to 0x0D), to unit length."""
 

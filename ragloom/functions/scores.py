@@ -65,3 +65,10 @@ def p_yes(token_logprobs: Column, response: Column) -> Column:
     yes, no = mass("YES"), mass("NO")
     said = F.startswith(F.upper(F.trim(F.coalesce(response, F.lit("")))), F.lit("YES"))
     return F.when(yes + no > 0, yes / (yes + no)).otherwise(F.when(said, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
+def p_yes_source(token_logprobs: Column) -> Column:
+    """`logprobs` where an alternative says yes or no, `text` where only the response can tell."""
+    lps = F.coalesce(token_logprobs, F.array().cast("array<struct<token:string,logprob:double>>"))
+    said = F.exists(lps, lambda t: F.upper(F.trim(t["token"])).rlike("^(YES|NO)"))
+    return F.when(said, "logprobs").otherwise("text")

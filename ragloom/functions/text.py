@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,8 +123,31 @@ Do the background notes explicitly state an answer to this question (not just me
 Reply with only YES or NO."""
 
 
+def listed(texts: Column) -> Column:
+    """`- first`, `- second`, one per line."""
+    return F.array_join(F.transform(texts, lambda t: F.concat(F.lit("- "), t)), "\n")
+
+
 def judge_prompt(country: Column, question: Column, texts: Column) -> Column:
-    return fill_all(JUDGE, {"country": country, "question": question, "notes": numbered(texts)})
+    """Underscores of a country's name become blanks."""
+    return fill_all(JUDGE, {"country": F.translate(country, "_", " "), "question": question, "notes": listed(texts)})
+
+
+Normaliser = Callable[[Column], Column]
+
+
+def normalised_by(language: Column, text: Column, registry: dict[str, Normaliser]) -> Column:
+    """Base forms by the language's own normaliser. One that isn't registered is an error only when a row of it is reached, so
+    that languages nobody uses need no tool."""
+    out = F.raise_error(F.concat(F.lit("no normaliser for "), F.coalesce(language, F.lit("null")))).cast("array<string>")
+    for name, base in registry.items():
+        out = F.when(language == name, base(text)).otherwise(out)
+    return out
+
+
+def has_normaliser(language: Column, registry: dict[str, Normaliser]) -> Column:
+    """Rows to keep where languages without a tool are skipped; a null language has none."""
+    return F.coalesce(language.isin(list(registry)), F.lit(False))
 
 
 def index_text(text: Column, keywords: Column) -> Column:

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from ragloom.functions import text
 
 THRESHOLDS = [i / 100.0 for i in range(30, 71, 5)]
+RANGES = 256  # of scores, when ranks are made
+RETRIEVAL = ["r_max", "r_mean", "r_min", "r_gap", "n_cards"]
+BEHAVIOUR = ["base_agree", "base_in_cards", "rag_in_cards", "changed", "rag_base_overlap", "base_len", "rag_len"]
+CONTEXT = ["is_english"]
+JUDGE = "judge_yes"
 
 
 def help_label(before: Column, after: Column) -> Column:
@@ -52,12 +57,18 @@ def agreement(answers: DataFrame, keys: list[str], prompt: str, first: str, seco
 def auc(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
     """Exact ROC-AUC (ties count half) per group: mean ranks, then the rank sum of the positives. Groups of one class go.
 
-    Ranks come from counts per distinct score, so that a group's rows are pre-aggregated before any window."""
+    Ranks come from counts per distinct score, so that a group's rows are pre-aggregated before any window. Windows run within
+    ranges of scores, cut at `RANGES` quantiles; what lies below a range is one number per group and range."""
     keys = keys or []
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     per = rows.groupBy(*keys, score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count("*").cast("double").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0.0)) + (F.col("n") + 1) / 2)
+    cuts = per.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)]).alias("__cuts"))
+    per = per.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(score)))).drop("__cuts")
+    w = Window.partitionBy(*keys, "__range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = per.groupBy(*keys, "__range").agg(F.sum("n").alias("__n")).withColumn("__below", F.coalesce(F.sum("__n").over(below), F.lit(0.0))).drop("__n")
+    per = per.join(ranges, [*keys, "__range"])
+    per = per.withColumn("rank", F.col("__below") + F.coalesce(F.sum("n").over(w), F.lit(0.0)) + (F.col("n") + 1) / 2)
     total = per.groupBy(*keys).agg(F.sum("pos").alias("n1"), F.sum(F.col("n") - F.col("pos")).alias("n0"), F.sum(F.col("pos") * F.col("rank")).alias("r"))
     total = total.where((F.col("n1") > 0) & (F.col("n0") > 0))
     return total.select(*keys, F.round((F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0")), 6).alias("auc"))
@@ -151,38 +162,72 @@ def coefficients(model) -> list[tuple[str, float]]:
     return sorted(zip(names, stages[-1].coefficients.toArray().tolist()), key=lambda x: -abs(x[1]))
 
 
-def cross_fit(df: DataFrame, numeric: list[str], categorical: list[str], kinds=("logreg",), folds: int = 5, inner: int = 3, label: str = "help") -> DataFrame:
-    """By grouped folds that are balanced by rows: out-of-fold probability and threshold of every row. Within each training part the model kind is the one with the best
-    grouped out-of-fold AUC, the threshold the one with the best gain, the first of equals; the model is refitted on all of it.
+def feature_sets(df: DataFrame) -> dict[str, list[str]]:
+    """Number columns by name of the set. The full set is there only if every row has the judge's probability."""
+    sets = {"retrieval": RETRIEVAL + CONTEXT, "no_judge": RETRIEVAL + BEHAVIOUR + CONTEXT}
+    if JUDGE in df.columns and not df.where(F.col(JUDGE).isNull()).take(1):
+        sets["full"] = sets["no_judge"] + [JUDGE]
+    return sets
 
-    `df` needs `template`, of which there must be three at least. Models are fitted one after the other by the driver; data stay distributed."""
-    spark = df.sparkSession
+
+def select_model(train: DataFrame, numeric: list[str], categorical: list[str], kinds=("logreg",), inner: int = 3, label: str = "help"):
+    """(fitted model, kind, threshold): the kind with the best grouped out-of-fold AUC, the threshold with the best gain, the first
+    of equals; the model is refitted on all of `train`. Only labelled rows count."""
+    train = train.where(F.col(label).isNotNull())
+    train = train.join(balanced_folds(train, "template", inner).withColumnRenamed("fold", "inner"), "template").persist()
+    grid = train.sparkSession.createDataFrame(list(enumerate(THRESHOLDS)), "pos int, t double")
+    best = None
+    for kind in kinds:
+        oof = None
+        for j in range(inner):
+            model = fit(train.where(F.col("inner") != j), kind, numeric, categorical, label)
+            part = predict(model, train.where(F.col("inner") == j)).select(label, "p")
+            oof = part if oof is None else oof.union(part)
+        oof = oof.persist()  # read for the ranks, their ranges and the gains
+        row = auc(oof, label, "p").first()
+        score = row["auc"] if row else 0.5
+        if best is None or score > best[0]:
+            t = gains(oof, grid, label).agg(F.max_by("t", F.struct(F.col("gain"), -F.col("pos")))).first()[0]
+            best = (score, kind, t if t is not None else 0.5)
+        oof.unpersist()
+    model = fit(train, best[1], numeric, categorical, label)
+    train.unpersist()
+    return model, best[1], float(best[2])
+
+
+def cross_fit(
+    df: DataFrame, numeric: list[str], categorical: list[str], kinds=("logreg",), folds: int = 5, inner: int = 3, label: str = "help", part: str | None = None
+) -> DataFrame:
+    """Out-of-fold probability and threshold of every row, by grouped folds that are balanced by rows; see `select_model`. With `part`
+    (a country, say), a row's model has seen neither its template nor its part; rows without a part are scored as one more part.
+
+    `df` needs `template`, of which there must be three at least outside of each fold. Models are fitted one after the other by the
+    driver; data stay distributed."""
     df = df.join(balanced_folds(df, "template", folds), "template").persist()
-    grid = spark.createDataFrame([(i, t) for i, t in enumerate(THRESHOLDS)], "pos int, t double")
-    parts = []
-    for k in sorted(r.fold for r in df.select("fold").distinct().collect()):
-        train, test = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
-        train = train.join(balanced_folds(train, "template", inner).withColumnRenamed("fold", "inner"), "template").persist()
-        best = None
-        for kind in kinds:
-            oof = None
-            for j in range(inner):
-                model = fit(train.where(F.col("inner") != j), kind, numeric, categorical, label)
-                part = predict(model, train.where(F.col("inner") == j)).select(label, "p")
-                oof = part if oof is None else oof.union(part)
-            row = auc(oof, label, "p").first()
-            score = row["auc"] if row else 0.5
-            if best is None or score > best[0]:
-                t = gains(oof, grid, label).agg(F.max_by("t", F.struct(F.col("gain"), -F.col("pos")))).first()[0]
-                best = (score, kind, t if t is not None else 0.5)
-        model = fit(train, best[1], numeric, categorical, label)
-        parts.append(predict(model, test).withColumns({"t": F.lit(float(best[2])), "kind": F.lit(best[1])}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    where = [part] if part else []
+    splits = sorted((tuple(r) for r in df.select("fold", *where).distinct().collect()), key=str)
+    out = None
+    for k, *of in splits:
+        same = F.lit(True) if not part else F.col(part).eqNullSafe(F.lit(of[0]))
+        train, test = df.where(F.col("fold") != k), df.where((F.col("fold") == k) & same)
+        model, kind, t = select_model(train.where(~same) if part else train, numeric, categorical, kinds, inner, label)
+        scored = predict(model, test).withColumns({"t": F.lit(t), "kind": F.lit(kind)})
+        out = scored if out is None else out.union(scored)
     return out
 
 
+def report(df: DataFrame, part: str, label: str = "help", p: str = "p", t: str = "t") -> DataFrame:
+    """(place, line): AUC and shares kept over all rows, then by part in its order. A part with one class has no line."""
+    use = decide(F.col(p), F.col(t)).cast("int")
+    share = lambda c: F.format_string("%.1f%%", F.coalesce(100 * F.avg(c), F.lit(0.0)))
+    kept = [share(use).alias("kept"), share(F.when(F.col(label) == 1, use)).alias("won"), share(F.when(F.col(label) == 0, use)).alias("lost")]
+    head = df.agg(*kept).crossJoin(auc(df, label, p))
+    first = F.format_string("AUC %.3f; kept for %s of rows; help kept %s, hurt kept %s", "auc", "kept", "won", "lost")
+    each = df.groupBy(part).agg(*kept).join(auc(df, label, p, [part]), part)
+    line = F.format_string("    %-12s AUC %.3f  kept %s", F.col(part), F.col("auc"), F.col("kept"))
+    return head.select(F.lit("").alias("place"), first.alias("line")).union(each.select(F.concat(F.lit("1"), part).alias("place"), line.alias("line")))
+
+
 def decide(p: Column, t: Column) -> Column:
     return F.coalesce(p > t, F.lit(False))
 

@@ -11,6 +11,19 @@ def scorable(no_answer: Column, not_applicable: Column, idk: Column, n_annotatio
     return ~((zero(no_answer) + zero(not_applicable) >= 3) | (zero(idk) >= 5) | (zero(n_annotations) == 0))
 
 
+def golds(annotations: DataFrame, keys: list[str], local: Column) -> DataFrame:
+    """Gold answers with their votes, from `annotation` as the readers give it: the English ones, and before them those in the
+    question's own language where `local`. Questions that can't be scored have none; `place` is the order of trial."""
+    note, idks = F.col("annotation.annotations"), F.col("annotation.idks")
+    kept = annotations.where(scorable(idks["no-answer"], idks["not-applicable"], idks["idk"], F.coalesce(F.size(note), F.lit(0))))
+    rows = kept.withColumn("__local", F.coalesce(local, F.lit(False))).select(*keys, "__local", F.posexplode(note).alias("__at", "__a"))
+    none = F.array().cast("array<string>")
+    own = F.when(F.col("__local"), F.coalesce("__a.answers", none)).otherwise(none)
+    said = F.concat(own, F.coalesce("__a.en_answers", none))
+    rows = rows.select(*keys, F.col("__a.count").alias("votes"), "__at", F.posexplode(said).alias("__i", "gold")).withColumn("gold", F.lower(F.trim("gold"))).where("gold <> ''")
+    return rows.select(*keys, "gold", "votes", F.struct((-F.col("votes")).alias("v"), F.col("__at").alias("at"), F.col("__i").alias("i")).alias("place"))
+
+
 def soft_match(response: Column, lemmas: Column, gold: Column, gold_lemmas: Column) -> Column:
     """A gold answer matches if it stands in the response, or if all its base forms are among the response's."""
     return (gold != "") & (F.contains(response, gold) | ((F.size(gold_lemmas) > 0) & F.forall(gold_lemmas, lambda w: F.array_contains(lemmas, w))))

@@ -285,10 +285,10 @@ def context_block(t: Tables) -> DataFrame:
 _J = "'" + text.JUDGE.replace("'", "''") + "'"
 
 
-@query(f"select item_id, replace(replace(replace({_J}, '{{notes}}', '[1] ' || text), '{{question}}', 'Q' || item_id), '{{country}}', 'src1') as prompt from benchmark")
+@query(f"select item_id, replace(replace(replace({_J}, '{{notes}}', '- ' || text), '{{question}}', 'Q' || item_id), '{{country}}', 'src 1') as prompt from benchmark")
 def judge_prompt(t: Tables) -> DataFrame:
     q = F.concat(F.lit("Q"), F.col("item_id").cast("string"))
-    return t.benchmark.select("item_id", text.judge_prompt(F.lit("src1"), q, F.array("text")).alias("prompt"))
+    return t.benchmark.select("item_id", text.judge_prompt(F.lit("src_1"), q, F.array("text")).alias("prompt"))
 
 
 @query("select doc_id, length(text || ' ' || array_to_string(case when doc_id % 3 = 0 then [] else [lang, source] end, ' '))::bigint as n from documents")

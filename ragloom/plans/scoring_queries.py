@@ -232,8 +232,10 @@ def class_weights(t: Tables) -> DataFrame:
 FEATURES = f"""with {OUTCOMES}, {HELP},
 pair as (select a.doc_id, a.model, a.country, a.language, a.topic, a.qid, a.prompt_no, a.p, a.help, a.response as rb, b.response as rv
     from help a join outcomes b on a.country = b.country and a.qid = b.qid and a.prompt_no = 'p0' and b.prompt_no = 'p1'),
-c as (select *, [p, p / 2, p / 4] as r, {content('rb')} as wb, {content('rv')} as wv, {content("country || ' ' || rv")} as wc from pair)
-select doc_id, round(p, 6) as r_max, round((p + p / 2 + p / 4) / 3, 6) as r_mean, round(p / 4, 6) as r_min, round(p - p / 2, 6) as r_gap, 3::bigint as n_cards,
+ag as (select model, country, qid, (min(case when prompt_no = 'p0' then {norm('response')} end) = min(case when prompt_no = 'p1' then {norm('response')} end))::int as agree
+    from outcomes group by all),
+c as (select pair.*, coalesce(agree, 0) as agree, [p, p / 2, p / 4] as r, {content('rb')} as wb, {content('rv')} as wv, {content("country || ' ' || rv")} as wc from pair left join ag using (model, country, qid))
+select doc_id, agree::bigint as base_agree, len(regexp_extract_all(rb, '\\S+'))::bigint as base_len, len(regexp_extract_all(rv, '\\S+'))::bigint as rag_len, round(p, 6) as r_max, round((p + p / 2 + p / 4) / 3, 6) as r_mean, round(p / 4, 6) as r_min, round(p - p / 2, 6) as r_gap, 3::bigint as n_cards,
     round({roles.share('wb', 'wc')}, 6) as base_in_cards, round({roles.share('wv', 'wc')}, 6) as rag_in_cards, ({norm('rb')} <> {norm('rv')})::bigint as changed,
     round({roles.share('wv', 'wb')}, 6) as rag_base_overlap, (language = 'English')::bigint as is_english, help from c"""
 
@@ -242,16 +244,17 @@ def gate_rows(t: Tables) -> DataFrame:
     o = _labelled(t)
     a = o.where("prompt_no = 'p0'").select("doc_id", "model", "country", "language", "topic", "qid", "p", "help", F.col("response").alias("rb"))
     b = o.where("prompt_no = 'p1'").select("country", "qid", F.col("response").alias("rv"))
-    rows = a.join(b, ["country", "qid"]).withColumn("r", F.array(F.col("p"), F.col("p") / 2, F.col("p") / 4))
+    agree = gate.agreement(o, ["model", "country", "qid"], "prompt_no", "p0", "p1").withColumnRenamed("agree", "base_agree")
+    rows = a.join(b, ["country", "qid"]).join(agree, ["model", "country", "qid"], "left").withColumn("r", F.array(F.col("p"), F.col("p") / 2, F.col("p") / 4))
     f = gate.score_features(F.col("r")) | gate.answer_features(F.col("rb"), F.col("rv"), F.concat_ws(" ", "country", "rv"))
-    return rows.select("doc_id", "model", "country", "topic", "qid", "help", (F.col("language") == "English").cast("long").alias("is_english"), *[c.alias(k) for k, c in f.items()])
+    return rows.select("doc_id", "model", "country", "topic", "qid", "help", F.coalesce("base_agree", F.lit(0)).alias("base_agree"), (F.col("language") == "English").cast("long").alias("is_english"), *[c.alias(k) for k, c in f.items()])
 
 
 @query(FEATURES)
 def gate_features(t: Tables) -> DataFrame:
     rows = gate_rows(t)
     real = ["r_max", "r_mean", "r_min", "r_gap", "base_in_cards", "rag_in_cards", "rag_base_overlap"]
-    return rows.select("doc_id", *[F.round(c, 6).alias(c) for c in real], *[F.col(c).cast("long").alias(c) for c in ("n_cards", "changed", "is_english")], "help")
+    return rows.select("doc_id", *[F.round(c, 6).alias(c) for c in real], *[F.col(c).cast("long").alias(c) for c in ("n_cards", "changed", "is_english", "base_agree", "base_len", "rag_len")], "help")
 
 
 NUMERIC = ["r_max", "r_gap", "base_in_cards", "rag_in_cards", "rag_base_overlap", "is_english"]

@@ -49,6 +49,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     )
 
 
+def where(df: DataFrame, **wanted) -> DataFrame:
+    """Optional filters by column: a value, a list of values, or None for all rows."""
+    for c, v in wanted.items():
+        if v is not None:
+            df = df.where(F.col(c).isin(list(v)) if isinstance(v, (list, tuple, set)) else F.col(c) == v)
+    return df
+
+
 def with_optional(first: DataFrame, second: DataFrame | None) -> DataFrame:
     """Union with an input that may not be there; columns that one side lacks are null."""
     return first if second is None else first.unionByName(second, allowMissingColumns=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import exists
@@ -52,3 +52,14 @@ def cached(spark: SparkSession, path: str, key: dict, make: Callable[[], DataFra
 
 def json_record(*columns: str) -> F.Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def report(df: DataFrame, order: str, line: str, path: str) -> None:
+    """A text file of lines in order. Reports are short: one task writes all of it."""
+    df.repartition(1).sortWithinPartitions(order).select(line).write.mode("overwrite").text(path)
+
+
+def observed(df: DataFrame, name: str, **counts: F.Column) -> tuple[DataFrame, Observation]:
+    """`df`, and the number of its rows (and of other aggregates) as the next action on it sees them; no pass of its own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()]), seen
