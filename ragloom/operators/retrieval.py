@@ -13,14 +13,26 @@ from pyspark.sql import functions as F
 from ragloom.functions import scores, text
 
 DIGITS = 6
+#: Rows of the questions' side that may be broadcast.
+BROADCAST_ROWS = 300_000
 
 
-def term_statistics(cards: DataFrame, part: str = "country", card: str = "card_id", body: str = "text_en") -> tuple[DataFrame, DataFrame]:
-    """(part, card, term, tf) and (part, card, dl)."""
-    split = cards.select(part, card, text.index_tokens(F.col(body)).alias("terms"))
-    lengths = split.select(part, card, F.size("terms").cast("long").alias("dl"))
-    tf = split.select(part, card, F.explode("terms").alias("term")).groupBy(part, card, "term").agg(F.count("*").alias("tf"))
-    return tf, lengths
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread by `keys` before they fan out, so that a partition (country) with most of the rows is no single task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, of: DataFrame | None = None) -> DataFrame:
+    """`df` with a broadcast hint if it (or `of`, which has as many rows or more) has at most `rows` rows; as it is beyond that."""
+    return F.broadcast(df) if (of or df).count() <= rows else df
+
+
+def term_statistics(cards: DataFrame, part: str = "country", card: str = "card_id", body: str = "text_en") -> DataFrame:
+    """(part, card, dl, term, tf), with the term '' once for every card. Cards are unique within their part. A text moves once and
+    as a whole; its terms are counted where it lies."""
+    split = dealt(cards.select(part, card, body), part, card).select(part, card, text.index_tokens(F.col(body)).alias("terms"))
+    rows = split.select(part, card, F.size("terms").cast("long").alias("dl"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    return rows.groupBy(part, card, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(cards: DataFrame, questions: DataFrame, part: str = "country", card: str = "card_id", body: str = "text_en",
@@ -28,20 +40,21 @@ def bm25(cards: DataFrame, questions: DataFrame, part: str = "country", card: st
     """Okapi scores (part, question, card, bm25) of every card of a question's partition, 0 without a common term.
 
     Each partition is a corpus of its own. A negative idf becomes `floor` times the mean idf of the partition's distinct terms. A
-    question's repeated words count each time. Only postings of words that some question asks for meet the questions."""
-    tf, lengths = term_statistics(cards, part, card, body)
-    corpus = lengths.groupBy(part).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy(part, "term").agg(F.count("*").alias("df")).join(corpus, part)
-    idf = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.groupBy(part).agg(F.avg("raw").alias("mean"))
-    idf = idf.join(mean, part).select(part, "term", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    question's repeated words count each time. Every question also asks for the term '' at weight 0, so that the sums by question
+    and card have all pairs. They need no shuffle where the asked terms are few enough to be broadcast."""
+    tf = term_statistics(cards, part, card, body)
+    n = cards.groupBy(part).agg(F.count("*").alias("n"))
+    terms = tf.where("term <> ''").groupBy(part, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(n, part)
+    terms = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    corpus = terms.groupBy(part).agg((F.sum("cf") / F.max("n")).alias("avgdl"), F.avg("raw").alias("mean"))
     asked = questions.select(part, question, F.explode(text.index_tokens(F.col(ask))).alias("term")).groupBy(part, question, "term").agg(F.count("*").alias("times"))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    postings = tf.join(asked.select(part, "term").distinct(), [part, "term"], "left_semi").join(idf, [part, "term"])
-    postings = postings.join(lengths, [part, card]).join(corpus.select(part, "avgdl"), part).select(part, "term", card, (F.col("idf") * weight).alias("w"))
-    hits = asked.join(postings, [part, "term"]).groupBy(part, question, card).agg(F.sum(F.col("times") * F.col("w")).alias("s"))
-    grid = questions.select(part, question).join(cards.select(part, card), part)
-    return grid.join(hits, [part, question, card], "left").select(part, question, card, F.round(F.coalesce("s", F.lit(0.0)), DIGITS).alias("bm25"))
+    idf = F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw"))
+    weights = asked.join(terms, [part, "term"]).join(corpus, part).select(part, question, "term", (F.col("times") * idf).alias("w"), "avgdl")
+    none = questions.select(part, question, F.lit("").alias("term"), F.lit(0.0).alias("w"), F.lit(1.0).alias("avgdl"))
+    weights = small(weights.unionByName(none), of=asked.select(part, question).unionByName(none.select(part, question)))
+    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    sums = tf.join(weights, [part, "term"]).groupBy(part, question, card).agg(F.sum(F.col("w") * share).alias("s"))
+    return sums.select(part, question, card, F.round("s", DIGITS).alias("bm25"))
 
 
 def mentions(cards: DataFrame, golds: DataFrame, keys: list[str], body: str, lengths: list[int]) -> DataFrame:
@@ -54,8 +67,8 @@ def mentions(cards: DataFrame, golds: DataFrame, keys: list[str], body: str, len
 def dense(queries: DataFrame, cards: DataFrame, part: str, query: str, card: str, a: str, b: str) -> DataFrame:
     """Cosine of unit vectors for every card of a query's partition."""
     q = queries.select(part, query, scores.l2_normalize(F.col(a)).alias("__q"))
-    c = cards.select(part, card, scores.l2_normalize(F.col(b)).alias("__c"))
-    return q.join(c, part).select(part, query, card, F.round(scores.dot(F.col("__q"), F.col("__c")), DIGITS).alias("dense"))
+    c = dealt(cards, part, card).select(part, card, scores.l2_normalize(F.col(b)).alias("__c"))
+    return c.join(small(q), part).select(part, query, card, F.round(scores.dot(F.col("__q"), F.col("__c")), DIGITS).alias("dense"))
 
 
 def normalised(grid: DataFrame, group: list[str]) -> DataFrame:
