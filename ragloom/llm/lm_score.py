@@ -21,6 +21,7 @@ their own; an only document has nothing but unseen words; a text of any length i
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +33,8 @@ from .common import pack, unpack
 ORDER = 3
 ALPHA = 0.4
 BLOCK_WORDS = 1_500_000
+#: Repeated n-grams of a block that are counted by document at once, documents whole.
+OWN_AT_ONCE = 200_000
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -74,7 +77,7 @@ def grams(types: np.ndarray, words: np.ndarray, lengths: np.ndarray, n: int) ->
 
 
 def _read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpack(row["types"], "<u8"), unpack(row["words"], "<u4").astype(np.int64), np.array(row["lengths"], dtype=np.int64)
+    return unpack(row["types"], "<u8"), unpack(row["words"], "<u4"), np.array(row["lengths"], dtype=np.int64)
 
 
 def _explode(n: int, buckets: int):
@@ -130,46 +133,49 @@ def _count(batches):
 
 
 def own_counts(place: np.ndarray, counts: np.ndarray, document: np.ndarray) -> np.ndarray:
-    """How often each occurrence's n-gram stands in its own document; only n-grams that repeat in the block need a look."""
+    """How often each occurrence's n-gram stands in its own document; only n-grams that repeat in the block need a look. Documents
+    come in ascending order and are counted some at a time."""
     own = np.ones(len(place), dtype=np.int64)
     again = np.flatnonzero(counts[place] > 1)
-    if len(again):
-        key = place[again] * np.int64(document.max() + 1) + document[again]
+    owner, low = document[again], 0
+    while low < len(again):
+        high = np.searchsorted(owner, owner[min(low + OWN_AT_ONCE, len(owner)) - 1], side="right")
+        part = again[low:high]
+        key = place[part] * np.int64(owner[-1] + 1) + owner[low:high]
         _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-        own[again] = times[inverse]
+        own[part] = times[inverse]
+        low = high
     return own
 
 
-def score_block(row: dict, totals: list[np.ndarray], corpus_words: int, alpha: float) -> dict[str, np.ndarray]:
+def score_block(row: dict, totals: Iterable[np.ndarray], corpus_words: int, alpha: float) -> dict[str, np.ndarray]:
+    """Scores of a block's documents. `totals` has the corpus counts of the block's n-grams, order by order; they are taken one at a
+    time, and what a longer n-gram says replaces what its suffix said, so that only two orders' counts are held."""
     types, words, lengths = _read(row)
     n_words = len(words)
-    document = np.repeat(np.arange(len(lengths)), lengths)
-    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    history = np.arange(n_words) - first
-    others = np.maximum(corpus_words - lengths, 0)[document].astype(np.float64)
-    order = len(totals)
-    left_out = []  # by order: for each start, the n-gram's count in other documents
+    document = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    others = np.maximum(corpus_words - lengths, 0).astype(np.float64)
+    log, level = np.zeros(n_words), np.zeros(n_words, dtype=np.int8)
+    before, order = None, 0
     for n, total in enumerate(totals, 1):
+        order = n
         starts, hashes = grams(types, words, lengths, n)
-        c = np.zeros(n_words, dtype=np.int64)
+        c = np.zeros(n_words, dtype=np.int64)  # for each start, the n-gram's count in other documents
         if len(starts):
             _, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            del hashes
             c[starts] = total[place] - own_counts(place, counts, document[starts])
-        left_out.append(c)
-    log = np.zeros(n_words)
-    level = np.zeros(n_words, dtype=np.int64)
-    most = np.minimum(history + 1, order)
-    for n in range(order, 0, -1):
-        at = np.flatnonzero((level == 0) & (most >= n))
-        start = at - n + 1
-        c = left_out[n - 1][start]
-        seen = c > 0
-        at, start, c = at[seen], start[seen], c[seen]
-        context = left_out[n - 2][start] if n > 1 else others[at]
-        log[at] = np.log(c / context) + (most[at] - n) * np.log(alpha)
+            del place, counts
+        start = starts[c[starts] > 0]
+        at = start + (n - 1)
+        context = before[start] if n > 1 else others[document[at]]
+        log[at] = np.log(c[start] / context)
         level[at] = n
+        before = c
+    most = np.minimum(np.arange(1, n_words + 1) - np.repeat(np.cumsum(lengths) - lengths, lengths), order).astype(np.int8)
     new = level == 0
-    log[new] = most[new] * np.log(alpha) - np.log(others[new] + 1)
+    log += (most - level) * np.log(alpha)
+    log[new] -= np.log(others[document[new]] + 1)
     add = lambda w: np.bincount(document, weights=w, minlength=len(lengths))
     return {"n_words": lengths, "log_score": add(log), "n_backoff": add((level < most) & ~new), "n_unseen": add(new)}
 
@@ -184,7 +190,8 @@ def _score(order: int, corpus_words: int, alpha: float):
         row, replies = None, {}
 
         def close():
-            totals = [np.concatenate(replies[n]) if n in replies else np.zeros(0, np.int64) for n in range(1, order + 1)]
+            none = [np.zeros(0, np.int64)]
+            totals = (np.concatenate([unpack(x, "<i8") for x in replies.pop(n, [])] or none) for n in range(1, order + 1))
             out = score_block(row, totals, corpus_words, alpha)
             arrays = [pa.array(row["doc_ids"], pa.int64())] + [pa.array(out[k].astype(np.float64 if k == "log_score" else np.int64)) for k in names[1:]]
             return pa.RecordBatch.from_arrays(arrays, names)
@@ -198,7 +205,7 @@ def _score(order: int, corpus_words: int, alpha: float):
                     row = b.slice(i, 1).to_pylist()[0]
                     replies = {}
                 else:
-                    replies.setdefault(kind, []).append(unpack(b.column("totals")[i].as_py(), "<i8"))
+                    replies.setdefault(kind, []).append(b.column("totals")[i].as_py())
         if row is not None:
             yield close()
 
