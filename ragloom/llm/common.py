@@ -123,6 +123,13 @@ def with_range(df: DataFrame, key: str, out: str, rows: int, each: int) -> DataF
     return placed.withColumn(out, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(place).cast("long"))
 
 
+def unit_interval(h):
+    """A 64-bit hash as a place in [0, 1): its last six decimal digits come first, twelve more behind, so that a share of any
+    size, down to single rows of 10^15, can be picked."""
+    first, rest = F.pmod(h, F.lit(1_000_000)), F.pmod(F.floor(h / 1_000_000), F.lit(1_000_000_000_000))
+    return (first + rest / F.lit(1e12)) / F.lit(1e6)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

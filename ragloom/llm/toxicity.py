@@ -7,14 +7,16 @@ softmax learn together by Adam on the documents' labels; Platt's scaling on a he
 score a probability.
 
 Labels come from at most about `TRAIN_ROWS` labelled rows per class, picked by a hash of doc_id. Scoring covers every
-document and its whole text. Memory: one task holds the training rows; a scoring task holds one Arrow batch and a bounded memo of word logits.
+document and its whole text. Memory: one task holds the training rows' distinct words, as indexes; a scoring task holds one Arrow batch and a bounded memo of word logits.
 
 Defined results: null and empty texts have no words and get the score of an empty bag sum (low); without labels of both
-classes every score is 0; repeated rows are scored each; other columns are ignored or, in `keep_clean`, carried along.
+classes every score is 0; a score of just the threshold is predicted 1; repeated rows are scored each; texts of any length are scored whole; other columns are ignored or, in `keep_clean`, carried along.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,7 +106,7 @@ def pool(logits: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarra
     return np.log(np.exp(EMPTY_LOGIT) + total)
 
 
-def index(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def index(texts: Iterable[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words; each document's distinct words as indexes, one document after the other; first index, counts."""
     ids: dict[str, int] = {}
     rows = [np.unique(np.array([ids.setdefault(w, len(ids)) for w in words(t)], dtype=np.int32)) for t in texts]
@@ -127,13 +129,20 @@ class Adam:
         value -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Joint training of embeddings, softmax and bias; then Platt's scaling on every fifth row, which training leaves out."""
-    model = Model(seed)
+def fit(rows: Iterable[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Joint training of embeddings, softmax and bias on (text, label); then Platt's scaling on every fifth row, which training
+    leaves out. Rows are read once, and only their distinct words' indexes are kept."""
+    model, labels = Model(seed), []
+
+    def texts():
+        for text, label in rows:
+            labels.append(label)
+            yield text
+
+    vocabulary, flat, first, counts = index(texts())
     y = np.asarray(labels, dtype=np.float64)
     if len(np.unique(y)) < 2:
         return model
-    vocabulary, flat, first, counts = index(texts)
     grams, begin = bags(vocabulary)
     per_word = np.diff(np.append(begin, len(grams)))
     back = np.zeros(len(y), dtype=bool)
@@ -185,7 +194,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     label = label.where("toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     n = {r.toxic: r["count"] for r in label.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, rows / max(1, n.get(1, 0))))).otherwise(F.lit(min(1.0, rows / max(1, n.get(0, 0)))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    place = common.unit_interval(F.xxhash64("doc_id"))
     label = label.where(place < share)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     joined = texts.join(F.broadcast(label), "doc_id")
@@ -205,14 +214,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
         import pyarrow as pa
 
-        held = [x for b in batches for x in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "toxic")))]
-        held.sort()
-        model = fit([t for _, t, _ in held], np.array([y for _, _, y in held]))
+        parts = (b.slice(s, 64) for b in batches for s in range(0, b.num_rows, 64))
+        model = fit(row for p in parts for row in zip(p.column("text").to_pylist(), p.column("toxic").to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     import pickle
 
-    fitted = training_rows(docs, labels, rows).repartition(1).mapInArrow(run, "model binary").collect()
+    ordered = training_rows(docs, labels, rows).repartition(1).sortWithinPartitions("doc_id", "text", "toxic")
+    fitted = ordered.mapInArrow(run, "model binary").collect()
     return pickle.loads(fitted[0].model) if fitted else Model()
 
 

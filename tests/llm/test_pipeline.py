@@ -24,3 +24,37 @@ def test_stages_take_effect(spark):
     assert not seen[3].where("n_chars <> length(text)").count()
     store = corpus_pipeline.STAGES[4][1](spark, seen[4], DIR)
     assert store.count() == counts[4] and store.agg({"start": "min"}).first()[0] == 0
+
+
+def test_edges(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns pass every stage; empty tables give empty results."""
+    from helpers import BASE, ROWS, clashing, documents
+
+    many = [*ROWS, *((100 + i, f"calm line {i} of tea and rain that goes on for {i} days", "en", "src0") for i in range(40))]
+    passage = " ".join(f"secret{i}" for i in range(12))
+    many += [(200, f"before {passage} after", "en", "src1"), (201, passage, "en", "src1")]
+    labels = spark.createDataFrame([(i, 1, int(i == 14)) for i in range(1, 16)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, passage), (2, None), (3, "")], "item_id long, text string")
+    folder = str(tmp_path)
+    for name, table in (("labels", labels), ("benchmark", benchmark)):
+        table.write.parquet(f"{folder}/{name}.parquet")
+    docs = clashing(documents(spark, many))
+    texts = {"start": [r.text for r in docs.collect()]}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{folder}/{len(texts)}")
+        docs = spark.read.parquet(f"{folder}/{len(texts)}")
+        texts[name] = [r.text for r in docs.collect()]
+    assert {None, "", " \n\t "} <= set(texts["toxicity"]) and sum(t == BASE for t in texts["toxicity"]) == 2
+    unique = texts["n-gram Jaccard join"]
+    assert sum(t == BASE for t in unique) == 1 and None in unique and "" in unique and sum((t or "").startswith("word0") for t in unique) == 1
+    clean = texts["benchmark decontamination"]
+    assert not any("secret3" in (t or "") for t in clean) and passage not in clean and sum("before" in (t or "") and "after" in t for t in clean) == 1
+    mixed = texts["mixing sources to target weights"]
+    assert 0 < len(mixed) <= len(clean)
+    store = corpus_pipeline.STAGES[4][1](spark, docs, folder)
+    assert store.count() == len(mixed)
+    empty = documents(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0, name

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -40,7 +41,7 @@ def test_held_out_accuracy_and_unseen_misspellings(spark):
 
 
 def test_toxicity_edges(spark):
-    model = toxicity.fit(["you idiot", "good day", "an idiot", "nice tea"] * 10, np.array([1, 0, 1, 0] * 10))
+    model = toxicity.fit(zip(["you idiot", "good day", "an idiot", "nice tea"] * 10, [1, 0, 1, 0] * 10))
     out = toxicity.score(clashing(documents(spark)), model).collect()
     assert len(out) == len(ROWS) and all(0 <= r.score <= 1 for r in out)
     assert toxicity.score(documents(spark, []), model).count() == 0
@@ -50,6 +51,36 @@ def test_toxicity_edges(spark):
     assert kept.columns == clashing(documents(spark)).columns and kept.where("doc_id = 4").count() == 1
 
 
+def test_held_out_labels_change_nothing(spark):
+    data, _ = toxic_corpus(300, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    turned = [(i, 1, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, _, y in data]
+    models = [toxicity.train(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")) for x in ([(i, 1, y) for i, _, y in data], turned)]
+    assert turned != [(i, 1, y) for i, _, y in data]
+    assert (models[0].embedding == models[1].embedding).all() and (models[0].softmax == models[1].softmax).all()
+    assert (models[0].scale, models[0].shift) == (models[1].scale, models[1].shift)
+
+
+def test_scores_against_plain_sums():
+    data, _ = toxic_corpus(120, 5)
+    model = toxicity.fit((t, y) for _, t, y in data)
+    texts = [t for _, t, _ in data] + ["", "one", "  \n", "same same same", "x" * 5000]
+
+    def word_logit(w):
+        marked = f"<{w.strip(toxicity.STRIP) or w}>"
+        rows = [int(g) for g in toxicity.bags([w])[0]]
+        assert len(rows) == sum(max(0, len(marked) - n + 1) for n in toxicity.GRAMS)
+        mean = np.mean([model.embedding[r].astype(float) for r in rows], axis=0)
+        return float(mean @ (model.softmax[:, 1].astype(float) - model.softmax[:, 0])) + float(model.bias[1] - model.bias[0])
+
+    def plain(text):
+        pooled = math.log(math.exp(toxicity.EMPTY_LOGIT) + sum(math.exp(word_logit(w)) for w in sorted(set(text.lower().split()))))
+        return 1 / (1 + math.exp(-(model.scale * pooled + model.shift)))
+
+    got = toxicity.scorer(model)(texts)
+    assert len(got) == len(texts) and np.allclose(got, [plain(t) for t in texts], atol=1e-4)
+
+
 # Wrapper induction
 PAGE = (
     "<html><head><title>T</title><script>var a='</p>';</script></head><body><div class='top'>Great Site {n0}</div><div class='note'>Every page says this.</div>"
@@ -154,6 +185,14 @@ def test_licence_texts_and_wrapped_notices(spark):
     assert all(out[100 + i] == "none" for i in range(60))
 
 
+def test_licence_edges(spark):
+    long = "the tea is warm today. " * 20_000 + "\n\nLicensed under the Apache License, Version 2.0.\n" + "and cold tomorrow " * 20_000
+    rows = [(None, "Released under the MIT License."), (1, long), (2, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), (2, None), (3, None)]
+    docs = clashing(spark.createDataFrame(rows + [(100 + i, f"plain line {i} on rain") for i in range(40)], "doc_id long, text string"))
+    out = {r.doc_id: r.licence for r in licenses.scan(docs).collect()}
+    assert (out[None], out[1], out[2], out[3]) == ("MIT", "Apache", "Apache,MIT", "none") and len(out) == 44
+
+
 # Mixing
 
 
