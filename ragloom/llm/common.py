@@ -82,6 +82,25 @@ def ship(spark: SparkSession) -> None:
     sc._ragloom_shipped = True
 
 
+def tidy(f):
+    """`f` for mapInArrow. Its worker serves other tasks later, so at the end what `f` has freed goes back to the system."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

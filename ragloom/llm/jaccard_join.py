@@ -51,8 +51,8 @@ INDEX_SHARE = 0.22
 #: Partners' sizes differ by 1.25 times at most, so by one class of this ratio.
 CLASS = 1.26
 #: Entries (sets times shingles) of a block, and of a range of the hash.
-BLOCK = 1_500_000
-RANGE = 2_000_000
+BLOCK = 1_000_000
+RANGE = 1_500_000
 NULL_ID = -(2**63)
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -405,13 +405,13 @@ def _search(sets: DataFrame, entries: int, name: str, long: int | None, classed:
     """Queries among `sets` (SET, own, other) that may have partners, and those that may be partners."""
     buckets, parts = max(8, -(-entries // RANGE)), common.parts_for(sets.sparkSession, entries, BLOCK)
     by_set = sets.select(*SET, "own", "other").repartition(parts, "set_id").sortWithinPartitions("set_id", "id", "h")
-    blocks = common.materialise(by_set.mapInArrow(_to_blocks, BLOCKS), f"{name}-blocks")
+    blocks = common.materialise(by_set.mapInArrow(common.tidy(_to_blocks), BLOCKS), f"{name}-blocks")
 
     def turn(blocks: DataFrame, send, answer, close, schema: str, what: str) -> DataFrame:
-        pairs = blocks.mapInArrow(send(buckets), PAIRS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        replies = common.materialise(pairs.mapInArrow(answer, BLOCKS), f"{name}-replies")
+        pairs = blocks.mapInArrow(common.tidy(send(buckets)), PAIRS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        replies = common.materialise(pairs.mapInArrow(common.tidy(answer), BLOCKS), f"{name}-replies")
         back = blocks.union(replies).repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
-        out = common.materialise(back.mapInArrow(close, schema), f"{name}-{what}")
+        out = common.materialise(back.mapInArrow(common.tidy(close), schema), f"{name}-{what}")
         common.drop(blocks)
         common.drop(replies)
         return out
@@ -593,7 +593,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     """id, h, n, set_id, component, root for every row of `docs` (id, h, text); a class has one root."""
     spark = docs.sparkSession
     common.ship(spark)
-    sketch = common.materialise(docs.mapInArrow(_sketch, "id long, h long, set_id long, n long, t long, own binary, other binary"), "sketch")
+    sketch = common.materialise(docs.mapInArrow(common.tidy(_sketch), "id long, h long, set_id long, n long, t long, own binary, other binary"), "sketch")
     slim = common.materialise(sketch.select("id", "h", "set_id", "n"), "slim")
     size = "cast(sum(octet_length(own) + octet_length(other)) div 8 as long) as entries"
     alone = sketch.where("own is not null").selectExpr("*", "set_id as root", "1L as asks", "1L as least")
@@ -604,7 +604,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     sizes = sizes.selectExpr("block", "leader", "leader2", f"if(c > 1, cast(ceil(c / {SUB_BLOCK}) as long), 0L) as salts")
     placed = found.select("set_id", "id", "h", "block").join(sizes, "block")
     texts = docs.join(placed, ["id", "h"]).select("set_id", "block", "leader", "leader2", "salts", "text")
-    sets = texts.mapInArrow(_add_shingles, "set_id long, block long, leader long, leader2 long, salts long, shingles binary")
+    sets = texts.mapInArrow(common.tidy(_add_shingles), "set_id long, block long, leader long, leader2 long, salts long, shingles binary")
     sets = common.materialise(sets.dropDuplicates(["set_id"]), "sets")
     total, most = found.agg(F.sum("n"), F.count("*")).first()
     total, mean = total or 0, (total or 0) // max(1, most)
@@ -615,7 +615,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     heads = turns.where("salts > 1 and set_id = if(turn = 1, leader2, leader)")
     leaders = heads.selectExpr("block", "explode(sequence(turn * salts, turn * salts + salts - 1)) as salt", "set_id", "shingles")
     blocks = dealt.union(leaders).repartition(common.parts_for(spark, TURNS * total, BLOCK), "block", "salt").sortWithinPartitions("block", "salt")
-    first = common.materialise(blocks.mapInArrow(_block_links, "a long, b long"), "links")
+    first = common.materialise(blocks.mapInArrow(common.tidy(_block_links), "a long, b long"), "links")
     known = components(first)
 
     roots = known.withColumnRenamed("node", "set_id")
@@ -636,7 +636,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     # a query visits the cells where `need` of its lists have members that it might link with, of other classes
     place = sets.selectExpr("set_id", "block", "pmod(xxhash64(set_id), greatest(salts, 1L)) as cell")
     hosts = every.select("set_id", "n", "root", "own").join(place, "set_id").repartition("block", "cell").sortWithinPartitions("block", "cell")
-    cells = hosts.mapInArrow(_cells, CELLS)
+    cells = hosts.mapInArrow(common.tidy(_cells), CELLS)
     asked = every.selectExpr("set_id", "n", "root", "need", "explode(short) as key")
     visits = asked.join(cells, "key").where("(lo <> root or hi <> root) and large >= n and 4 * small <= 5 * n")
     visits = visits.groupBy("set_id", "root", "need", "block", "cell").agg(F.count("*").alias("c")).where("c >= need")
@@ -646,7 +646,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     members = members.selectExpr("set_id", "coalesce(root, set_id) as root", "block", "cell", "0 as kind").union(visits.selectExpr("set_id", "root", "block", "cell", "1 as kind"))
     rows = members.join(sets.select("set_id", "shingles"), "set_id").select("block", "cell", "kind", "set_id", "root", "shingles")
     rows = rows.repartition(common.parts_for(spark, 2 * visits.count() * mean, BLOCK), "block", "cell").sortWithinPartitions("block", "cell", "kind")
-    second = common.materialise(rows.mapInArrow(_visit_links, "a long, b long"), "links")
+    second = common.materialise(rows.mapInArrow(common.tidy(_visit_links), "a long, b long"), "links")
     final = components(first.union(second)) if second.limit(1).count() else known
 
     own = slim.where("n > 0").groupBy("set_id").agg(F.min("id").alias("mine")).join(final.withColumnRenamed("node", "set_id"), "set_id", "left")

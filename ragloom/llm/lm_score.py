@@ -217,21 +217,21 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, buckets: in
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = docs.mapInArrow(_blocks, "block string, doc_ids array<long>, lengths array<long>, types binary, words binary")
+    blocks = docs.mapInArrow(common.tidy(_blocks), "block string, doc_ids array<long>, lengths array<long>, types binary, words binary")
     blocks = common.materialise(blocks, "blocks")
     corpus_words = blocks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = buckets or common.parts_for(spark, corpus_words, BLOCK_WORDS)
     rows = blocks.selectExpr("block", "0 as kind", "0L as bucket", "doc_ids", "lengths", "types", "words", "cast(null as binary) as totals")
     for n in range(1, order + 1):
-        pairs = blocks.drop("doc_ids").mapInArrow(_explode(n, buckets), "bucket long, block string, keys binary, counts binary")
+        pairs = blocks.drop("doc_ids").mapInArrow(common.tidy(_explode(n, buckets)), "bucket long, block string, keys binary, counts binary")
         pairs = pairs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        replies = common.materialise(pairs.mapInArrow(_count, "bucket long, block string, totals binary"), f"counts{n}")
+        replies = common.materialise(pairs.mapInArrow(common.tidy(_count), "bucket long, block string, totals binary"), f"counts{n}")
         nothing = "cast(null as array<long>)"
         rows = rows.union(
             replies.selectExpr("block", f"{n} as kind", "bucket", f"{nothing} as doc_ids", f"{nothing} as lengths", "cast(null as binary) as types", "cast(null as binary) as words", "totals")
         )
     dealt = rows.repartition(common.parts_for(spark, corpus_words, BLOCK_WORDS), "block").sortWithinPartitions("block", "kind", "bucket")
-    out = dealt.mapInArrow(_score(order, corpus_words, alpha), "doc_id long, n_words long, log_score double, n_backoff long, n_unseen long")
+    out = dealt.mapInArrow(common.tidy(_score(order, corpus_words, alpha)), "doc_id long, n_words long, log_score double, n_backoff long, n_unseen long")
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), mean.alias("mean_log"), "n_backoff", "n_unseen")
 

@@ -259,9 +259,9 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     common.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    encoded = common.with_range(docs, "doc_id", "shard", n, rows_per_shard).select("shard", "doc_id", "text").mapInArrow(_encode(tokenizer, end_id), "shard long, doc_id long, ids binary")
+    encoded = common.with_range(docs, "doc_id", "shard", n, rows_per_shard).select("shard", "doc_id", "text").mapInArrow(common.tidy(_encode(tokenizer, end_id)), "shard long, doc_id long, ids binary")
     dealt = encoded.repartition(common.parts_for(spark, size or 0, PARTITION_BYTES), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    out = dealt.mapInArrow(_segments(planes, block, segment_ids), "shard long, segment long, n_docs long, n_ids long, payload binary")
+    out = dealt.mapInArrow(common.tidy(_segments(planes, block, segment_ids)), "shard long, segment long, n_docs long, n_ids long, payload binary")
     if path is None:
         return common.materialise(out, "tokens")
     out.write.option("compression", "none").parquet(path)
@@ -305,7 +305,7 @@ def documents_of(store: DataFrame) -> DataFrame:
     run = "sum(n) over (partition by span order by shard rows between unbounded preceding and 1 preceding)"
     starts = group.selectExpr("shard", "span", f"coalesce({run}, 0) as within").join(spans, "span").selectExpr("shard", "lead + within as lead")
     begin = in_shard.join(starts, "shard").selectExpr("shard", "segment", "lead + before as first_id")
-    docs = store.mapInArrow(_read_back, "shard long, segment long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    docs = store.mapInArrow(common.tidy(_read_back), "shard long, segment long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return docs.join(begin, ["shard", "segment"]).selectExpr(
         "doc_id", "cast(first_id + inside as long) as start", "n_tokens", "ids_crc32", "shard", "segment"
     )

@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     import pickle
 
     ordered = training_rows(docs, labels, rows).repartition(1).sortWithinPartitions("doc_id", "text", "toxic")
-    fitted = ordered.mapInArrow(run, "model binary").collect()
+    fitted = ordered.mapInArrow(common.tidy(run), "model binary").collect()
     return pickle.loads(fitted[0].model) if fitted else Model()
 
 
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 columns = [part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(common.tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -280,4 +280,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
                 yield part.filter(pa.array(of([t or "" for t in texts]) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run), docs.schema)
