@@ -38,15 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
 _own = ""
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/ragloom-{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and reread it: cuts the lineage, survives lost executors.
     The table goes when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ragloom-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     free(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._ragloom_path = path
@@ -199,3 +205,10 @@ def windows64(hashes: np.ndarray, n: int) -> np.ndarray:
         for i in range(n):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + count])
     return out
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned crc32 of a text of ASCII characters (fixed value: the reflected polynomial); null for null."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::bigint)"
+    return f"case when {text} is not null then xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: {step}), 4294967295) end"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fm_index, html_wrapper, jaccard_join, licenses, lm_score, mixture, multiset_hash, token_attribution, token_store, toxicity
+from . import cross_parse, fm_index, html_wrapper, jaccard_join, join_view, licenses, lm_score, merkle, mixture, multiset_hash, token_attribution, token_store, toxicity
 from .common import read
 
 
@@ -51,10 +51,26 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.digest(found)
 
 
+def op11_join_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_view.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(read(spark, sf_dir, "documents"))
+
+
+def op13_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return cross_parse.identify(docs, cross_parse.train(docs))
+
+
 def queries() -> dict:
-    own = [op1_stupid_backoff, op2_hierarchical_mixture, op3_bit_plane_tokens, op4_toxicity, op5_wrapper_induction, op6_license_scan, op7_token_attribution, op8_jaccard_components, op9_multiset_fingerprints, op10_fm_decontamination]
+    own = [op1_stupid_backoff, op2_hierarchical_mixture, op3_bit_plane_tokens, op4_toxicity, op5_wrapper_induction, op6_license_scan, op7_token_attribution, op8_jaccard_components, op9_multiset_fingerprints, op10_fm_decontamination, op11_join_view, op12_merkle_manifest, op13_cross_parsing]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_stupid_backoff": lm_score.oracle_sql(), "op2_hierarchical_mixture": mixture.oracle_sql()}
+    return {
+        "op1_stupid_backoff": lm_score.oracle_sql(), "op2_hierarchical_mixture": mixture.oracle_sql(), "op11_join_view": join_view.oracle_sql(),
+        "op12_merkle_manifest": merkle.oracle_sql(),
+    }
