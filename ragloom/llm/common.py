@@ -14,6 +14,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -59,6 +60,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL text and `select` take it, dots and blanks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that `df` doesn't have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"ragloom_{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def free(spark: SparkSession) -> None:
     """Let the driver's cleaner drop the shuffle files of finished jobs that nothing refers to."""
     gc.collect()
@@ -107,6 +125,19 @@ def tidy(f):
     return run
 
 
+def map_rows(df: DataFrame, f, keep: list[str] | None = None) -> DataFrame:
+    """`f`, as for mapInArrow, over `df`, whose columns (or those of `keep`, which are its first ones) it returns, whatever their names."""
+    names, out = df.columns, keep or df.columns
+    safe = [f"c{i}" for i in range(len(names))]
+
+    def run(batches):
+        for b in f(b.rename_columns(names) for b in batches):
+            yield b.rename_columns(safe[: len(out)])
+
+    schema = StructType([StructField(s, x.dataType) for s, x in zip(safe, df.schema.fields[: len(out)])])
+    return df.toDF(*safe).mapInArrow(tidy(run), schema).toDF(*out)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

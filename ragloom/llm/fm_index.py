@@ -384,13 +384,13 @@ def _remove(sent, n: int, text: str):
 
 
 def _without(text: str, names: list[str]):
-    """Rows (names, __spans) without what lies in their spans."""
+    """Rows (names, then their spans) without what lies in their spans."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            new = [without(t, s) for t, s in zip(b.column(b.schema.get_field_index(text)).to_pylist(), b.column("__spans").to_pylist())]
+            new = [without(t, s) for t, s in zip(b.column(b.schema.get_field_index(text)).to_pylist(), b.column(len(names)).to_pylist())]
             at = names.index(text)
             part = b.select(range(len(names))).set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
             yield part.filter(pa.array([bool(t.strip()) for t in new], pa.bool_()))
@@ -405,16 +405,18 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str = "text"
     common.ship(docs.sparkSession)
     items, parts = passes(benchmark)
     if parts == 1:
-        return docs.mapInArrow(_remove(_pass(items, 0, 1), n, text), docs.schema)
-    length, h = F.octet_length(F.col(text)).cast("long"), F.xxhash64(F.col(text).cast("string"))
+        return common.map_rows(docs, _remove(_pass(items, 0, 1), n, text))
+    words = F.col(common.quoted(text))
+    length, h = F.octet_length(words).cast("long"), F.xxhash64(words.cast("string"))
+    d, g, spans = common.free_names(docs, "d", "g", "spans")
     clean, rest = None, docs
     while True:
-        keyed = rest.where(F.col(text).isNotNull()).select(length.alias("doc_id"), h.alias("h"), F.col(text).cast("string").alias("text"))
-        hits = common.materialise(_in_turn(keyed, items, parts, n)[1].selectExpr("d as __d", "g as __g", "spans as __spans"), "hits")
-        same = (length == F.col("__d")) & (h == F.col("__g"))
+        keyed = rest.where(words.isNotNull()).select(length.alias("doc_id"), h.alias("h"), words.cast("string").alias("text"))
+        hits = common.materialise(_in_turn(keyed, items, parts, n)[1].selectExpr(f"d as {d}", f"g as {g}", f"spans as {spans}"), "hits")
+        same = (length == F.col(d)) & (h == F.col(g))
         left = rest.join(hits, same, "left_anti")
         clean = left if clean is None else clean.union(left)
         if not hits.limit(1).count():
             return clean
-        hit = rest.join(hits, same).select(*[rest[f"`{c}`"] for c in docs.columns], "__spans")
-        rest = common.materialise(hit.mapInArrow(_without(text, docs.columns), docs.schema), "cut")
+        hit = rest.join(hits, same).select(*map(common.quoted, docs.columns), spans)
+        rest = common.materialise(common.map_rows(hit, _without(text, docs.columns), docs.columns), "cut")

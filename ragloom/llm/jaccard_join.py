@@ -15,7 +15,8 @@ of so much of them that long lists are left (it is *heavy*; whatever it could re
 
 Exchange. Lists are never rows. A block is a bounded run of sets with their shingles; it sends its distinct shingles, sorted and
 packed, to ranges of the hash, and each range answers how many sets have them, and in a second turn which sizes are
-asked for. A frequent shingle costs one entry per block, however many documents have it, and a range's size is bounded.
+asked for. A frequent shingle costs one entry per block, however many documents have it. Ranges are cut at the
+entries' own quantiles, so each holds RANGE of them at most, and the little by which hashes stray from even.
 
 Three searches with the same code. First, all sets: it leaves the candidates, whose texts are shingled again. These go to the
 block of their most popular list; large blocks are dealt into sub-blocks several times, each time by another hash and with a leader
@@ -53,6 +54,9 @@ CLASS = 1.26
 #: Entries (sets times shingles) of a block, and of a range of the hash.
 BLOCK = 1_000_000
 RANGE = 1_500_000
+#: Equal parts of the hash in which entries are counted to place the ranges' bounds.
+SLOT_BITS = 12
+SLOTS = 1 << SLOT_BITS
 NULL_ID = -(2**63)
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -185,9 +189,35 @@ def _each(group: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarr
     return out
 
 
-def _cut(block: int, distinct: np.ndarray, first: np.ndarray, second: np.ndarray | None, buckets: int):
-    """A block's entries, cut into equal ranges of the hash."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
+def _count_slots(batches):
+    """Entries of `own` and `other` in each of the hash's SLOTS equal parts."""
+    import pyarrow as pa
+
+    total = np.zeros(SLOTS, dtype=np.int64)
+    for b in batches:
+        for k in ("own", "other"):
+            for data in b.column(k):
+                if data.is_valid:
+                    keys = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+                    total += np.bincount((keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+
+def _edges(sets: DataFrame, buckets: int) -> np.ndarray:
+    """Bounds of `buckets` ranges of the hash that hold equally many of the sets' entries: own lists are the sets' smallest
+    hashes, so equal widths would not. Within a slot hashes are uniform; the driver gets one number per slot."""
+    counted = sets.select("own", "other").mapInArrow(common.tidy(_count_slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    n = np.zeros(SLOTS)
+    for r in counted.collect():
+        n[r.slot] = r.n
+    below = np.concatenate([[0.0], np.cumsum(n)])
+    at = np.interp(below[-1] * np.arange(1, buckets) / buckets, below, np.arange(SLOTS + 1.0)) if below[-1] else SLOTS * np.arange(1, buckets) / buckets
+    return (at * 2.0 ** (64 - SLOT_BITS)).astype(np.uint64)
+
+
+def _cut(block: int, distinct: np.ndarray, first: np.ndarray, second: np.ndarray | None, edges: np.ndarray):
+    """A block's entries, cut into the ranges of the hash that `edges` bound."""
     cut = np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
     out = {k: [] for k in ("bucket", "block", "keys", "first", "second")}
     for k in np.flatnonzero(np.diff(cut)).tolist():
@@ -209,7 +239,7 @@ def _bodies(batches):
 MIXED = np.uint32(1 << 31)
 
 
-def _send_counts(buckets: int):
+def _send_counts(edges: np.ndarray):
     """Per distinct shingle of a block: how many sets have it (top bit: sets of different classes), and a class."""
 
     def run(batches):
@@ -220,19 +250,19 @@ def _send_counts(buckets: int):
             count = np.diff(np.append(starts, len(order))).astype(np.uint32)
             root = np.repeat(x["root"], x["lists"])[order]
             low, high = np.minimum.reduceat(root, starts), np.maximum.reduceat(root, starts)
-            yield _cut(block, distinct, count | np.where(low != high, MIXED, np.uint32(0)), low, buckets)
+            yield _cut(block, distinct, count | np.where(low != high, MIXED, np.uint32(0)), low, edges)
 
     return run
 
 
-def _send_single(buckets: int):
+def _send_single(edges: np.ndarray):
     """As `_send_counts` where every set is a class of its own: no classes travel."""
 
     def run(batches):
         for block, x in _bodies(batches):
             order, starts, distinct = _grouped(x["keys"])
             if len(distinct):
-                yield _cut(block, distinct, np.diff(np.append(starts, len(order))).astype(np.uint32), None, buckets)
+                yield _cut(block, distinct, np.diff(np.append(starts, len(order))).astype(np.uint32), None, edges)
 
     return run
 
@@ -349,7 +379,7 @@ def _size_class(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log(n) / np.log(CLASS)), 60).astype(np.uint64)
 
 
-def _send_wishes(buckets: int):
+def _send_wishes(edges: np.ndarray):
     """Per distinct shingle of a block: size classes that its light and its heavy queries ask for among the rarest lists, and
     whether it is a short list of a light query at all."""
 
@@ -363,7 +393,7 @@ def _send_wishes(buckets: int):
             light, heavy = x["light"][x["owner"]], x["heavy"][x["owner"]]
             any_ = np.where(x["role"] & SHORT > 0, ANY, np.uint64(0))
             masks = [np.bitwise_or.reduceat(m[order], starts) for m in (np.where(light, wish | any_, np.uint64(0)), np.where(heavy, wish, np.uint64(0)))]
-            yield _cut(block, distinct, *masks, buckets)
+            yield _cut(block, distinct, *masks, edges)
 
     return run
 
@@ -406,9 +436,10 @@ def _search(sets: DataFrame, entries: int, name: str, long: int | None, classed:
     buckets, parts = max(8, -(-entries // RANGE)), common.parts_for(sets.sparkSession, entries, BLOCK)
     by_set = sets.select(*SET, "own", "other").repartition(parts, "set_id").sortWithinPartitions("set_id", "id", "h")
     blocks = common.materialise(by_set.mapInArrow(common.tidy(_to_blocks), BLOCKS), f"{name}-blocks")
+    edges = _edges(sets, buckets)
 
     def turn(blocks: DataFrame, send, answer, close, schema: str, what: str) -> DataFrame:
-        pairs = blocks.mapInArrow(common.tidy(send(buckets)), PAIRS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        pairs = blocks.mapInArrow(common.tidy(send(edges)), PAIRS).repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
         replies = common.materialise(pairs.mapInArrow(common.tidy(answer), BLOCKS), f"{name}-replies")
         back = blocks.union(replies).repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
         out = common.materialise(back.mapInArrow(common.tidy(close), schema), f"{name}-{what}")
@@ -676,14 +707,17 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     found = _classes(_keyed(docs, text, doc_id)).where("n > 0")
     best = found.groupBy("root").agg(F.min(F.struct("id", "h")).alias("best"))
     judged = found.groupBy("root", "id", "h").agg(F.count("*").alias("copies")).join(best, "root")
-    judged = common.materialise(judged.selectExpr("id as __id", "h as __h", "struct(id, h) <> best as gone", "copies"), "judged")
-    same = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).eqNullSafe(F.col("__id")) & F.xxhash64(F.col(text).cast("string")).eqNullSafe(F.col("__h"))
-    kept = docs.join(judged.where("gone").select("__id", "__h"), same, "left_anti")
-    again = judged.where("not gone and copies > 1").select("__id", "__h")
+    judged = common.materialise(judged.selectExpr("id", "h", "struct(id, h) <> best as gone", "copies"), "judged")
+    i, h, row = common.free_names(docs, "id", "h", "row")
+    names = [common.quoted(c) for c in docs.columns]
+    judged = judged.withColumnsRenamed({"id": i, "h": h})
+    mine, words = F.col(common.quoted(doc_id)), F.col(common.quoted(text))
+    same = F.coalesce(mine.cast("long"), F.lit(NULL_ID)).eqNullSafe(F.col(i)) & F.xxhash64(words.cast("string")).eqNullSafe(F.col(h))
+    kept = docs.join(judged.where("gone").select(i, h), same, "left_anti")
+    again = judged.where("not gone and copies > 1").select(i, h)
     if not again.limit(1).count():
         return kept
     several = kept.join(again, same, "left_semi")
-    names = several.columns
-    order = Window.partitionBy(doc_id, text).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    one = several.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*[F.col(f"`{c}`") for c in names])
+    order = Window.partitionBy(mine, words).orderBy(F.xxhash64(*names))
+    one = several.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).select(*names)
     return kept.join(again, same, "left_anti").union(one)

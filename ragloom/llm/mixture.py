@@ -107,11 +107,14 @@ def choose(docs: DataFrame, numerator: int = 1, denominator: int = 2, max_epochs
 
 def select(docs: DataFrame, **parameters) -> DataFrame:
     """The chosen rows of `docs`, each as often as it has copies, with the columns of `docs`."""
-    chosen = choose(docs, **parameters).selectExpr("doc_id as __doc", *[f"{c} as __{c}" for c in LEVELS], "copies as __copies")
+    *key, copies, n = common.free_names(docs, "doc", *LEVELS, "copies", "n")
+    chosen = choose(docs, **parameters).selectExpr(f"doc_id as {key[0]}", *[f"{c} as {k}" for c, k in zip(LEVELS, key[1:])], f"copies as {copies}")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (name("lang") == F.col("__lang")) & (name("source") == F.col("__source"))
-    rows = docs.join(chosen, same).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return rows.select(*docs.columns)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key[0]))
+    for c, k in list(zip(LEVELS, key[1:]))[1:]:
+        same = same & (name(c) == F.col(k))
+    rows = docs.join(chosen, same).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return rows.select(*map(common.quoted, docs.columns))
 
 
 def oracle_sql(numerator: int = 1, denominator: int = 2, max_epochs: int = 2, weights: dict | None = None, seed: str = SEED, table: str = "documents") -> str:

@@ -280,4 +280,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
                 yield part.filter(pa.array(of([t or "" for t in texts]) < threshold))
 
-    return docs.mapInArrow(common.tidy(run), docs.schema)
+    return common.map_rows(docs, run)

@@ -58,3 +58,30 @@ def test_edges(spark, tmp_path):
     empty = documents(spark, [])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0, name
+
+
+@pytest.mark.parametrize("several_passes", [False, True])
+def test_any_column_names(spark, tmp_path, monkeypatch, several_passes):
+    """Helper columns never clash with the documents' own, dots and blanks in names included."""
+    from helpers import BASE, documents
+    from pyspark.sql import functions as F
+
+    from ragloom.llm import fm_index
+
+    if several_passes:
+        monkeypatch.setattr(fm_index, "PASS_BYTES", 40)
+    passages = [" ".join(f"{w}{i}" for i in range(12)) for w in ("alpha", "beta")]
+    many = [(1, BASE, "en", "s"), (1, BASE, "en", "s"), (2, BASE + " more", "en", "s"), (3, f"before {passages[0]} after", "en", "s"), (4, f"{passages[1]} tail", "de", "t"), (5, "calm line", "en", "t")]
+    names = ["__copies", "__doc", "__lang", "__spans", "__id", "__h", "__row", "ragloom_id", "RAGLOOM_SPANS", "ragloom_copies", "a.b", "a b", "component", "domain"]
+    docs = documents(spark, many)
+    for c in names:
+        docs = docs.withColumn(c, F.lit("x"))
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 6)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    left = docs.collect()
+    assert 0 < len(left) <= 4 and not any("alpha3" in r.text or "beta3" in r.text for r in left) and all(r["a.b"] == "x" for r in left)

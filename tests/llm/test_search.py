@@ -174,3 +174,18 @@ def test_fm_index_against_plain_search():
     for p, n, a, b in zip(patterns, lengths, low, high):
         expected = [i for i in range(500 - n + 1) if (text[i : i + n] == p[:n]).all()]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == expected
+
+
+def test_ranges_hold_equally_many_entries(spark):
+    """Own lists are the smallest hashes of their sets: equal widths would put nearly all of them in a fifth of the ranges."""
+    rng = np.random.default_rng(4)
+    rows_ = []
+    for _ in range(400):
+        x = np.unique(rng.integers(0, 2**64, size=300, dtype=np.uint64))
+        under = int(np.searchsorted(x, np.uint64(int(0.22 * 2**64))))
+        rows_.append((bytearray(x[:61].tobytes()), bytearray(x[61:under].tobytes())))
+    edges = jaccard_join._edges(spark.createDataFrame(rows_, "own binary, other binary"), 16)
+    flat = np.concatenate([np.frombuffer(bytes(b), dtype=np.uint64) for r in rows_ for b in r])
+    held = np.diff(np.concatenate([[0], np.searchsorted(np.sort(flat), edges), [len(flat)]]))
+    assert len(edges) == 15 and held.max() < 1.2 * held.mean()
+    assert (np.diff(jaccard_join._edges(spark.createDataFrame([], "own binary, other binary"), 4).astype(float)) > 0).all()
