@@ -11,6 +11,7 @@ linked with nothing and all stay; a null doc_id counts as the lowest; empty tabl
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ragloom.llm import common, fm_index, jaccard_join, mixture, token_store, toxicity
 
@@ -28,7 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every window of ten benchmark words is cut out; `n_chars` follows. Documents without text left go."""
     cut = fm_index.remove(docs, common.read(spark, sf_dir, "benchmark"))
-    return cut.selectExpr(*[("cast(length(text) as bigint) as n_chars" if c == "n_chars" else c) for c in docs.columns])
+    n_chars = F.length("text").cast("long").alias("n_chars")
+    return cut.select(*[n_chars if c == "n_chars" else F.col(common.quoted(c)) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
