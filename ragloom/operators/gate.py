@@ -14,6 +14,7 @@ from ragloom.functions import text
 
 THRESHOLDS = [i / 100.0 for i in range(30, 71, 5)]
 RANGES = 256  # of scores, when ranks are made
+LARGEST, STRETCHES = 1024, 4096  # groups that are packed one by one; hash ranges of the others
 RETRIEVAL = ["r_max", "r_mean", "r_min", "r_gap", "n_cards"]
 BEHAVIOUR = ["base_agree", "base_in_cards", "rag_in_cards", "changed", "rag_base_overlap", "base_len", "rag_len"]
 CONTEXT = ["is_english"]
@@ -74,11 +75,11 @@ def auc(df: DataFrame, label: str, score: str, keys: list[str] | None = None) ->
     return total.select(*keys, F.round((F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0")), 6).alias("auc"))
 
 
-def gains(df: DataFrame, thresholds: DataFrame, label: str = "help", p: str = "p", t: str = "t") -> DataFrame:
-    """Answers won less answers lost by threshold, where the gate opens above it."""
+def gains(df: DataFrame, thresholds: DataFrame, label: str = "help", p: str = "p", t: str = "t", keys: list[str] | None = None) -> DataFrame:
+    """Answers won less answers lost by threshold (and keys), where the gate opens above it."""
     per = df.where(F.col(label).isNotNull()).crossJoin(F.broadcast(thresholds))
     use = F.coalesce(F.col(p) > F.col(t), F.lit(False))
-    return per.groupBy("pos", t).agg(F.sum(F.when(use, 2 * F.col(label) - 1).otherwise(0)).cast("long").alias("gain"))
+    return per.groupBy(*keys or [], "pos", t).agg(F.sum(F.when(use, 2 * F.col(label) - 1).otherwise(0)).cast("long").alias("gain"))
 
 
 def hash_folds(key: Column, k: int) -> Column:
@@ -86,16 +87,57 @@ def hash_folds(key: Column, k: int) -> Column:
     return (F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % k).cast("int")
 
 
-def balanced_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Folds by greedy balance: groups from the largest, each to the fold with the fewest rows. One row per group goes to the
-    driver, so groups must be templates or the like; `hash_folds` serves any number."""
-    sizes = sorted(((r["n"], r[group]) for r in df.groupBy(group).agg(F.count("*").alias("n")).collect()), key=lambda x: (-x[0], str(x[1])))
-    load, rows = [0] * k, []
-    for n, g in sizes:
-        fold = min(range(k), key=lambda i: (load[i], i))
-        load[fold] += n
-        rows.append((g, fold))
-    return df.sparkSession.createDataFrame(rows, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
+def balanced_folds(df: DataFrame, group: str, k: int, largest: int = LARGEST) -> DataFrame:
+    """(group, fold): all rows of a group in one fold, folds balanced by rows."""
+    return packed_folds(df.groupBy(group).agg(F.count("*").alias("n")), group, k, largest=largest)
+
+
+def packed_folds(sizes: DataFrame, group: str, k: int, keys: list[str] | None = None, largest: int = LARGEST) -> DataFrame:
+    """(keys, group, fold) from (keys, group, n), packed for each of the keys alone.
+
+    The `largest` groups go one by one, from the largest (of equals the first), to the fold with the fewest rows. The rest, in order of
+    a hash, fill what each fold then lacks of an even share: a group goes to the fold in whose stretch its running sum begins. So
+    folds differ by one of the rest's groups at most from what greedy packing of all would give, and no task holds more than `largest` groups."""
+    keys = keys or []
+    by_keys = lambda *c: Window.partitionBy(*keys, *c)
+    ranked = sizes.withColumn("rank", F.row_number().over(by_keys().orderBy(F.desc("n"), F.col(group).asc_nulls_first())))
+    first = ranked.where(F.col("rank") <= largest)
+    nothing = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("loads"), F.array().cast("array<int>").alias("folds"))
+
+    def pack(state, x):
+        at = F.array_position(state["loads"], F.array_min(state["loads"])).cast("int") - 1
+        loads = F.transform(state["loads"], lambda load, i: F.when(i == at, load + x["n"]).otherwise(load))
+        return F.struct(loads.alias("loads"), F.concat(state["folds"], F.array(at)).alias("folds"))
+
+    heads = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(group).alias("g"), F.col("n").cast("long").alias("n")))).alias("all_of"))
+    heads = heads.withColumn("packed", F.aggregate("all_of", nothing, pack))
+    done = heads.select(*keys, F.explode(F.arrays_zip(F.col("all_of.g").alias("g"), F.col("packed.folds").alias("f"))).alias("x")).select(*keys, F.col("x.g").alias(group), F.col("x.f").alias("fold"))
+    if not ranked.where(F.col("rank") == largest + 1).limit(1).count():
+        return done
+    same = F.col("g_").eqNullSafe(F.col(group))
+    for c in keys:
+        same = same & F.col(f"k_{c}").eqNullSafe(F.col(c))
+    names = [F.col(c).alias(f"k_{c}") for c in keys]
+    rest = sizes.join(first.select(*names, F.col(group).alias("g_")), same, "left_anti").withColumn("b", hash_folds(F.coalesce(F.col(group).cast("string"), F.lit("")), STRETCHES))
+    sums = rest.groupBy(*keys, "b").agg(F.sum("n").alias("sum"))
+    sums = sums.withColumns({"before": F.sum("sum").over(by_keys().orderBy("b")) - F.col("sum"), "total": F.sum("sum").over(by_keys())})
+    rest = rest.join(sums.select(*[F.col(c).alias(f"k_{c}") for c in keys], F.col("b").alias("b_"), "before", "total"), _same(keys, "b"))
+    rest = rest.withColumn("start", F.col("before") + F.sum("n").over(by_keys("b").orderBy(F.col(group).asc_nulls_first())) - F.col("n")).drop("b_", *[f"k_{c}" for c in keys])
+    loads = heads.select(*names, F.col("packed.loads").alias("loads"))
+    rest = rest.join(F.broadcast(loads), _same(keys)) if keys else rest.crossJoin(F.broadcast(loads))
+    up = F.array_sort("loads")
+    levels = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda m: (F.col("total") + F.aggregate(F.slice(up, F.lit(1), m), F.lit(0).cast("long"), lambda s, x: s + x)) / m)
+    lacks = F.transform("loads", lambda x: F.greatest(F.lit(0.0), F.array_min(levels) - x))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.aggregate(F.slice(lacks, F.lit(1), i), F.lit(0.0), lambda s, x: s + x))
+    at = F.least(F.lit(k - 1), F.size(F.filter(ends, lambda e: e <= F.col("start"))))
+    return done.unionByName(rest.select(*keys, group, at.cast("int").alias("fold")))
+
+
+def _same(keys: list[str], *more: str) -> Column:
+    out = F.lit(True)
+    for c, other in [*((c, f"k_{c}") for c in keys), *((c, f"{c}_") for c in more)]:
+        out = out & F.col(c).eqNullSafe(F.col(other))
+    return out
 
 
 def loco(df: DataFrame, fold: str, part: str, k: int) -> DataFrame:
@@ -170,52 +212,6 @@ def feature_sets(df: DataFrame) -> dict[str, list[str]]:
     return sets
 
 
-def select_model(train: DataFrame, numeric: list[str], categorical: list[str], kinds=("logreg",), inner: int = 3, label: str = "help"):
-    """(fitted model, kind, threshold): the kind with the best grouped out-of-fold AUC, the threshold with the best gain, the first
-    of equals; the model is refitted on all of `train`. Only labelled rows count."""
-    train = train.where(F.col(label).isNotNull())
-    train = train.join(balanced_folds(train, "template", inner).withColumnRenamed("fold", "inner"), "template").persist()
-    grid = train.sparkSession.createDataFrame(list(enumerate(THRESHOLDS)), "pos int, t double")
-    best = None
-    for kind in kinds:
-        oof = None
-        for j in range(inner):
-            model = fit(train.where(F.col("inner") != j), kind, numeric, categorical, label)
-            part = predict(model, train.where(F.col("inner") == j)).select(label, "p")
-            oof = part if oof is None else oof.union(part)
-        oof = oof.persist()  # read for the ranks, their ranges and the gains
-        row = auc(oof, label, "p").first()
-        score = row["auc"] if row else 0.5
-        if best is None or score > best[0]:
-            t = gains(oof, grid, label).agg(F.max_by("t", F.struct(F.col("gain"), -F.col("pos")))).first()[0]
-            best = (score, kind, t if t is not None else 0.5)
-        oof.unpersist()
-    model = fit(train, best[1], numeric, categorical, label)
-    train.unpersist()
-    return model, best[1], float(best[2])
-
-
-def cross_fit(
-    df: DataFrame, numeric: list[str], categorical: list[str], kinds=("logreg",), folds: int = 5, inner: int = 3, label: str = "help", part: str | None = None
-) -> DataFrame:
-    """Out-of-fold probability and threshold of every row, by grouped folds that are balanced by rows; see `select_model`. With `part`
-    (a country, say), a row's model has seen neither its template nor its part; rows without a part are scored as one more part.
-
-    `df` needs `template`, of which there must be three at least outside of each fold. Models are fitted one after the other by the
-    driver; data stay distributed."""
-    df = df.join(balanced_folds(df, "template", folds), "template").persist()
-    where = [part] if part else []
-    splits = sorted((tuple(r) for r in df.select("fold", *where).distinct().collect()), key=str)
-    out = None
-    for k, *of in splits:
-        same = F.lit(True) if not part else F.col(part).eqNullSafe(F.lit(of[0]))
-        train, test = df.where(F.col("fold") != k), df.where((F.col("fold") == k) & same)
-        model, kind, t = select_model(train.where(~same) if part else train, numeric, categorical, kinds, inner, label)
-        scored = predict(model, test).withColumns({"t": F.lit(t), "kind": F.lit(kind)})
-        out = scored if out is None else out.union(scored)
-    return out
-
-
 def report(df: DataFrame, part: str, label: str = "help", p: str = "p", t: str = "t") -> DataFrame:
     """(place, line): AUC and shares kept over all rows, then by part in its order. A part with one class has no line."""
     use = decide(F.col(p), F.col(t)).cast("int")

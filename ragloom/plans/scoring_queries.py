@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import scores, text
-from ragloom.operators import audit, gate, scoring
+from ragloom.operators import audit, crossfit, gate, scoring
 
 from . import roles
 from .registry import Tables, query
@@ -257,6 +257,7 @@ def gate_features(t: Tables) -> DataFrame:
     return rows.select("doc_id", *[F.round(c, 6).alias(c) for c in real], *[F.col(c).cast("long").alias(c) for c in ("n_cards", "changed", "is_english", "base_agree", "base_len", "rag_len")], "help")
 
 
+PACKED = 16
 NUMERIC = ["r_max", "r_gap", "base_in_cards", "rag_in_cards", "rag_base_overlap", "is_english"]
 
 
@@ -285,12 +286,36 @@ def gate_gbt(t: Tables) -> DataFrame:
     return gate.predict(model, rows).select("doc_id", F.round("p", 6).alias("p"))
 
 
+GATE_NUMBERS, GATE_CATEGORIES = ["len", "variety", "is_english"], ["lang"]
+
+
 @query(None)
 def gate_crossfit(t: Tables) -> DataFrame:
-    out = gate.cross_fit(_train_rows(t), ["len", "variety", "is_english"], ["lang"])
+    out = crossfit.cross_fit(_train_rows(t), GATE_NUMBERS, GATE_CATEGORIES)
     return out.select("doc_id", "help", F.round("p", 6).alias("p"), "t", gate.decide(F.col("p"), F.col("t")).alias("use"))
 
 
+@query(None)
+def gate_loco(t: Tables) -> DataFrame:
+    """Models that have seen neither a row's template nor its language."""
+    out = crossfit.cross_fit(_train_rows(t), GATE_NUMBERS, [], part="lang")
+    return out.select("doc_id", "lang", "help", F.round("p", 6).alias("p"), "t", gate.decide(F.col("p"), F.col("t")).alias("use"))
+
+
+@query(f"""with recursive s as (select n_chars // 100 as template, count(*)::bigint as n from documents group by 1),
+r as (select *, row_number() over (order by n desc, template) as i from s),
+h(i, loads, fold) as (select 0::bigint, [0, 0, 0, 0, 0]::bigint[], null::int union all
+  select h.i + 1, list_transform(range(1, 6), lambda j: loads[j] + case when j = list_position(loads, list_min(loads)) then r.n else 0 end), (list_position(loads, list_min(loads)) - 1)::int
+  from h join r on r.i = h.i + 1 where h.i < {PACKED}),
+x as (select template, (sum(n) over (order by b, template) - n)::bigint as start from (select *, ('0x' || substr(md5(template::varchar), 1, 8))::bigint % {gate.STRETCHES} as b from r where i > {PACKED})),
+l as (select loads, (select coalesce(sum(n), 0) from r where i > {PACKED})::bigint as total from h order by i desc limit 1),
+v as (select list_transform(loads, lambda load: greatest(0.0, list_min(list_transform(range(1, 6), lambda m: (total + list_sum(list_sort(loads)[1:m])) / m)) - load)) as lacks from l),
+e as (select list_transform(range(1, 6), lambda j: list_sum(lacks[1:j])) as ends from v)
+select r.template, fold from h join r using (i) union all select template, least(4, len(list_filter(ends, lambda y: y <= start)))::int from x cross join e""")
+def group_kfold_balanced(t: Tables) -> DataFrame:
+    return gate.balanced_folds(t.documents.selectExpr("n_chars div 100 as template"), "template", 5, PACKED)
+
+
 # Audits
 HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1))"
 

@@ -191,24 +191,6 @@ def test_auc_without_groups_against_pairs(spark):
     assert gate.auc(df.where("false"), "help", "p").count() == 0
 
 
-def test_cross_fit_by_part_never_sees_the_row_s_template_or_part(spark, monkeypatch):
-    rows = [(f"t{i % 10}", f"c{i % 3}" if i % 31 else None, float((i * 7) % 10 > 4), ((i * 7) % 10 > 4) + (i % 5) / 4) for i in range(300)]
-    df = spark.createDataFrame(rows, "template string, country string, help double, x double")
-    seen = []
-
-    def spy(train, *rest):
-        seen.append({(r.template, r.country) for r in train.select("template", "country").distinct().collect()})
-        return len(seen) - 1, "spy", 0.5
-
-    monkeypatch.setattr(gate, "select_model", spy)
-    monkeypatch.setattr(gate, "predict", lambda model, test: test.withColumn("p", F.lit(float(model))))
-    out = gate.cross_fit(df, ["x"], [], folds=2, part="country").collect()
-    assert len(out) == 300 and len(seen) == 8
-    for r in out:
-        trained = seen[int(r.p)]
-        assert trained and r.template not in {t for t, _ in trained} and r.country not in {c for _, c in trained}
-
-
 def test_feature_sets_need_the_whole_judge_column(spark):
     df = spark.createDataFrame([(0.5,), (None,)], "judge_yes double")
     assert list(gate.feature_sets(df)) == list(gate.feature_sets(df.drop("judge_yes"))) == ["retrieval", "no_judge"]
