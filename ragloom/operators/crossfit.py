@@ -267,3 +267,25 @@ def cross_fit(
     out.count()  # so that `rows` can go
     rows.unpersist()
     return out
+
+
+def fit_all(df: DataFrame, numeric: list[str], categorical: list[str], kind, label: str = "help") -> DataFrame:
+    """`df` with `p` by one model of all its labelled rows."""
+    rows, _, numbers = design(df, numeric, categorical)
+    of = F.array(F.when(F.col(label).isNotNull(), F.lit(1)).otherwise(F.lit(-1)))
+    rows = rows.withColumns({"y": F.col(label).cast("double"), "inners": of}).persist()
+    fitted = kind.fit(rows, [0], 0, numbers)
+    keep = df.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.select(keep).columns, pa.array(probability(fitted.margin(0, arrays(b)[0])))], [*keep, "p"])
+
+    from pyspark.sql.types import DoubleType, StructType
+
+    out = rows.mapInArrow(run, StructType(list(df.schema.fields)).add("p", DoubleType())).persist()
+    out.count()  # so that `rows` can go
+    rows.unpersist()
+    return out

@@ -272,23 +272,22 @@ def _train_rows(t: Tables) -> DataFrame:
     return rows.join(extra, "doc_id")
 
 
+GATE_NUMBERS, GATE_CATEGORIES = ["len", "variety", "is_english"], ["lang"]
+
+
 @query(None)
 def gate_logreg(t: Tables) -> DataFrame:
     rows = _train_rows(t)
-    model = gate.fit(rows, "logreg", ["len", "variety", "is_english"], ["lang"])
-    return gate.predict(model, rows).select("doc_id", F.round("p", 6).alias("p"))
+    return crossfit.fit_all(rows, GATE_NUMBERS, GATE_CATEGORIES, crossfit.Linear()).select("doc_id", F.round("p", 6).alias("p"))
 
 
 @query(None)
 def gate_gbt(t: Tables) -> DataFrame:
     rows = _train_rows(t)
-    model = gate.fit(rows, "gbt", ["len", "variety", "is_english"], ["lang"])
+    model = gate.fit(rows, "gbt", GATE_NUMBERS, GATE_CATEGORIES)
     return gate.predict(model, rows).select("doc_id", F.round("p", 6).alias("p"))
 
 
-GATE_NUMBERS, GATE_CATEGORIES = ["len", "variety", "is_english"], ["lang"]
-
-
 @query(None)
 def gate_crossfit(t: Tables) -> DataFrame:
     out = crossfit.cross_fit(_train_rows(t), GATE_NUMBERS, GATE_CATEGORIES)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ragloom.operators import crossfit, gate
+from ragloom.operators import boosting, crossfit, gate
 
 
 def data(spark, n=360, seed=2):
@@ -120,3 +120,74 @@ def test_one_class_and_no_rows(spark):
     same = crossfit.cross_fit(df.withColumn("help", F.lit(1.0)), ["a"], ["c"], folds=3)
     assert same.count() == 60 and same.where("p = 0.5").count() == 60
     assert crossfit.cross_fit(df.where("false"), ["a"], ["c"], folds=3).count() == 0
+
+
+def boosted(x, y, edges, rounds, rate=0.05, depth=3, least=20):
+    """Trees by trying every split of every node over explicit rows: [(column, bin, nulls left, left, right) or a leaf's value]."""
+    b = np.column_stack([np.where(np.isnan(x[:, c]), 255, np.searchsorted(e, x[:, c])) for c, e in enumerate(edges)])
+    sw = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    margin, trees = np.zeros(len(y)), []
+
+    def grow(on, g, h, level):
+        best = None
+        for null in (False, True) if level < depth else ():
+            for c in range(b.shape[1]):
+                for t in range(255):
+                    left = on & np.where(b[:, c] == 255, null, b[:, c] <= t)
+                    right = on & ~left
+                    if min(left.sum(), right.sum()) < least or min(h[left].sum(), h[right].sum()) < 1e-3:
+                        continue
+                    gain = sum(g[s].sum() ** 2 / h[s].sum() for s in (left, right)) - g[on].sum() ** 2 / h[on].sum()
+                    if gain > 1e-12 and (best is None or gain > best[0] * (1 + 1e-9)):
+                        best = (gain, c, t, null, left, right)
+        if best is None:
+            value = 0.0 if level == 0 else -rate * g[on].sum() / h[on].sum()
+            return value, np.where(on, value, 0.0)
+        parts = [grow(side, g, h, level + 1) for side in best[4:]]
+        return (*best[1:4], parts[0][0], parts[1][0]), parts[0][1] + parts[1][1]
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        tree, add = grow(np.ones(len(y), bool), sw * (p - y), sw * p * (1 - p), 0)
+        trees.append(tree)
+        margin = margin + add
+    return trees, margin
+
+
+def nested(tree, node=0):
+    c, b, null, left, right = tree.nodes[node]
+    return round(tree.value[node], 9) if c < 0 else (c, b, null, nested(tree, left), nested(tree, right))
+
+
+def rounded(tree):
+    return round(tree, 9) if isinstance(tree, float) else (*tree[:3], rounded(tree[3]), rounded(tree[4]))
+
+
+def test_boosted_trees_are_those_of_a_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "KEEP", 2)  # margins are brought up to date in between
+    rows, df = data(spark, 500, seed=8)
+    made, names, numbers = crossfit.design(df, ["a", "b"], ["c"])
+    made, splits = crossfit.assign(made, 4, 3, None, "help")
+    made = made.withColumn("y", F.col("help")).persist()
+    found = {r.id: r for r in made.collect()}
+    fitted = boosting.Boosted(rounds=3).fit(made, list(range(splits.models)), 3, numbers)
+    x = np.array([[np.nan if v is None else v for v in found[r[0]].x] for r in rows])
+    y = wide(rows)[1]
+    for m in (0, 7, 15):
+        on = np.array([found[r[0]].inners[m // 4] not in (-1, m % 4) for r in rows])
+        trees, margin = boosted(x[on], y[on], fitted.edges, 3)
+        assert [nested(t) for t in fitted.trees[m]] == [rounded(t) for t in trees], m
+        assert np.allclose(fitted.margin(m, x[on]), margin, atol=1e-9)
+    made.unpersist()
+
+
+def test_cross_fit_picks_the_better_kind(spark):
+    """A label that only trees can tell; and one number of models for both kinds."""
+    rng = np.random.default_rng(0)
+    v = rng.uniform(-1, 1, size=(600, 2))
+    rows = [(i % 30, float(a), float(b), float(a * b > 0)) for i, (a, b) in enumerate(v)]
+    df = spark.createDataFrame(rows, "template int, a double, b double, help double")
+    out = crossfit.cross_fit(df, ["a", "b"], [], [crossfit.Linear(), boosting.Boosted(rounds=4)], folds=3, inner=2).collect()
+    assert {r.kind for r in out} == {"gbm"} and np.mean([(r.p > 0.5) == (r.help > 0.5) for r in out]) > 0.75
+    one = crossfit.fit_all(df, ["a", "b"], [], boosting.Boosted(rounds=2)).collect()
+    assert len(one) == 600 and len({round(r.p, 9) for r in one}) > 1
