@@ -14,9 +14,9 @@ rule out none. Within an article a text is template on `MIN_INSIDE` pages or mor
 page's article text; otherwise the host's pages are copies of each other, and copies keep their text.
 
 Hosts of any size: equal pages of a host are one; pages are dealt into parts of about `GROUP` pages of a host, each makes a partial
-template, and partial templates merge in rounds of `GROUP` until each host has one. A slot carries at most `TEXTS` texts with
-their counts, as a Misra-Gries summary, which no text on a `TEXTS`-th of the pages escapes; then the candidates are counted on all
-pages, so that the shares are exact. Nothing recurses, so nesting of any depth is fine. Templates then meet the pages again: broadcast
+template of slots without texts, and partial templates merge in rounds of `GROUP` until each host has one. Then every page is aligned with
+its host's template and its texts are counted as rows (host, slot, text), summed in tasks first: shares are exact, and a slot
+may hold any number of texts. Nothing recurses, so nesting of any depth is fine. Templates then meet the pages again: broadcast
 if all of them together are under `BROADCAST_BYTES`, by a join on the host otherwise, with the same results.
 
 Defined results: null or empty html gives an empty text; a page cut off in mid-markup gives the text up to there; a null url is a host
@@ -39,7 +39,6 @@ from . import common
 MIN_PAGES = 2
 MIN_INSIDE = 6
 SHARE = 0.8
-TEXTS = 16
 GROUP = 48
 BROADCAST_BYTES = 16_000_000
 
@@ -73,12 +72,12 @@ ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dial
 
 
 class Node:
-    """A slot: label, pages it stands on, pages of each text, what a text's count may lack, child slots in order."""
+    """A slot: label, pages it stands on, hashes of its texts (on a page's tree; none on a template), child slots in order."""
 
-    __slots__ = ("label", "pages", "texts", "lost", "kids")
+    __slots__ = ("label", "pages", "texts", "kids")
 
-    def __init__(self, label: str, pages: int = 1, texts: dict | None = None, lost: int = 0):
-        self.label, self.pages, self.texts, self.lost, self.kids = label, pages, texts or {}, lost, []
+    def __init__(self, label: str, pages: int = 1, texts: dict | None = None):
+        self.label, self.pages, self.texts, self.kids = label, pages, texts or {}, []
 
     def walk(self):
         """(depth, slot) in the order of the page."""
@@ -90,7 +89,7 @@ class Node:
 
 
 def dump(root: Node) -> bytes:
-    return pickle.dumps([(depth, x.label, x.pages, x.texts, x.lost) for depth, x in root.walk()], 5)
+    return pickle.dumps([(depth, x.label, x.pages, x.texts) for depth, x in root.walk()], 5)
 
 
 def load(data: bytes) -> Node:
@@ -265,17 +264,6 @@ def match(a: Node, b: Node) -> dict[tuple[int, int], tuple[int, list[tuple[int,
     return found
 
 
-def add_texts(into: Node, other: Node) -> None:
-    """Two Misra-Gries summaries as one."""
-    for h, n in other.texts.items():
-        into.texts[h] = into.texts.get(h, 0) + n
-    into.lost += other.lost
-    if len(into.texts) > TEXTS:
-        less = sorted(into.texts.values(), reverse=True)[TEXTS]
-        into.texts = {h: n - less for h, n in into.texts.items() if n > less}
-        into.lost += less
-
-
 def merge(into: Node, other: Node) -> None:
     """Add `other`'s pages to `into`: matched slots are merged, the rest of `other` is inserted in its order."""
     found = match(into, other)
@@ -283,7 +271,6 @@ def merge(into: Node, other: Node) -> None:
     while stack:
         x, y = stack.pop()
         x.pages += y.pages
-        add_texts(x, y)
         partner = {j: i for i, j in found[id(x), id(y)][1]}
         stack.extend((x.kids[i], y.kids[j]) for j, i in partner.items())
         kids, last, offset = list(x.kids), 0, 0
@@ -316,17 +303,10 @@ class Template:
             stack.extend((x.kids[i], y.kids[j]) for i, j in found[id(x), id(y)][1])
         return out
 
-    def candidates(self, page: Node) -> list[tuple[int, int]]:
-        """The (slot, text) pairs of a page that may be constant."""
-        least = SHARE * self.pages
+    def texts(self, page: Node) -> list[tuple[int, int]]:
+        """The (slot, text) pairs of a page."""
         slots = self.align(page)
-        out = []
-        for _, node in page.walk():
-            i = slots.get(id(node))
-            if i is not None:
-                slot = self.slots[i]
-                out += [(i, h) for h in node.texts if slot.texts.get(h, 0) + slot.lost >= least and h in slot.texts]
-        return out
+        return [(slots[id(node)], h) for _, node in page.walk() if id(node) in slots for h in node.texts]
 
 
 def extract(page: str | None, template: Template | None) -> str:
@@ -372,6 +352,8 @@ def _merge(batches):
     for b in batches:
         for host, part, tree in zip(*(b.column(k).to_pylist() for k in ("host", "part", "tree"))):
             node = load(tree)
+            for _, slot in node.walk():
+                slot.texts = {}
             if (host, part) != at:
                 if at is not None:
                     yield row()
@@ -395,7 +377,7 @@ def _template(cell, known: dict, host: str) -> Template | None:
 
 
 def _count(sent):
-    """How many of a task's pages have each candidate of their host's template."""
+    """How many of a task's pages have each text in each slot of their host's template."""
 
     def run(batches):
         import pyarrow as pa
@@ -415,7 +397,7 @@ def _count(sent):
                     cell = sent.value.get(host) if sent else (part.column("tree")[i].as_py(), ())
                     template = _template(cell, known, host)
                     if template is not None and template.pages >= MIN_PAGES:
-                        times.update((host, *c) for c in template.candidates(load(page.as_py())))
+                        times.update((host, *c) for c in template.texts(load(page.as_py())))
                 if len(times) > 200_000:
                     yield rows()
         if times:

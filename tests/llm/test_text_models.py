@@ -138,7 +138,6 @@ def test_simple_tree_matching():
 def test_template_decides_where_pages_have_no_landmarks(spark, monkeypatch):
     """No article, no telling names, classes that change from page to page: only the host's template tells content from the rest."""
     monkeypatch.setattr(html_wrapper, "GROUP", 5)
-    monkeypatch.setattr(html_wrapper, "TEXTS", 4)
     page = "<body><div><span>Our site</span></div><div class=x{c}><p>story {n} begins here</p><p>and {n} ends</p></div><div><p>{often}</p></div><div><p>Made by us</p></div></body>"
     data = [(i, "http://one.example/x", page.format(c=i % 2, n=i, often="on most pages" if i % 100 < 81 else f"once {i}")) for i in range(200)]
     data += [(1000 + i, "http://two.example/x", page.format(c=0, n=i, often="on some pages" if i % 100 < 78 else f"once {i}")) for i in range(200)]
@@ -149,6 +148,17 @@ def test_template_decides_where_pages_have_no_landmarks(spark, monkeypatch):
         assert out[i] == "\n".join([f"story {n} begins here", f"and {n} ends", *often]) and alone != out[i] and "Our site" in alone
 
 
+def test_menus_of_any_length_are_template(spark):
+    """Equal items of one list share a slot, however many; pages without landmarks or telling names."""
+    sizes = (10, 16, 17, 20, 40, 300)
+    data = []
+    for k in sizes:
+        items = "".join(f"<li>entry {i} of {k}</li>" for i in range(k))
+        data += [(1000 * k + i, f"http://h{k}.example/{i}", f"<body><ul class=k>{items}</ul><p>own line {i} of its page</p></body>") for i in range(30)]
+    out = html_wrapper.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert len(out) == 30 * len(sizes) and all(r.text == f"own line {r.page_id % 1000} of its page" for r in out)
+
+
 def test_deep_long_and_repeated_pages(spark):
     deep = "<div>" * 30_000 + "<p>deep {n}</p>" + "</div>" * 30_000
     many = "<ul>" + "".join(f"<li>{{n}} item {i}</li>" for i in range(20_000)) + "</ul>"
