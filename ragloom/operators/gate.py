@@ -193,17 +193,6 @@ def predict(model, rows: DataFrame, out: str = "p") -> DataFrame:
     return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias(out))
 
 
-def coefficients(model) -> list[tuple[str, float]]:
-    """Feature names and weights of a fitted linear gate, heaviest first."""
-    stages = model.stages
-    hot = next((s for s in stages if type(s).__name__ == "OneHotEncoderModel"), None)
-    names = list(next(s for s in stages if isinstance(s, VectorAssembler)).getInputCols())
-    indexers = [s for s in stages if type(s).__name__ == "StringIndexerModel"]
-    for s in indexers if hot else []:
-        names += [f"{s.getInputCol()}={v}" for v in s.labels]
-    return sorted(zip(names, stages[-1].coefficients.toArray().tolist()), key=lambda x: -abs(x[1]))
-
-
 def feature_sets(df: DataFrame) -> dict[str, list[str]]:
     """Number columns by name of the set. The full set is there only if every row has the judge's probability."""
     sets = {"retrieval": RETRIEVAL + CONTEXT, "no_judge": RETRIEVAL + BEHAVIOUR + CONTEXT}

@@ -65,3 +65,12 @@ def missing(merged: DataFrame, value: str = "response") -> DataFrame:
 def integrity(rows: DataFrame, ids: Column, known: DataFrame, key: str) -> DataFrame:
     """References of an id array that `known` lacks."""
     return rows.select("*", F.explode(ids).alias(key)).join(known.select(key), key, "left_anti")
+
+
+def divide(rows: DataFrame, group: str, member: str, ok, divisor: DataFrame) -> DataFrame:
+    """Relational division: per group how many of the divisor's distinct members it has with `ok`, and whether it has every one. A group
+    without any is left out; members outside of the divisor and null ones don't count; nothing is divided by an empty divisor."""
+    wanted = divisor.select(member).where(F.col(member).isNotNull()).distinct()
+    has = rows.where(ok).select(group, member).distinct().join(wanted, member, "left_semi").groupBy(group).agg(F.count("*").alias("has"))
+    total = wanted.agg(F.count("*").alias("wanted"))
+    return has.crossJoin(F.broadcast(total)).withColumn("every", F.col("has") == F.col("wanted"))

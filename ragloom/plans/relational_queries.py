@@ -229,6 +229,14 @@ def division_all_regions(t: Tables) -> DataFrame:
     return rows.groupBy("source").agg(F.bool_and("ok").alias("every"), F.count("*").alias("n"), F.bool_or("ok").alias("any")).where("any").drop("any")
 
 
+@query("""with has as (select source, count(distinct lang)::bigint as has from documents join labels using (doc_id) where quality = 1 group by source),
+w as (select count(distinct lang)::bigint as wanted from documents) select source, has, wanted, has = wanted as every from has cross join w where has > 0""")
+def division_all_members(t: Tables) -> DataFrame:
+    """Relational division: which sources have a good document in every language that there is."""
+    rows = t.documents.join(t.labels, "doc_id")
+    return jobs.divide(rows, "source", "lang", F.col("quality") == 1, t.documents)
+
+
 @query(OUT + f", n as (select model, country, qid, min(case when prompt_no = 'p0' then {norm('response')} end) as a, min(case when prompt_no = 'p1' then {norm('response')} end) as b from outcomes group by all) select model, country, qid, coalesce((a = b)::int, 0) as agree from n")
 def self_consistency(t: Tables) -> DataFrame:
     from ragloom.operators import gate

@@ -103,6 +103,14 @@ def test_strict_lookup_fails_on_a_missing_key(spark):
     assert {r.v for r in jobs.lenient(a, b, ["k"], {"v": ""}).collect()} == {"x", ""}
 
 
+def test_division_asks_for_every_member(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("a", "y", 1), ("b", "x", 1), ("b", "y", 0), ("c", "z", 1), ("c", "x", 1), ("c", None, 1), ("d", "x", 0)], "g string, m string, ok int")
+    divisor = spark.createDataFrame([("x",), ("y",), ("y",), (None,)], "m string")
+    out = {r.g: (r.has, r.wanted, r.every) for r in jobs.divide(rows, "g", "m", F.col("ok") == 1, divisor).collect()}
+    assert out == {"a": (2, 2, True), "b": (1, 2, False), "c": (1, 2, False)}
+    assert jobs.divide(rows, "g", "m", F.col("ok") == 1, divisor.where("false")).count() == 0
+
+
 def test_mean_of_means_rounds_first(spark):
     df = spark.createDataFrame([("a", "p", 1), ("a", "p", 0), ("a", "p", 0), ("a", "q", 1), ("a", "q", None)], "model string, p string, score int")
     assert scoring.mean_of_means(df, [["model", "p"], ["model"]], digits=2).first()["m"] == (33.33 + 100) / 2
