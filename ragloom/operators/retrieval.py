@@ -35,13 +35,8 @@ def term_statistics(cards: DataFrame, part: str = "country", card: str = "card_i
     return rows.groupBy(part, card, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(cards: DataFrame, questions: DataFrame, part: str = "country", card: str = "card_id", body: str = "text_en",
-         question: str = "item_id", ask: str = "question", k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
-    """Okapi scores (part, question, card, bm25) of every card of a question's partition, 0 without a common term.
-
-    Each partition is a corpus of its own. A negative idf becomes `floor` times the mean idf of the partition's distinct terms. A
-    question's repeated words count each time. Every question also asks for the term '' at weight 0, so that the sums by question
-    and card have all pairs. They need no shuffle where the asked terms are few enough to be broadcast."""
+def term_weights(cards: DataFrame, questions: DataFrame, part: str, card: str, body: str, question: str, ask: str, floor: float) -> tuple[DataFrame, DataFrame]:
+    """`term_statistics`, and the questions' terms as (part, question, term, w, avgdl), w being idf times the repeats in the question."""
     tf = term_statistics(cards, part, card, body)
     n = cards.groupBy(part).agg(F.count("*").alias("n"))
     terms = tf.where("term <> ''").groupBy(part, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(n, part)
@@ -49,11 +44,26 @@ def bm25(cards: DataFrame, questions: DataFrame, part: str = "country", card: st
     corpus = terms.groupBy(part).agg((F.sum("cf") / F.max("n")).alias("avgdl"), F.avg("raw").alias("mean"))
     asked = questions.select(part, question, F.explode(text.index_tokens(F.col(ask))).alias("term")).groupBy(part, question, "term").agg(F.count("*").alias("times"))
     idf = F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw"))
-    weights = asked.join(terms, [part, "term"]).join(corpus, part).select(part, question, "term", (F.col("times") * idf).alias("w"), "avgdl")
+    return tf, asked.join(terms, [part, "term"]).join(corpus, part).select(part, question, "term", (F.col("times") * idf).alias("w"), "avgdl")
+
+
+def term_share(k1: float, b: float) -> Column:
+    """A term's weight in a card."""
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
+def bm25(cards: DataFrame, questions: DataFrame, part: str = "country", card: str = "card_id", body: str = "text_en",
+         question: str = "item_id", ask: str = "question", k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """Okapi scores (part, question, card, bm25) of every card of a question's partition, 0 without a common term.
+
+    Each partition is a corpus of its own. A negative idf becomes `floor` times the mean idf of the partition's distinct terms. A
+    question's repeated words count each time. Every question also asks for the term '' at weight 0, so that the sums by question
+    and card have all pairs. They need no shuffle where the asked terms are few enough to be broadcast."""
+    tf, asked = term_weights(cards, questions, part, card, body, question, ask, floor)
     none = questions.select(part, question, F.lit("").alias("term"), F.lit(0.0).alias("w"), F.lit(1.0).alias("avgdl"))
-    weights = small(weights.unionByName(none), of=asked.select(part, question).unionByName(none.select(part, question)))
-    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    sums = tf.join(weights, [part, "term"]).groupBy(part, question, card).agg(F.sum(F.col("w") * share).alias("s"))
+    words = questions.select(part, question, F.explode(F.array_distinct(F.concat(text.index_tokens(F.col(ask)), F.array(F.lit(""))))))
+    weights = small(asked.unionByName(none), of=words)
+    sums = tf.join(weights, [part, "term"]).groupBy(part, question, card).agg(F.sum(F.col("w") * term_share(k1, b)).alias("s"))
     return sums.select(part, question, card, F.round("s", DIGITS).alias("bm25"))
 
 
@@ -108,13 +118,12 @@ def leave_own_out(grid: DataFrame, written_for: str, question: str) -> DataFrame
     return grid.where(~F.coalesce(F.array_contains(F.col(written_for), F.col(question)), F.lit(False)))
 
 
-def v1(cards: DataFrame, questions: DataFrame, dense_scores: DataFrame, alpha: float = 0.5, k: int = 3) -> DataFrame:
-    """Hybrid retrieval: (country, item_id, max_dense, max_bm25, cards)."""
+def v1(grid: DataFrame, alpha: float = 0.5, k: int = 3) -> DataFrame:
+    """Hybrid retrieval: (country, item_id, max_dense, max_bm25, cards). `grid` has dn, ln and each question's maxima, as `blocked.graded` makes them."""
     group = ["country", "item_id"]
-    grid = normalised(bm25(cards, questions).join(dense_scores, [*group, "card_id"]), group)
-    most = grid.groupBy(*group).agg(F.max("dense").alias("max_dense"), F.max("bm25").alias("max_bm25"))
-    top = nest(top_k(hybrid(grid, alpha), k, group, "hybrid"), group, ["card_id", "dense", "bm25", "hybrid"])
-    return most.join(top, group)
+    ranked = top_k(hybrid(grid, alpha), k, group, "hybrid")
+    cards = F.array_sort(F.collect_list(F.struct("rank", "card_id", "dense", "bm25", "hybrid")))
+    return ranked.groupBy(*group, "max_dense", "max_bm25").agg(F.transform(cards, lambda c: c.dropFields("rank")).alias("cards"))
 
 
 def v2(candidates: DataFrame, questions: DataFrame, tau: float, k: int = 3) -> DataFrame:

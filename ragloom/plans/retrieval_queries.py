@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import models, scores, text
-from ragloom.operators import retrieval, tuning
+from ragloom.operators import blocked, retrieval, tuning
 
 from . import roles
 from .registry import Tables, query
@@ -33,12 +33,11 @@ select label, vec_id, card_id, score, rank from r where rank <= 3"""
 @query(DENSE_TOP)
 def dense_cosine_topk(t: Tables) -> DataFrame:
     """Region-restricted dense top 3: queries are every tenth vector, cards the others of its label."""
-    unit = t.embeddings.select("vec_id", "label", scores.l2_normalize(F.col("embedding")).alias("u"))
-    q = unit.where("vec_id % 10 = 0").withColumnRenamed("u", "a")
-    c = unit.select("label", F.col("vec_id").alias("card_id"), F.col("u").alias("b"))
-    pairs = q.join(c, "label").where("vec_id <> card_id")
-    scored = pairs.select("label", "vec_id", "card_id", F.round(scores.dot(F.col("a"), F.col("b")), 6).alias("score"))
-    return retrieval.top_k(scored, 3, ["label", "vec_id"], "score").withColumn("rank", F.col("rank").cast("long"))
+    q = t.embeddings.where("vec_id % 10 = 0").select("label", "vec_id", "embedding")
+    c = t.embeddings.select("label", F.col("vec_id").alias("card_id"), "embedding")
+    near = blocked.scored(q, c, 3, "label", "vec_id", vector="embedding", terms=None, others=True).withColumnRenamed("dense", "score")
+    top = retrieval.top_k(near, 3, ["label", "vec_id"], "score")
+    return top.select("label", "vec_id", "card_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("select vec_id, round(sum(x * x), 6) as square from (select vec_id, unnest(list_transform(embedding, lambda x: x::double / sqrt(list_inner_product(embedding::double[], embedding::double[])))) as x from embeddings) group by vec_id")
@@ -70,17 +69,17 @@ def hybrid_fusion(t: Tables) -> DataFrame:
 
 @query(f"with {roles.GRID} select country, item_id, max(dense) as max_dense, max(bm25) as max_bm25 from graded group by all")
 def max_score_per_query(t: Tables) -> DataFrame:
-    return roles.graded(t).groupBy(*KEYS).agg(F.max("dense").alias("max_dense"), F.max("bm25").alias("max_bm25"))
+    return roles.survivors(t, 1).groupBy(*KEYS).agg(F.max("max_dense").alias("max_dense"), F.max("max_bm25").alias("max_bm25"))
 
 
 @query(f"with {roles.GRID}, {roles.HYBRID}, {roles.TOP} select country, item_id, card_id, hybrid, place as rank from placed where place <= 3")
 def topk_per_query(t: Tables) -> DataFrame:
-    return retrieval.top_k(retrieval.hybrid(roles.graded(t)), 3, KEYS, "hybrid").select(*KEYS, "card_id", "hybrid", F.col("rank").cast("long").alias("rank"))
+    return retrieval.top_k(retrieval.hybrid(roles.survivors(t, 3)), 3, KEYS, "hybrid").select(*KEYS, "card_id", "hybrid", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"with {roles.GRID}, {roles.HYBRID}, {roles.TOP} select country, item_id, card_id, place from placed where place <= 20")
 def top20_candidates(t: Tables) -> DataFrame:
-    return retrieval.top_k(retrieval.hybrid(roles.graded(t)), 20, KEYS, "hybrid", out="place").select(*KEYS, "card_id", F.col("place").cast("long").alias("place"))
+    return retrieval.top_k(retrieval.hybrid(roles.survivors(t, 20)), 20, KEYS, "hybrid", out="place").select(*KEYS, "card_id", F.col("place").cast("long").alias("place"))
 
 
 V1 = f"""with {roles.GRID}, {roles.HYBRID}, {roles.TOP}, m as (select country, item_id, max(dense) as max_dense, max(bm25) as max_bm25 from graded group by all)
@@ -90,7 +89,7 @@ from placed join m using (country, item_id) where place <= 3 group by all"""
 
 @query(V1)
 def retrieve_v1(t: Tables) -> DataFrame:
-    out = retrieval.v1(roles.cards(t), roles.questions(t), roles.dense_scores(t))
+    out = retrieval.v1(roles.survivors(t, 3))
     spell = F.transform("cards", lambda c: F.concat(c["card_id"].cast("string"), F.lit(":"), F.round(c["hybrid"] * 1000000).cast("long").cast("string")))
     return out.withColumn("cards", F.array_join(spell, " "))
 
@@ -109,8 +108,8 @@ q as (select pos, alpha, p.country, p.item_id, max(case when h.gold then 1.0 els
 
 @query(SWEEP.replace("{k}", "3") + " select pos, alpha, country, round(avg(hit::double), 6) as hit_rate from q group by all")
 def fusion_sweep(t: Tables) -> DataFrame:
-    """Hit rate of the top 3 per region and fusion weight: normalised once, fused for every weight."""
-    fused = retrieval.hybrid(roles.graded(t).crossJoin(F.broadcast(_alphas(t))), F.col("alpha"))
+    """Hit rate of the top 3 per region and fusion weight: only cards that can be on top at some weight meet the weights."""
+    fused = retrieval.hybrid(roles.survivors(t, 3).crossJoin(F.broadcast(_alphas(t))), F.col("alpha"))
     top = retrieval.top_k(fused, 3, ["pos", "alpha", *KEYS], "hybrid").select("pos", "alpha", *KEYS, "card_id")
     hit = top.join(roles.gold_hits(t), [*KEYS, "card_id"], "left").groupBy("pos", "alpha", *KEYS).agg(F.max(F.when(F.col("gold"), 1.0).otherwise(0.0)).alias("hit"))
     return hit.groupBy("pos", "alpha", "country").agg(F.round(F.avg("hit"), 6).alias("hit_rate"))
@@ -118,7 +117,7 @@ def fusion_sweep(t: Tables) -> DataFrame:
 
 @query(SWEEP.replace("{k}", "20") + f" select pos, alpha, round(avg(hit::double), 6) as recall from q where country in {roles.DEV} group by all")
 def recall_at_20(t: Tables) -> DataFrame:
-    dev = roles.graded(t).where(F.col("country").isin(*roles.DEV))
+    dev = roles.survivors(t, 20).where(F.col("country").isin(*roles.DEV))
     return tuning.alphas(dev, roles.gold_hits(t), _alphas(t), KEYS)
 
 
@@ -139,7 +138,7 @@ q as (select country, item_id, max(case when place = 1 and gold then 1 else 0 en
 
 @query(HIT_AT + " select country, count(*)::bigint as n, round(avg(h1::double), 6) as hit1, round(avg(h3::double), 6) as hit3 from q group by country")
 def answer_hit_at_k(t: Tables) -> DataFrame:
-    top = retrieval.top_k(retrieval.hybrid(roles.graded(t)), 3, KEYS, "hybrid").join(roles.gold_hits(t), [*KEYS, "card_id"], "left")
+    top = retrieval.top_k(retrieval.hybrid(roles.survivors(t, 3)), 3, KEYS, "hybrid").join(roles.gold_hits(t), [*KEYS, "card_id"], "left")
     per = top.groupBy(*KEYS).agg(F.max(F.when((F.col("rank") == 1) & F.col("gold"), 1).otherwise(0)).alias("h1"), F.max(F.when(F.col("gold"), 1).otherwise(0)).alias("h3"))
     return per.groupBy("country").agg(F.count("*").alias("n"), F.round(F.avg("h1"), 6).alias("hit1"), F.round(F.avg("h3"), 6).alias("hit3"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import models, scores, text
-from ragloom.operators import retrieval
+from ragloom.operators import blocked, retrieval
 
 from .registry import Tables
 
@@ -41,14 +41,20 @@ def gold_hits(t: Tables) -> DataFrame:
     return retrieval.mentions(cards(t), golds(t), ["country", "card_id"], "text_en", [2]).select("country", "item_id", "card_id").distinct().withColumn("gold", F.lit(True))
 
 
-def dense_scores(t: Tables) -> DataFrame:
-    """Cosines of question and card vectors by an equi-join on the region. `embeddings` has the vec_ids 0 to its row count less
-    one; items and cards are dealt over all of them."""
+def vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Questions and cards with their vectors. `embeddings` has the vec_ids 0 to its row count less one; items and cards are dealt over
+    all of them."""
     n = max(1, t.embeddings.count())
     step = next(s for s in count(7) if gcd(s, n) == 1)  # a step that shares a factor with n would pass vectors by
-    vectors = t.embeddings.select("vec_id", "embedding")
-    q = questions(t).select("country", "item_id", (F.col("item_id") % n).alias("vec_id")).join(vectors, "vec_id")
-    c = cards(t).select("country", "card_id", ((F.col("card_id") * step + 3) % n).alias("vec_id")).join(vectors, "vec_id")
+    known = t.embeddings.select("vec_id", "embedding")
+    q = questions(t).select("country", "item_id", (F.col("item_id") % n).alias("vec_id")).join(known, "vec_id")
+    c = cards(t).select("country", "card_id", ((F.col("card_id") * step + 3) % n).alias("vec_id")).join(known, "vec_id")
+    return q, c
+
+
+def dense_scores(t: Tables) -> DataFrame:
+    """Cosines of question and card vectors by an equi-join on the region."""
+    q, c = vectors(t)
     return retrieval.dense(q, c, "country", "item_id", "card_id", "embedding", "embedding")
 
 
@@ -62,10 +68,18 @@ def graded(t: Tables) -> DataFrame:
     return retrieval.normalised(both, ["country", "item_id"])
 
 
+def survivors(t: Tables, k: int) -> DataFrame:
+    """What of the grid can be among a question's best k at any fusion weight, with the min-max forms over the whole grid."""
+    q, c = vectors(t)
+    asked, held = blocked.with_terms(cards(t), questions(t))
+    q, c = q.join(asked, ["country", "item_id"]), c.join(held, ["country", "card_id"])
+    return blocked.graded(blocked.scored(q, c, k, vector="embedding"))
+
+
 def candidates(t: Tables, alpha: float = 0.5, k: int = 20) -> DataFrame:
     """Top k by fusion with the stand-in reranker's scores and ranks."""
     group = ["country", "item_id"]
-    top = retrieval.top_k(retrieval.hybrid(graded(t), alpha), k, group, "hybrid", out="place").select(*group, "card_id", "hybrid", "place")
+    top = retrieval.top_k(retrieval.hybrid(survivors(t, k), alpha), k, group, "hybrid", out="place").select(*group, "card_id", "hybrid", "place")
     asked = t.benchmark.select("item_id", text.content_words(F.col("text")).alias("qw"))
     words = cards(t).select("card_id", text.content_words(F.col("text_en")).alias("cw"))
     pairs = top.join(asked, "item_id").join(words, "card_id")
