@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragloom.functions import text
+
 from . import retrieval
 
 #: Questions and cards of a block, on average.
@@ -105,13 +107,15 @@ def _dealt(df: DataFrame, key: str, mine: str, other: str, sizes: DataFrame, par
 
 
 def scored(questions: DataFrame, cards: DataFrame, k: int, part: str = "country", question: str = "item_id", card: str = "card_id", vector: str = "vector",
-           terms: str | None = "terms", others: bool = False, block: int = BLOCK) -> DataFrame:
+           terms: str | None = "terms", others: bool = False, block: int = BLOCK, of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(part, question, card, dense, bm25, d0, d1, l0, l1): all cards that can be among a question's best k, and the extremes of their
-    block. Without `terms` these are the block's best k by dense score. `others` leaves out cards with the question's own id."""
+    block. Without `terms` these are the block's best k by dense score. `others` leaves out cards with the question's own id. `of` are
+    plainer questions and cards (part, ..) that have as many rows or more: blocks are numbered by their counts."""
     wanted = [vector, *([terms] if terms else [])]
     q, c = (df.select(part, key, *wanted).where(F.col(vector).isNotNull() & F.col(key).isNotNull()).withColumn("__dim", F.size(vector)) for df, key in ((questions, question), (cards, card)))
     count = lambda df, name: df.groupBy(part).agg(F.ceil(F.count("*") / block).alias(name))
-    sizes = retrieval.small(count(q, "__n_q").join(count(c, "__n_c"), part))
+    few, many = of or (q, c)
+    sizes = retrieval.small(count(few, "__n_q").join(count(many, "__n_c"), part))
     keys = [part, "__dim", "__q", "__c"]
     types = [q.schema[part].dataType, q.schema[question].dataType, c.schema[card].dataType]
     schema = T.StructType([T.StructField(n, t) for n, t in zip((part, question, card), types)] + [T.StructField(n, T.DoubleType()) for n in ("dense", "bm25", "d0", "d1", "l0", "l1")])
@@ -164,9 +168,11 @@ def with_terms(cards: DataFrame, questions: DataFrame, part: str = "country", ca
                ask: str = "question", k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Questions (part, question, terms) and cards (part, card, terms) whose products of weights sum to BM25 as `retrieval.bm25` has it. A
     card keeps only the terms that its partition's questions ask for; those without any term come with null."""
-    tf, weights = retrieval.term_weights(cards, questions, part, card, body, question, ask, floor)
+    tf = retrieval.term_statistics(cards, part, card, body)
+    weights = retrieval.term_weights(tf, questions, part, question, ask, floor)
     gathered = lambda w: F.collect_list(F.struct("term", w.alias("w"))).alias("terms")
     q = questions.select(part, question).join(weights.groupBy(part, question).agg(gathered(F.col("w"))), [part, question], "left")
-    asked = retrieval.small(weights.groupBy(part, "term").agg(F.max("avgdl").alias("avgdl")))
+    words = questions.select(part, F.explode(text.index_tokens(F.col(ask))).alias("term")).distinct()
+    asked = retrieval.small(words.join(retrieval.lengths(tf, part), part), of=words)
     c = tf.join(asked, [part, "term"]).groupBy(part, card).agg(gathered(retrieval.term_share(k1, b)))
     return q, cards.select(part, card).join(c, [part, card], "left")

@@ -35,16 +35,19 @@ def term_statistics(cards: DataFrame, part: str = "country", card: str = "card_i
     return rows.groupBy(part, card, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def term_weights(cards: DataFrame, questions: DataFrame, part: str, card: str, body: str, question: str, ask: str, floor: float) -> tuple[DataFrame, DataFrame]:
-    """`term_statistics`, and the questions' terms as (part, question, term, w, avgdl), w being idf times the repeats in the question."""
-    tf = term_statistics(cards, part, card, body)
-    n = cards.groupBy(part).agg(F.count("*").alias("n"))
-    terms = tf.where("term <> ''").groupBy(part, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(n, part)
+def lengths(tf: DataFrame, part: str) -> DataFrame:
+    """Number of cards and their average length by part; every card has one row of the term ''."""
+    return tf.where("term = ''").groupBy(part).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+
+
+def term_weights(tf: DataFrame, questions: DataFrame, part: str, question: str, ask: str, floor: float) -> DataFrame:
+    """The questions' terms as (part, question, term, w, avgdl), w being idf times the repeats in the question."""
+    terms = tf.where("term <> ''").groupBy(part, "term").agg(F.count("*").alias("df")).join(lengths(tf, part), part)
     terms = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    corpus = terms.groupBy(part).agg((F.sum("cf") / F.max("n")).alias("avgdl"), F.avg("raw").alias("mean"))
+    mean = terms.groupBy(part).agg(F.avg("raw").alias("mean"))
     asked = questions.select(part, question, F.explode(text.index_tokens(F.col(ask))).alias("term")).groupBy(part, question, "term").agg(F.count("*").alias("times"))
     idf = F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw"))
-    return tf, asked.join(terms, [part, "term"]).join(corpus, part).select(part, question, "term", (F.col("times") * idf).alias("w"), "avgdl")
+    return asked.join(terms, [part, "term"]).join(mean, part).select(part, question, "term", (F.col("times") * idf).alias("w"), "avgdl")
 
 
 def term_share(k1: float, b: float) -> Column:
@@ -59,7 +62,8 @@ def bm25(cards: DataFrame, questions: DataFrame, part: str = "country", card: st
     Each partition is a corpus of its own. A negative idf becomes `floor` times the mean idf of the partition's distinct terms. A
     question's repeated words count each time. Every question also asks for the term '' at weight 0, so that the sums by question
     and card have all pairs. They need no shuffle where the asked terms are few enough to be broadcast."""
-    tf, asked = term_weights(cards, questions, part, card, body, question, ask, floor)
+    tf = term_statistics(cards, part, card, body)
+    asked = term_weights(tf, questions, part, question, ask, floor)
     none = questions.select(part, question, F.lit("").alias("term"), F.lit(0.0).alias("w"), F.lit(1.0).alias("avgdl"))
     words = questions.select(part, question, F.explode(F.array_distinct(F.concat(text.index_tokens(F.col(ask)), F.array(F.lit(""))))))
     weights = small(asked.unionByName(none), of=words)

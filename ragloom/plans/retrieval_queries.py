@@ -117,7 +117,7 @@ def fusion_sweep(t: Tables) -> DataFrame:
 
 @query(SWEEP.replace("{k}", "20") + f" select pos, alpha, round(avg(hit::double), 6) as recall from q where country in {roles.DEV} group by all")
 def recall_at_20(t: Tables) -> DataFrame:
-    dev = roles.survivors(t, 20).where(F.col("country").isin(*roles.DEV))
+    dev = roles.survivors(t, 20, roles.DEV)
     return tuning.alphas(dev, roles.gold_hits(t), _alphas(t), KEYS)
 
 
@@ -169,7 +169,7 @@ fs as (select pos, tau, tp, fp, fn, round(case when 0.25 * p + r > 0 then 1.25 *
 
 @query(F05 + " select pos, tau, tp, fp, fn, f from fs")
 def f05_by_tau(t: Tables) -> DataFrame:
-    dev = roles.candidates(t).where(F.col("country").isin(*roles.DEV)).join(roles.gold_hits(t), [*KEYS, "card_id"], "left")
+    dev = roles.candidates(t, regions=roles.DEV).join(roles.gold_hits(t), [*KEYS, "card_id"], "left")
     return tuning.f_by_threshold(dev.withColumn("gold", F.coalesce("gold", F.lit(False))), _taus(t), KEYS)
 
 

@@ -68,18 +68,21 @@ def graded(t: Tables) -> DataFrame:
     return retrieval.normalised(both, ["country", "item_id"])
 
 
-def survivors(t: Tables, k: int) -> DataFrame:
-    """What of the grid can be among a question's best k at any fusion weight, with the min-max forms over the whole grid."""
+def survivors(t: Tables, k: int, regions: tuple[str, ...] = ()) -> DataFrame:
+    """What of the grid (of some regions only) can be among a question's best k at any fusion weight, with the min-max forms over all
+    cards of the region."""
+    own = lambda df: df.where(F.col("country").isin(*regions)) if regions else df
+    asked, held = own(questions(t)), own(cards(t))
     q, c = vectors(t)
-    asked, held = blocked.with_terms(cards(t), questions(t))
-    q, c = q.join(asked, ["country", "item_id"]), c.join(held, ["country", "card_id"])
-    return blocked.graded(blocked.scored(q, c, k, vector="embedding"))
+    qt, ct = blocked.with_terms(held, asked)
+    wide = blocked.scored(q.join(qt, ["country", "item_id"]), c.join(ct, ["country", "card_id"]), k, vector="embedding", of=(asked, held))
+    return blocked.graded(wide)
 
 
-def candidates(t: Tables, alpha: float = 0.5, k: int = 20) -> DataFrame:
+def candidates(t: Tables, alpha: float = 0.5, k: int = 20, regions: tuple[str, ...] = ()) -> DataFrame:
     """Top k by fusion with the stand-in reranker's scores and ranks."""
     group = ["country", "item_id"]
-    top = retrieval.top_k(retrieval.hybrid(survivors(t, k), alpha), k, group, "hybrid", out="place").select(*group, "card_id", "hybrid", "place")
+    top = retrieval.top_k(retrieval.hybrid(survivors(t, k, regions), alpha), k, group, "hybrid", out="place").select(*group, "card_id", "hybrid", "place")
     asked = t.benchmark.select("item_id", text.content_words(F.col("text")).alias("qw"))
     words = cards(t).select("card_id", text.content_words(F.col("text_en")).alias("cw"))
     pairs = top.join(asked, "item_id").join(words, "card_id")
