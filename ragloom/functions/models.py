@@ -45,6 +45,50 @@ def call(df: DataFrame, column: str, out: str, factory: Factory, kind: str, retr
     return df.mapInArrow(run, schema)
 
 
+def call_each(df: DataFrame, column: str, out: str, factory: Factory, kind: str, window: int = 8, per_second: float | None = None, retries: int = 3, wait: float = 5.0) -> DataFrame:
+    """Like `call` for models that answer one input at a time, such as servers: up to `window` requests of a task are under way together, rows
+    keep their order, and a task starts at most `per_second` requests a second (the server sees that times the running tasks). An
+    input that fails `retries` times has a null in `out` and the last error in `<out>_error`; the others keep their answers.
+    The model is called from several threads."""
+    made_type = T.DataType.fromDDL(kind)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, made_type), T.StructField(f"{out}_error", T.StringType())])
+    names, arrow = df.columns, to_arrow_type(made_type)
+
+    def run(batches):
+        import threading
+        from concurrent.futures import ThreadPoolExecutor
+
+        import pyarrow as pa
+
+        model, lock, free = factory(), threading.Lock(), [0.0]
+
+        def turn():
+            """Wait for this request's place in the rate."""
+            if per_second:
+                with lock:
+                    start = max(free[0], time.monotonic())
+                    free[0] = start + 1.0 / per_second
+                time.sleep(max(0.0, start - time.monotonic()))
+
+        def ask(given):
+            for attempt in range(1, retries + 1):
+                turn()
+                try:
+                    return model([given])[0], None
+                except Exception as e:  # whatever a server or its client raises belongs to this row
+                    error = f"{type(e).__name__}: {e}"
+                    if attempt < retries:
+                        time.sleep(wait * attempt)
+            return None, error
+
+        with ThreadPoolExecutor(window) as pool:
+            for b in batches:
+                made = list(pool.map(ask, b.column(names.index(column)).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m for m, _ in made], arrow), pa.array([e for _, e in made], pa.string())], [*names, out, f"{out}_error"])
+
+    return df.mapInArrow(run, schema)
+
+
 def call_distinct(df: DataFrame, column: str, out: str, factory: Factory, kind: str, **options) -> DataFrame:
     """Like `call`, with one call per distinct input."""
     once = call(df.select(F.col(column).alias("__given")).distinct(), "__given", out, factory, kind, **options)

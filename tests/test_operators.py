@@ -161,13 +161,14 @@ def test_append_missing_resumes(spark, tmp_path):
 
 
 def test_stream_answers_each_job_once(spark, tmp_path):
+    from ragloom.sources.ledger import Ledger
     from ragloom.streaming.resume import answer_stream
 
     (tmp_path / "jobs").mkdir()
     for name, ids in (("1", "ab"), ("2", "bc")):
         (tmp_path / "jobs" / f"{name}.json").write_text("".join(json.dumps({"job_id": i}) + "\n" for i in ids))
     answer_stream(spark, str(tmp_path / "jobs"), "job_id string", str(tmp_path / "out"), str(tmp_path / "cp"), lambda d: d.withColumn("r", F.lit(1))).awaitTermination()
-    assert sorted(r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    assert sorted(r.job_id for r in Ledger(spark, str(tmp_path / "out")).read().collect()) == ["a", "b", "c"]
 
 
 def test_model_calls_retry_and_dedupe(spark):
