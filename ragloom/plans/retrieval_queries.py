@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import models, scores, text
-from ragloom.operators import blocked, retrieval, tuning
+from ragloom.operators import blocked, mentions, retrieval, tuning
 
 from . import roles
 from .registry import Tables, query
@@ -131,6 +131,19 @@ def gold_mention_join(t: Tables) -> DataFrame:
     return roles.gold_hits(t).select(*KEYS, "card_id")
 
 
+PHRASES = r"[\p{L}\p{N}_]+, [\p{L}\p{N}_]+|[\p{L}]{9,}"  # two words with a comma between, and long words
+
+
+@query(f"""with g as (select distinct item_id, unnest(regexp_extract_all(lower(text), '{PHRASES}')) as gold from benchmark), p as (select distinct gold from g), d as (select doc_id, lower(text) as t from documents),
+h as (select gold, doc_id from p join d on contains(t, gold) where case when contains(t, gold) then regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(gold) || '($|[^\\p{{L}}\\p{{N}}_])') else false end)
+select item_id, gold, count(*)::bigint as n_cards, min(doc_id) as first_card from g join h using (gold) group by all""")
+def gold_phrase_mentions(t: Tables) -> DataFrame:
+    """Golds of several lengths, marks inside them included, and how many cards mention each as whole words."""
+    golds = t.benchmark.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(PHRASES), F.lit(0)))).alias("gold"))
+    found = mentions.mentions(roles.cards(t), golds, ["card_id"], "text_en")
+    return found.groupBy("item_id", "gold").agg(F.count("*").alias("n_cards"), F.min("card_id").alias("first_card"))
+
+
 HIT_AT = f"""with {roles.GRID}, {roles.HYBRID}, {roles.TOP}, {roles.GOLDS}, {roles.HITS},
 q as (select country, item_id, max(case when place = 1 and gold then 1 else 0 end) as h1, max(case when gold then 1 else 0 end) as h3
     from placed left join hits using (country, item_id, card_id) where place <= 3 group by all)"""
