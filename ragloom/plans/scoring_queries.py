@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import scores, text
-from ragloom.operators import audit, crossfit, gate, scoring
+from ragloom.operators import audit, crossfit, duplicates, gate, scoring
 
 from . import roles
 from .registry import Tables, query
@@ -376,6 +376,29 @@ def kb_prefix_duplicates(t: Tables) -> DataFrame:
     return audit.prefix_duplicates(t.documents, "text", "doc_id")
 
 
+URL_PARTS = r"regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)\??([^#]*)', {i})"
+PLAIN = r"""array_to_string(list_transform(string_split({x}, '%'), lambda p, i: case when i = 1 then p when not regexp_matches(p, '^[0-9A-Fa-f]{{2}}') then '%' || p
+    when regexp_matches(chr(('0x' || p[1:2])::int), '^[A-Za-z0-9._~-]$') then chr(('0x' || p[1:2])::int) || p[3:] else '%' || upper(p[1:2]) || p[3:] end), '')"""
+TITLE = "nullif(regexp_extract(html, '<title>([^<]*)', 1), '')"
+CLASSES = f"""with recursive p as (select page_id, lower({URL_PARTS.format(i=1)}) as s, lower({URL_PARTS.format(i=2)}) as a, {URL_PARTS.format(i=3)} as path, {URL_PARTS.format(i=4)} as q, {TITLE} as title from pages),
+c as (select page_id, title, s || '://' || case when s = 'http' and a like '%:80' then a[:-4] when s = 'https' and a like '%:443' then a[:-5] else regexp_replace(a, ':$', '') end as site,
+    case when path = '' then '/' else {PLAIN.format(x='path')} end as path, array_to_string(list_sort(list_filter(string_split({PLAIN.format(x='q')}, '&'), lambda x: x <> '')), '&') as q from p where s <> ''),
+k as (select page_id, 'url' as rule, site || path || case when q = '' then '' else '?' || q end as value from c union all select page_id, 'place', site || path from c
+    union all select page_id, 'title', {TITLE} || '|' || length(html) // 500 from pages where {TITLE} is not null),
+e as (select distinct x.page_id as a, y.page_id as b from k x join k y using (rule, value)),
+r as (select page_id as a, page_id as b from pages union select r.a, e.b from r join e on r.b = e.a)
+select a as page_id, min(b) as class_id from r group by a"""
+
+
+@query(CLASSES)
+def kb_duplicate_classes(t: Tables) -> DataFrame:
+    """Pages that share their address, their address without parameters, or their title at about the same length."""
+    url = duplicates.canonical_url(F.col("url"))
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    titled = F.when(title != "", F.concat(title, F.lit("|"), F.expr("cast(length(html) div 500 as string)")))
+    return duplicates.classes(t.pages, "page_id", {"url": url, "place": F.regexp_extract(url, r"^[^?]*", 0), "title": titled})
+
+
 @query(f"with {roles.CARDS}, {roles.GOLDS}, {roles.HITS} select country, count(distinct item_id)::bigint as covered from hits group by country")
 def coverage_distinct(t: Tables) -> DataFrame:
     return roles.gold_hits(t).groupBy("country").agg(F.count_distinct("item_id").alias("covered"))
