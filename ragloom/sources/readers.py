@@ -36,10 +36,60 @@ def questions(spark: SparkSession, path: str, country: str) -> DataFrame:
     return rows.select("ID", "Topic", "q_local", "q_en").withColumn("country", F.lit(country))
 
 
+def json_map(spark: SparkSession, path: str, value: str = "variant") -> DataFrame:
+    """JSON files that are one object each, of any size, to rows (file, position, key, value); `value` is the values' type.
+
+    A file is read in pieces that end at a closing brace, by as many tasks as it has splits. Whether a piece lies in a string, and how
+    deep, follows from sums over the pieces before it: first within its split, then over one row per split. An entry ends where the
+    depth is back at one, so what is parsed at a time is one object and the plain values that come before it, and an entry that begins in one split
+    and ends in another is put together again. A file without objects in it is one piece.
+
+    Equal keys of a file are all returned; `position` tells which is the last. Files have to be valid JSON: an entry that can't be read
+    as `value` fails the query, rather than being lost. Empty files and empty objects have no rows."""
+    split, before = Window.partitionBy("file", "block").orderBy("n"), (Window.unboundedPreceding, -1)
+    raw = spark.read.option("lineSep", "}").text(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    # Outside and inside strings alternate at quotes; an escape never reaches over the end of a piece.
+    parts = F.split(F.regexp_replace("value", r"\\.", ""), '"', -1)
+    odd = ((F.size(parts) - 1) % 2).alias("odd")
+    opened = lambda side: F.aggregate(F.filter(parts, lambda x, i: i % 2 == side), F.lit(0), lambda a, x: a + _opened(x))
+    # A piece's closing brace counts if the piece ends outside a string: `out` starts outside, `inn` inside.
+    out, inn = opened(0) - (1 - odd), opened(1) - odd
+    pieces = rows.select("file", "block", "n", "value", odd, out.alias("out"), inn.alias("inn"))
+    flip = F.coalesce(F.sum("odd").over(split.rowsBetween(*before)), F.lit(0)) % 2
+    pieces = pieces.withColumn("flip", flip).withColumns({"d0": F.when(F.col("flip") == 0, F.col("out")).otherwise(F.col("inn")), "d1": F.when(F.col("flip") == 0, F.col("inn")).otherwise(F.col("out"))})
+    whole = Window.partitionBy("file").orderBy("block").rowsBetween(*before)
+    sums = pieces.groupBy("file", "block").agg((F.sum("odd") % 2).alias("odd"), F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+    starts = sums.withColumn("state", F.coalesce(F.sum("odd").over(whole), F.lit(0)) % 2)
+    depth = F.sum(F.when(F.col("state") == 0, F.col("d0")).otherwise(F.col("d1"))).over(whole)
+    starts = starts.select("file", "block", "state", F.coalesce(depth, F.lit(0)).alias("base"))
+    known = pieces.join(starts, ["file", "block"])
+    step = F.when(F.col("state") == 0, F.col("d0")).otherwise(F.col("d1"))
+    after = F.col("base") + F.sum(step).over(split.rowsBetween(Window.unboundedPreceding, 0))
+    known = known.withColumn("after", after).withColumn("outside", (F.col("state") + F.col("flip") + F.col("odd")) % 2 == 0)
+    known = known.withColumn("ends", (F.col("outside") & (F.col("after") == 1)).cast("long"))
+    ends = known.groupBy("file", "block").agg(F.sum("ends").alias("ends"))
+    earlier = ends.select("file", "block", F.coalesce(F.sum("ends").over(whole), F.lit(0)).alias("earlier"))
+    mine = F.coalesce(F.sum("ends").over(split.rowsBetween(*before)), F.lit(0))
+    # The brace that closes the file's object, or that its end lacks, is left out.
+    piece = F.when(F.col("outside") & (F.col("after") < 1), F.col("value")).otherwise(F.concat("value", F.lit("}")))
+    cut = known.select("file", "block", "n", mine.alias("mine"), piece.alias("piece")).join(earlier, ["file", "block"])
+    gathered = cut.groupBy("file", (F.col("earlier") + F.col("mine")).alias("position")).agg(F.array_sort(F.collect_list(F.struct("block", "n", "piece"))).alias("pieces"))
+    text = F.array_join(F.transform("pieces", lambda x: x["piece"]), "")
+    head = F.when(F.col("position") == 0, F.lit(r"^[\s\x{FEFF}]*\{")).otherwise(F.lit(r"^\s*,"))
+    body = gathered.select("file", "position", F.regexp_replace(text, head, F.lit("")).alias("body")).where(F.length(F.regexp_replace("body", r"\s", "")) > 0)
+    entries = F.from_json(F.concat(F.lit("{"), "body", F.lit("}")), f"map<string, {value}>", {"mode": "FAILFAST"})
+    return body.select("file", "position", F.explode(entries).alias("key", "value"))
+
+
+def _opened(x: Column) -> Column:
+    """Braces and brackets that `x` opens, less those that it closes."""
+    return F.length(F.regexp_replace(x, r"[^{\[]", "")) - F.length(F.regexp_replace(x, r"[^}\]]", ""))
+
+
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON map per file to rows (qid, annotation)."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, {ANNOTATION}>").alias("m"))
-    return text.select(F.explode("m").alias("qid", "annotation"))
+    """JSON maps, one a file and of any size, to rows (qid, annotation)."""
+    return json_map(spark, path, ANNOTATION).select(F.col("key").alias("qid"), F.col("value").alias("annotation"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
