@@ -173,6 +173,6 @@ def with_terms(cards: DataFrame, questions: DataFrame, part: str = "country", ca
     gathered = lambda w: F.collect_list(F.struct("term", w.alias("w"))).alias("terms")
     q = questions.select(part, question).join(weights.groupBy(part, question).agg(gathered(F.col("w"))), [part, question], "left")
     words = questions.select(part, F.explode(text.index_tokens(F.col(ask))).alias("term")).distinct()
-    asked = retrieval.small(words.join(retrieval.lengths(tf, part), part), of=words)
+    asked = retrieval.small(words.join(retrieval.lengths(tf, part), part), of=words, more=32)
     c = tf.join(asked, [part, "term"]).groupBy(part, card).agg(gathered(retrieval.term_share(k1, b)))
     return q, cards.select(part, card).join(c, [part, card], "left")

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragloom.functions import scores, text
 
 DIGITS = 6
-#: Rows of the questions' side that may be broadcast.
-BROADCAST_ROWS = 300_000
+#: Bytes of the questions' side that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Parts of a key's cards for each of a shuffle's partitions: as many as that, since a hash that puts parts into partitions is uneven.
+SALTS = 8
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
@@ -22,9 +25,43 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, of: DataFrame | None = None) -> DataFrame:
-    """`df` with a broadcast hint if it (or `of`, which has as many rows or more) has at most `rows` rows; as it is beyond that."""
-    return F.broadcast(df) if (of or df).count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """At least the bytes of a row's values, and 32 for the row itself."""
+
+    def width(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name.replace('`', '``')}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            return 16 + 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            return 16 + 8 * F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        return F.lit(16)
+
+    return sum(map(width, df.schema.fields), F.lit(32)).cast("long")
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES, more: int = 0) -> bool:
+    """Whether all rows, with `more` bytes each, are measured at `limit` bytes or less."""
+    return (df.agg(F.sum(row_bytes(df) + more)).first()[0] or 0) <= limit
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES, of: DataFrame | None = None, more: int = 0) -> DataFrame:
+    """`df` with a broadcast hint if it is measured to fit; as it is beyond that. `of` is a plainer table with as many rows or more, whose
+    rows have at most `more` bytes less: it is measured in the place of `df`."""
+    return F.broadcast(df) if fits(df if of is None else of, limit, more) else df
+
+
+def meet(held: DataFrame, asked: DataFrame, keys: list[str], card: str, limit: int = BROADCAST_BYTES, of: DataFrame | None = None, more: int = 0) -> DataFrame:
+    """Join of cards' rows and questions' rows on `keys`. Questions are broadcast if they are measured to fit. Beyond that a key's cards are
+    dealt over `SALTS` parts for each of a shuffle's partitions, and its questions go to each: the output is their product anyhow, so
+    copies of one side cost little beside it, and no key is one task."""
+    if fits(asked if of is None else of, limit, more):
+        return held.join(F.broadcast(asked), keys)
+    parts = SALTS * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = held.withColumn("__part", F.pmod(F.xxhash64(card), F.lit(parts)).cast("int"))
+    right = asked.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(right, [*keys, "__part"]).drop("__part")
 
 
 def term_statistics(cards: DataFrame, part: str = "country", card: str = "card_id", body: str = "text_en") -> DataFrame:
@@ -56,18 +93,18 @@ def term_share(k1: float, b: float) -> Column:
 
 
 def bm25(cards: DataFrame, questions: DataFrame, part: str = "country", card: str = "card_id", body: str = "text_en",
-         question: str = "item_id", ask: str = "question", k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+         question: str = "item_id", ask: str = "question", k1: float = 1.5, b: float = 0.75, floor: float = 0.25, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Okapi scores (part, question, card, bm25) of every card of a question's partition, 0 without a common term.
 
     Each partition is a corpus of its own. A negative idf becomes `floor` times the mean idf of the partition's distinct terms. A
     question's repeated words count each time. Every question also asks for the term '' at weight 0, so that the sums by question
-    and card have all pairs. They need no shuffle where the asked terms are few enough to be broadcast."""
+    and card have all pairs. They need no shuffle where the asked terms are at most `limit` bytes; beyond that cards are dealt (`meet`)."""
     tf = term_statistics(cards, part, card, body)
     asked = term_weights(tf, questions, part, question, ask, floor)
     none = questions.select(part, question, F.lit("").alias("term"), F.lit(0.0).alias("w"), F.lit(1.0).alias("avgdl"))
     words = questions.select(part, question, F.explode(F.array_distinct(F.concat(text.index_tokens(F.col(ask)), F.array(F.lit(""))))))
-    weights = small(asked.unionByName(none), of=words)
-    sums = tf.join(weights, [part, "term"]).groupBy(part, question, card).agg(F.sum(F.col("w") * term_share(k1, b)).alias("s"))
+    met = meet(tf, asked.unionByName(none), [part, "term"], card, limit, of=words, more=32)
+    sums = met.groupBy(part, question, card).agg(F.sum(F.col("w") * term_share(k1, b)).alias("s"))
     return sums.select(part, question, card, F.round("s", DIGITS).alias("bm25"))
 
 
@@ -78,11 +115,11 @@ def mentions(cards: DataFrame, golds: DataFrame, keys: list[str], body: str, len
     return cards.select(*keys, F.explode(own).alias("gold")).join(golds, "gold")
 
 
-def dense(queries: DataFrame, cards: DataFrame, part: str, query: str, card: str, a: str, b: str) -> DataFrame:
-    """Cosine of unit vectors for every card of a query's partition."""
+def dense(queries: DataFrame, cards: DataFrame, part: str, query: str, card: str, a: str, b: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Cosine of unit vectors for every card of a query's partition. Queries of more than `limit` bytes aren't broadcast (`meet`)."""
     q = queries.select(part, query, scores.l2_normalize(F.col(a)).alias("__q"))
     c = dealt(cards, part, card).select(part, card, scores.l2_normalize(F.col(b)).alias("__c"))
-    return c.join(small(q), part).select(part, query, card, F.round(scores.dot(F.col("__q"), F.col("__c")), DIGITS).alias("dense"))
+    return meet(c, q, [part], card, limit).select(part, query, card, F.round(scores.dot(F.col("__q"), F.col("__c")), DIGITS).alias("dense"))
 
 
 def normalised(grid: DataFrame, group: list[str]) -> DataFrame:

@@ -99,3 +99,37 @@ def test_empty_tables_and_vectors_of_two_lengths(spark, world):
         assert blocked.scored(a, b, 3, vector="v").count() == 0
     two = c.withColumn("v", F.when(F.col("card_id") % 2 == 0, F.slice("v", 1, 2)).otherwise(F.col("v")))
     assert {r.card_id % 2 for r in blocked.scored(q, two, 3, vector="v").select("card_id").collect()} == {1}
+
+
+@pytest.mark.parametrize("rule", ["dense", "bm25"])
+def test_questions_beyond_the_bound_meet_dealt_cards(spark, world, rule):
+    cards, questions = world
+    score = {
+        "dense": lambda **more: retrieval.dense(questions, cards.where("v is not null"), "country", "item_id", "card_id", "v", "v", **more),
+        "bm25": lambda **more: retrieval.bm25(cards, questions, **more),
+    }[rule]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(score(limit=0)) == rows(score())
+
+
+def test_a_hot_region_is_dealt(spark, world):
+    cards, questions = world
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = retrieval.meet(cards.select("country", "card_id"), questions.select("country", "item_id"), ["country"], "card_id", limit=0)
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+        held = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(held) == 400 * 9 and max(held) <= 0.5 * sum(held)
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    df = spark.createDataFrame([("ab", [1.0] * 100, {"k": "v"}), (None, None, None)], "s string, v array<double>, m map<string, string>")
+    wide, bare = sorted((r[0] for r in df.select(retrieval.row_bytes(df)).collect()), reverse=True)
+    assert bare == 32 + 3 * 16 + 8 * len("{}") and wide >= bare + 2 + 800 + 8 * len('{"k":"v"}')
+    assert retrieval.fits(df, wide + bare) and not retrieval.fits(df, wide + bare - 1) and not retrieval.fits(df, wide + bare, more=1)
+    assert retrieval.fits(df.limit(0), 0)
