@@ -49,12 +49,13 @@ def json_map(spark: SparkSession, path: str, value: str = "variant") -> DataFram
     split, before = Window.partitionBy("file", "block").orderBy("n"), (Window.unboundedPreceding, -1)
     raw = spark.read.option("lineSep", "}").text(path)
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
-    # Outside and inside strings alternate at quotes; an escape never reaches over the end of a piece.
-    parts = F.split(F.regexp_replace("value", r"\\.", ""), '"', -1)
-    odd = ((F.size(parts) - 1) % 2).alias("odd")
-    opened = lambda side: F.aggregate(F.filter(parts, lambda x, i: i % 2 == side), F.lit(0), lambda a, x: a + _opened(x))
-    # A piece's closing brace counts if the piece ends outside a string: `out` starts outside, `inn` inside.
-    out, inn = opened(0) - (1 - odd), opened(1) - odd
+    # What a piece opens outside of strings, if it starts outside (`out`) or inside one (`inn`). An escape never reaches over its end.
+    bare = F.regexp_replace("value", r"\\.", "")
+    odd = ((F.length(bare) - F.length(F.replace(bare, F.lit('"')))) % 2).alias("odd")
+    string = r'"[^"]*("|$)'
+    # Its closing brace counts if the piece ends outside.
+    out = _opened(F.regexp_replace(bare, string, "")) - (1 - odd)
+    inn = _opened(F.regexp_replace(bare, rf'^[^"]*("|$)|{string}', "")) - odd
     pieces = rows.select("file", "block", "n", "value", odd, out.alias("out"), inn.alias("inn"))
     flip = F.coalesce(F.sum("odd").over(split.rowsBetween(*before)), F.lit(0)) % 2
     pieces = pieces.withColumn("flip", flip).withColumns({"d0": F.when(F.col("flip") == 0, F.col("out")).otherwise(F.col("inn")), "d1": F.when(F.col("flip") == 0, F.col("inn")).otherwise(F.col("out"))})
@@ -84,7 +85,7 @@ def json_map(spark: SparkSession, path: str, value: str = "variant") -> DataFram
 
 def _opened(x: Column) -> Column:
     """Braces and brackets that `x` opens, less those that it closes."""
-    return F.length(F.regexp_replace(x, r"[^{\[]", "")) - F.length(F.regexp_replace(x, r"[^}\]]", ""))
+    return F.length(F.translate(x, "}]", "")) - F.length(F.translate(x, "{[", ""))
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
