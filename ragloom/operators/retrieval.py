@@ -77,9 +77,21 @@ def lengths(tf: DataFrame, part: str) -> DataFrame:
     return tf.where("term = ''").groupBy(part).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
-def term_weights(tf: DataFrame, questions: DataFrame, part: str, question: str, ask: str, floor: float) -> DataFrame:
+def card_lengths(cards: DataFrame, part: str = "country", body: str = "text_en") -> DataFrame:
+    """As `lengths`, from the cards themselves and without a row per term."""
+    dl = cards.select(part, F.size(text.index_tokens(F.col(body))).cast("long").alias("dl"))
+    return dl.groupBy(part).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+
+
+def document_frequencies(cards: DataFrame, part: str = "country", body: str = "text_en") -> DataFrame:
+    """(part, term, df) of all terms; a card sends each of its terms once, and they are counted before they move."""
+    terms = cards.select(part, F.explode(F.array_distinct(text.index_tokens(F.col(body)))).alias("term"))
+    return terms.where(F.col(part).isNotNull() & F.col("term").isNotNull()).groupBy(part, "term").agg(F.count("*").alias("df"))
+
+
+def term_weights(frequencies: DataFrame, sizes: DataFrame, questions: DataFrame, part: str, question: str, ask: str, floor: float) -> DataFrame:
     """The questions' terms as (part, question, term, w, avgdl), w being idf times the repeats in the question."""
-    terms = tf.where("term <> ''").groupBy(part, "term").agg(F.count("*").alias("df")).join(lengths(tf, part), part)
+    terms = frequencies.join(sizes, part)
     terms = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = terms.groupBy(part).agg(F.avg("raw").alias("mean"))
     asked = questions.select(part, question, F.explode(text.index_tokens(F.col(ask))).alias("term")).groupBy(part, question, "term").agg(F.count("*").alias("times"))
@@ -100,7 +112,8 @@ def bm25(cards: DataFrame, questions: DataFrame, part: str = "country", card: st
     question's repeated words count each time. Every question also asks for the term '' at weight 0, so that the sums by question
     and card have all pairs. They need no shuffle where the asked terms are at most `limit` bytes; beyond that cards are dealt (`meet`)."""
     tf = term_statistics(cards, part, card, body)
-    asked = term_weights(tf, questions, part, question, ask, floor)
+    frequencies = tf.where("term <> ''").groupBy(part, "term").agg(F.count("*").alias("df"))
+    asked = term_weights(frequencies, lengths(tf, part), questions, part, question, ask, floor)
     none = questions.select(part, question, F.lit("").alias("term"), F.lit(0.0).alias("w"), F.lit(1.0).alias("avgdl"))
     words = questions.select(part, question, F.explode(F.array_distinct(F.concat(text.index_tokens(F.col(ask)), F.array(F.lit(""))))))
     met = meet(tf, asked.unionByName(none), [part, "term"], card, limit, of=words, more=32)
@@ -139,7 +152,11 @@ def top_k(df: DataFrame, k: int, group: list[str], score: str, card: str = "card
 def reciprocal_rank_fusion(grid: DataFrame, group: list[str], card: str = "card_id", k: int = 60) -> DataFrame:
     d = scores.rank_within(group, F.col("dense").desc(), F.col(card).asc())
     lx = scores.rank_within(group, F.col("bm25").desc(), F.col(card).asc())
-    ranked = grid.withColumn("rd", d).withColumn("rl", lx)
+    return fused_ranks(grid.withColumn("rd", d).withColumn("rl", lx), k)
+
+
+def fused_ranks(ranked: DataFrame, k: int = 60) -> DataFrame:
+    """With rrf from the ranks rd and rl."""
     return ranked.withColumn("rrf", F.round(1.0 / (k + F.col("rd")) + 1.0 / (k + F.col("rl")), 9))
 
 

@@ -54,7 +54,7 @@ def bm25_scores(t: Tables) -> DataFrame:
 @query(f"with {roles.GRID} select country, item_id, card_id, dense, bm25 from graded")
 def region_cross_score(t: Tables) -> DataFrame:
     """Every question against every card of its region."""
-    return roles.dense_scores(t).join(roles.bm25_scores(t), [*KEYS, "card_id"])
+    return roles.cross_scores(t).select(*KEYS, "card_id", "dense", "bm25")
 
 
 @query(f"with {roles.GRID} select country, item_id, card_id, round(dn, 6) as dn, round(ln, 6) as ln from graded")
@@ -69,7 +69,7 @@ def hybrid_fusion(t: Tables) -> DataFrame:
 
 @query(f"with {roles.GRID} select country, item_id, max(dense) as max_dense, max(bm25) as max_bm25 from graded group by all")
 def max_score_per_query(t: Tables) -> DataFrame:
-    return roles.survivors(t, 1).groupBy(*KEYS).agg(F.max("max_dense").alias("max_dense"), F.max("max_bm25").alias("max_bm25"))
+    return roles.extremes(t).select(*KEYS, "max_dense", "max_bm25")
 
 
 @query(f"with {roles.GRID}, {roles.HYBRID}, {roles.TOP} select country, item_id, card_id, hybrid, place as rank from placed where place <= 3")
@@ -96,7 +96,8 @@ def retrieve_v1(t: Tables) -> DataFrame:
 
 @query(f"with {roles.GRID}, r as (select *, row_number() over (partition by country, item_id order by dense desc, card_id) as rd, row_number() over (partition by country, item_id order by bm25 desc, card_id) as rl from graded), s as (select *, round(1.0::double / (60 + rd) + 1.0::double / (60 + rl), 9) as rrf from r), p as (select *, row_number() over (partition by country, item_id order by rrf desc, card_id) as rank from s) select country, item_id, card_id, rrf, rank from p where rank <= 3")
 def rrf_fusion(t: Tables) -> DataFrame:
-    fused = retrieval.reciprocal_rank_fusion(roles.graded(t), KEYS)
+    """Only cards that can be on top are ranked; their ranks count all cards."""
+    fused = retrieval.fused_ranks(roles.ranked(t, 3))
     return retrieval.top_k(fused, 3, KEYS, "rrf").select(*KEYS, "card_id", "rrf", F.col("rank").cast("long").alias("rank"))
 
 
@@ -111,7 +112,7 @@ def fusion_sweep(t: Tables) -> DataFrame:
     """Hit rate of the top 3 per region and fusion weight: only cards that can be on top at some weight meet the weights."""
     fused = retrieval.hybrid(roles.survivors(t, 3).crossJoin(F.broadcast(_alphas(t))), F.col("alpha"))
     top = retrieval.top_k(fused, 3, ["pos", "alpha", *KEYS], "hybrid").select("pos", "alpha", *KEYS, "card_id")
-    hit = top.join(roles.gold_hits(t), [*KEYS, "card_id"], "left").groupBy("pos", "alpha", *KEYS).agg(F.max(F.when(F.col("gold"), 1.0).otherwise(0.0)).alias("hit"))
+    hit = roles.with_gold(t, top, 33).groupBy("pos", "alpha", *KEYS).agg(F.max(F.when(F.col("gold"), 1.0).otherwise(0.0)).alias("hit"))
     return hit.groupBy("pos", "alpha", "country").agg(F.round(F.avg("hit"), 6).alias("hit_rate"))
 
 
@@ -151,7 +152,8 @@ q as (select country, item_id, max(case when place = 1 and gold then 1 else 0 en
 
 @query(HIT_AT + " select country, count(*)::bigint as n, round(avg(h1::double), 6) as hit1, round(avg(h3::double), 6) as hit3 from q group by country")
 def answer_hit_at_k(t: Tables) -> DataFrame:
-    top = retrieval.top_k(retrieval.hybrid(roles.survivors(t, 3)), 3, KEYS, "hybrid").join(roles.gold_hits(t), [*KEYS, "card_id"], "left")
+    top = retrieval.top_k(retrieval.hybrid(roles.survivors(t, 3)), 3, KEYS, "hybrid")
+    top = roles.with_gold(t, top, 3)
     per = top.groupBy(*KEYS).agg(F.max(F.when((F.col("rank") == 1) & F.col("gold"), 1).otherwise(0)).alias("h1"), F.max(F.when(F.col("gold"), 1).otherwise(0)).alias("h3"))
     return per.groupBy("country").agg(F.count("*").alias("n"), F.round(F.avg("h1"), 6).alias("hit1"), F.round(F.avg("h3"), 6).alias("hit3"))
 

@@ -41,42 +41,92 @@ def gold_hits(t: Tables) -> DataFrame:
     return retrieval.mentions(cards(t), golds(t), ["country", "card_id"], "text_en", [2]).select("country", "item_id", "card_id").distinct().withColumn("gold", F.lit(True))
 
 
-def vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Questions and cards with their vectors. `embeddings` has the vec_ids 0 to its row count less one; items and cards are dealt over
-    all of them."""
+def held_texts(of: DataFrame) -> DataFrame:
+    """Cards (country, card_id, text_en), dealt."""
+    return retrieval.dealt(of.select("country", "card_id", "text_en").where("country is not null"), "country", "card_id")
+
+
+def with_texts(t: Tables, top: DataFrame, most: int, made: str, of) -> DataFrame:
+    """`top` (country, item_id, card_id, ..), `most` rows a question at most, with `made`, which `of` makes of a card's text. Only the texts
+    of these cards are taken apart, each once."""
+    names = [c for c in top.columns if c not in ("country", "card_id")]
+    few = top.groupBy("country", "card_id").agg(F.collect_list(F.struct(*names)).alias("__top"))
+    few = retrieval.small(few, of=questions(t).select("country", "item_id"), more=most * 128)
+    pairs = held_texts(cards(t)).join(few, ["country", "card_id"]).select("country", "card_id", of(F.col("text_en")).alias(made), "__top")
+    return pairs.select("country", "card_id", made, F.explode("__top").alias("__top")).select("country", "card_id", made, *[F.col(f"__top.{c}").alias(c) for c in names])
+
+
+def with_gold(t: Tables, top: DataFrame, most: int) -> DataFrame:
+    """`top` as for `with_texts`, with `gold`: whether the card mentions a gold of the item as whole words."""
+    own = golds(t).groupBy("item_id").agg(F.collect_list("gold").alias("golds"))
+    pairs = with_texts(t, top, most, "phrases", lambda x: text.phrases(x, 2)).join(own, "item_id", "left")
+    return pairs.withColumn("gold", F.coalesce(F.arrays_overlap("phrases", "golds"), F.lit(False))).drop("phrases", "golds")
+
+
+def vectors(t: Tables, asked: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`asked` (country, item_id) and `held` (country, card_id, text_en) with their vectors. `embeddings` has the vec_ids 0 to its row count
+    less one; items and cards are dealt over all of them."""
     n = max(1, t.embeddings.count())
     step = next(s for s in count(7) if gcd(s, n) == 1)  # a step that shares a factor with n would pass vectors by
     known = t.embeddings.select("vec_id", "embedding")
-    q = questions(t).select("country", "item_id", (F.col("item_id") % n).alias("vec_id")).join(known, "vec_id")
-    c = cards(t).select("country", "card_id", ((F.col("card_id") * step + 3) % n).alias("vec_id")).join(known, "vec_id")
+    q = asked.select("country", "item_id", (F.col("item_id") % n).alias("vec_id")).join(known, "vec_id").drop("vec_id")
+    c = held.withColumn("vec_id", (F.col("card_id") * step + 3) % n).join(known, "vec_id").drop("vec_id")
     return q, c
 
 
+class Sides:
+    """Questions and cards with vectors and terms (of some regions only), as blocks take them. A text is dealt once and read from there."""
+
+    def __init__(self, t: Tables, regions: tuple[str, ...] = (), vector: bool = True):
+        own = lambda df: df.where(F.col("country").isin(*regions)) if regions else df
+        self.asked, self.cards = own(questions(t)), own(cards(t))
+        held = held_texts(self.cards)
+        both = vectors(t, self.asked, held) if vector else (self.asked.select("country", "item_id"), held)
+        self.q, self.c = blocked.with_terms(held, self.asked, of=both)
+        self.rules = {"vector": "embedding" if vector else None, "of": (self.asked, self.cards)}
+
+    def scored(self, k: int) -> DataFrame:
+        return blocked.scored(self.q, self.c, k, **self.rules)
+
+    def grid(self) -> DataFrame:
+        return blocked.grid(self.q, self.c, **self.rules)
+
+
 def dense_scores(t: Tables) -> DataFrame:
     """Cosines of question and card vectors by an equi-join on the region."""
-    q, c = vectors(t)
+    q, c = vectors(t, questions(t), cards(t))
     return retrieval.dense(q, c, "country", "item_id", "card_id", "embedding", "embedding")
 
 
 def bm25_scores(t: Tables) -> DataFrame:
-    return retrieval.bm25(cards(t), questions(t))
+    return Sides(t, vector=False).grid().select("country", "item_id", "card_id", "bm25")
+
+
+def cross_scores(t: Tables) -> DataFrame:
+    return Sides(t).grid()
+
+
+def extremes(t: Tables) -> DataFrame:
+    return blocked.extremes(Sides(t).scored(0))
 
 
 def graded(t: Tables) -> DataFrame:
-    """The whole grid with dense, bm25 and their min-max forms."""
-    both = dense_scores(t).join(bm25_scores(t), ["country", "item_id", "card_id"])
-    return retrieval.normalised(both, ["country", "item_id"])
+    """The whole grid with dense, bm25 and their min-max forms. Blocks are scored twice, first for the extremes alone, so that no pair is shuffled."""
+    sides, keys = Sides(t), ["country", "item_id"]
+    ends = retrieval.small(blocked.extremes(sides.scored(0)), of=sides.asked.select(*keys), more=64)
+    return blocked.forms(sides.grid().join(ends, keys))
 
 
 def survivors(t: Tables, k: int, regions: tuple[str, ...] = ()) -> DataFrame:
     """What of the grid (of some regions only) can be among a question's best k at any fusion weight, with the min-max forms over all
     cards of the region."""
-    own = lambda df: df.where(F.col("country").isin(*regions)) if regions else df
-    asked, held = own(questions(t)), own(cards(t))
-    q, c = vectors(t)
-    qt, ct = blocked.with_terms(held, asked)
-    wide = blocked.scored(q.join(qt, ["country", "item_id"]), c.join(ct, ["country", "card_id"]), k, vector="embedding", of=(asked, held))
-    return blocked.graded(wide)
+    return blocked.graded(Sides(t, regions).scored(k))
+
+
+def ranked(t: Tables, k: int) -> DataFrame:
+    """Cards that can be among a question's best k by ranks, with their ranks rd and rl among all cards."""
+    sides = Sides(t)
+    return blocked.ranked(sides.q, sides.c, blocked.narrowed(sides.scored(k), k), **sides.rules)
 
 
 def candidates(t: Tables, alpha: float = 0.5, k: int = 20, regions: tuple[str, ...] = ()) -> DataFrame:
@@ -84,8 +134,7 @@ def candidates(t: Tables, alpha: float = 0.5, k: int = 20, regions: tuple[str, .
     group = ["country", "item_id"]
     top = retrieval.top_k(retrieval.hybrid(survivors(t, k, regions), alpha), k, group, "hybrid", out="place").select(*group, "card_id", "hybrid", "place")
     asked = t.benchmark.select("item_id", text.content_words(F.col("text")).alias("qw"))
-    words = cards(t).select("card_id", text.content_words(F.col("text_en")).alias("cw"))
-    pairs = top.join(asked, "item_id").join(words, "card_id")
+    pairs = with_texts(t, top, k, "cw", text.content_words).join(asked, "item_id")
     scored = pairs.withColumn("rerank", F.round(models.lexical_reranker(F.col("qw"), F.col("cw")), 6)).drop("qw", "cw")
     return scored.withColumn("rank", scores.rank_within(group, F.col("rerank").desc(), F.col("card_id").asc()))
 

@@ -133,3 +133,29 @@ def test_broadcasts_are_bounded_by_bytes(spark):
     assert bare == 32 + 3 * 16 + 8 * len("{}") and wide >= bare + 2 + 800 + 8 * len('{"k":"v"}')
     assert retrieval.fits(df, wide + bare) and not retrieval.fits(df, wide + bare - 1) and not retrieval.fits(df, wide + bare, more=1)
     assert retrieval.fits(df.limit(0), 0)
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_grid_of_blocks_is_the_whole_grid(spark, world, block):
+    q, c = joined(*world)
+    rows = lambda df: {(r.country, r.item_id, r.card_id): (r.dense, r.bm25) for r in df.select("country", "item_id", "card_id", "dense", "bm25").collect()}
+    met, every = rows(blocked.grid(q, c, vector="v", block=block)), rows(whole(*world))
+    assert set(met) == set(every) and all(np.allclose(met[k], every[k], atol=2e-6) for k in every)
+    ends = {(r.country, r.item_id): (r.d0, r.max_dense, r.l0, r.max_bm25) for r in blocked.extremes(blocked.scored(q, c, 0, vector="v", block=block)).collect()}
+    for key, found in ends.items():
+        own = np.array([v for (a, b, _), v in every.items() if (a, b) == key])
+        assert np.allclose(found, (*[f(own[:, 0]) for f in (np.min, np.max)], *[f(own[:, 1]) for f in (np.min, np.max)]), atol=2e-6)
+    alone = blocked.grid(*blocked.with_terms(*world), vector=None, block=block)
+    bm25 = {(r.country, r.item_id, r.card_id): r.bm25 for r in retrieval.bm25(*world).collect()}
+    assert {(r.country, r.item_id, r.card_id) for r in alone.collect()} == set(bm25)
+    assert "Window" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_ranks_of_chosen_cards_count_all_cards(spark, world, block):
+    q, c = joined(*world)
+    every = retrieval.reciprocal_rank_fusion(blocked.grid(q, c, vector="v"), ["country", "item_id"])
+    chosen = blocked.narrowed(blocked.scored(q, c, 3, vector="v", block=block), 3)
+    few = retrieval.fused_ranks(blocked.ranked(q, c, chosen, vector="v", block=block))
+    top = lambda df: sorted(map(tuple, retrieval.top_k(df, 3, ["country", "item_id"], "rrf").select("country", "item_id", "card_id", "rd", "rl", "rrf", "rank").collect()))
+    assert top(few) == top(every)
