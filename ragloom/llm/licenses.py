@@ -1,10 +1,11 @@
 """Licence scans: a trained paragraph classifier, in DataFrame, SQL and Spark ML functions only.
 
 A paragraph (a line of a text) becomes a sparse binary vector of its word uni- and bigrams. A multinomial logistic regression,
-fitted by Spark ML on the licence templates in many wordings and on a bounded sample of the corpus's own paragraphs, names
-its licence family or `none`. Its `unknown` class is calibrated: of the corpus sample, which mostly holds no licence, one half
-trains and the other sets the bar that a paragraph's probability of being any licence must reach, so that ordinary paragraphs
-stay under it. A family's prediction holds only with a probability of 0.5 and if a template of that family confirms it: at least `CONFIRM` of
+fitted by Spark ML on the licence templates in many wordings and on all paragraphs of the corpus, names its licence family or
+`none`. Features are the uni- and bigrams of the templates and of some other sentences with their words, so paragraphs that are alike in
+these are one weighted row and the fit has all of the corpus in few rows. The `unknown` class is calibrated: of these rows, which mostly hold no
+licence, one half trains and the other sets the bar that a paragraph's probability of being any licence must reach, so that `ORDINARY`
+of its paragraphs stay under it. A family's prediction holds only with a probability of 0.5 and if a template of that family confirms it: at least `CONFIRM` of
 a template's words stand in the paragraph. What reaches the bar but no family is `unknown`.
 
 Two more readings join a text's lines up to a blank line. A sentence that runs over a line break is classified like a paragraph, and
@@ -12,7 +13,7 @@ counts if only its lines together confirm a family. A block that holds at least
 text (`TEXTS`) is of that family, whatever its name. Unknown lines within either are not reported besides. The bodies of the GPL
 and CC BY texts are alike between their variants, so only their paragraphs with a name in them tell the family.
 
-The sample has about `SAMPLE` paragraphs, picked by a hash of the paragraph; classification covers every paragraph of every document.
+Nothing is sampled: counts, model and bar come from every paragraph of every document, and classification covers them all.
 
 Defined results: null and empty texts have no licence; repeated rows and doc_ids count as one document; empty tables give empty
 results (the model then has the templates and the fixed other sentences only); other columns are ignored.
@@ -31,7 +32,10 @@ from pyspark.sql import functions as F
 from . import common
 
 FEATURES = 1 << 13
-SAMPLE = 4_000
+#: What all paragraphs of the corpus weigh together in the fit at most; a template's wording weighs 1, a paragraph half of that at most.
+CORPUS_WEIGHT = 1_000.0
+#: Share of the held paragraphs that stays under the bar, but for a margin of 0.05.
+ORDINARY = 0.9995
 CONFIRM = 0.75
 WORD = r"[\p{L}\p{N}]+"
 NONE, UNKNOWN = "none", "unknown"
@@ -152,48 +156,70 @@ def units(docs: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "block", F.inline(F.concat(lines, F.coalesce(over, empty), F.coalesce(found, empty))))
 
 
-def featurise(rows: DataFrame) -> DataFrame:
-    """`rows` (..., paragraph) with `words` and the sparse vector `features`."""
+def vocabulary() -> list[str]:
+    """Uni- and bigrams of the templates and the other sentences."""
+    import re
+
+    grams = set()
+    for x in [*(f"{o} {n}." for names in NAMES.values() for n, o in product(names, OPENINGS)), *RESERVED, *OTHER]:
+        w = re.findall(r"[^\W_]+", x.lower())
+        grams |= {*w, *map(" ".join, zip(w, w[1:]))}
+    return sorted(grams)
+
+
+def with_grams(rows: DataFrame) -> DataFrame:
+    """`rows` (..., paragraph) with `words` and `grams`: the set of its grams in the vocabulary, sorted."""
     rows = rows.withColumn("words", words_of(F.col("paragraph")))
     rows = NGram(n=2, inputCol="words", outputCol="pairs").transform(rows)
-    rows = rows.withColumn("grams", F.concat("words", "pairs")).drop("pairs")
+    known = vocabulary()
+    found = F.filter(F.concat("words", "pairs"), lambda g: g.isin(known))
+    return rows.withColumn("grams", F.array_sort(F.array_distinct(found))).drop("pairs")
+
+
+def featurise(rows: DataFrame) -> DataFrame:
+    """`rows` (..., grams) with the sparse vector `features` in their place."""
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(rows).drop("grams")
 
 
+def corpus(docs: DataFrame) -> DataFrame:
+    """(grams, n, half) of all paragraphs without a licence's name or a piece of its text in them: how many have these grams."""
+    most = lambda x: F.element_at(F.transform(F.array(normalise(x)), lambda y: F.greatest(*[n for _, n, _ in text_shares(y)])), 1)
+    piece = F.when(F.col("paragraph").rlike(TEXT_CUE), most(F.col("paragraph")) >= 3).otherwise(F.lit(False))
+    rows = with_grams(paragraphs(docs).where(~piece)).groupBy("grams").agg(F.count("*").alias("n"))
+    rows = common.materialise(rows, "licence-grams")  # counted before the names are looked for, which costs more than a paragraph
+    sets = F.flatten(F.map_values(template_words()))
+    rows = rows.where(~F.exists(sets, lambda s: F.size(F.array_intersect(s, F.col("grams"))) >= F.lit(CONFIRM) * F.size(s)))
+    return rows.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), F.col("grams")), F.lit(2)))
+
+
 class Classifier:
     def __init__(self, model, families: list[str], bar: float):
         self.model, self.families, self.bar = model, families, bar
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
+def fit(docs: DataFrame) -> Classifier:
     spark = docs.sparkSession
     families = [NONE, *sorted([*NAMES, "proprietary"])]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
+    own = corpus(docs).cache()
+    total = own.where("half = 0").agg(F.sum("n")).first()[0] or 1
     known = templates(spark).withColumn("weight", F.lit(1.0))
-    n = docs.count()
-    picked = docs.where(common.unit_interval(F.xxhash64("doc_id")) < min(1.0, sample / max(1, n)))
-    # one paragraph of each picked document, by hash; paragraphs with a licence's name or a piece of its text in them are no examples of none
-    own = paragraphs(picked).groupBy("doc_id").agg(F.min_by("paragraph", F.xxhash64("paragraph", "place")).alias("paragraph"))
-    sets = F.flatten(F.map_values(template_words()))
-    own = own.withColumn("w", words_of(F.col("paragraph"))).where(
-        ~F.exists(sets, lambda s: F.size(F.array_intersect(s, F.col("w"))) >= F.lit(CONFIRM) * F.size(s))
-    )
-    most = F.transform(F.array(normalise(F.col("paragraph"))), lambda x: F.greatest(*[n for _, n, _ in text_shares(x)]))
-    own = own.where(F.element_at(most, 1) < 3)
-    own = own.select(F.lit(NONE).alias("family"), "paragraph", F.pmod(F.xxhash64(F.lit("half"), F.col("paragraph")), F.lit(2)).alias("half"))
     other = spark.createDataFrame([(NONE, x) for x in OTHER], "family string, paragraph string").withColumn("weight", F.lit(5.0))
-    train = known.unionByName(other).unionByName(own.where("half = 0").drop("half").withColumn("weight", F.lit(0.5)))
-    rows = featurise(train.withColumn("label", label)).select("label", "weight", "features").coalesce(1).cache()
+    fixed = with_grams(known.unionByName(other)).select("family", "grams", "weight")
+    train = fixed.unionByName(own.where("half = 0").select(F.lit(NONE).alias("family"), "grams", (F.col("n") * F.lit(min(0.5, CORPUS_WEIGHT / total))).alias("weight")))
+    rows = featurise(train.withColumn("label", label)).select("label", "weight", "features").repartition(common.partitions(spark)).cache()
     model = LogisticRegression(maxIter=60, regParam=0.0005, weightCol="weight", family="multinomial", standardization=False).fit(rows)
     rows.unpersist()
-    held = model.transform(featurise(own.where("half = 1"))).select((1 - vector_to_array("probability")[0]).alias("p"))
-    worst = held.agg(F.max("p")).first()[0]
-    return Classifier(model, families, max(0.5, min(0.9, (worst or 0.0) + 0.05)))
+    held = model.transform(featurise(own.where("half = 1"))).select("n", F.round(1 - vector_to_array("probability")[0], 4).alias("p"))
+    # at most 10,001 values of p, each with its count of paragraphs
+    bar = held.groupBy("p").agg(F.sum("n").alias("n")).agg(F.percentile("p", F.lit(ORDINARY), F.col("n"))).first()[0]
+    own.unpersist()
+    return Classifier(model, families, max(0.5, min(0.9, (bar or 0.0) + 0.05)))
 
 
 def classify(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """Paragraphs that speak of licences: doc_id, block, kind, place, paragraph, family (or unknown), probability."""
-    scored = classifier.model.transform(featurise(units(docs).withColumnRenamed("family", "held")))
+    scored = classifier.model.transform(featurise(with_grams(units(docs).withColumnRenamed("family", "held"))))
     names = F.array(*map(F.lit, classifier.families))
     scored = scored.select("doc_id", "block", "kind", "place", "paragraph", "held", "share", "words", vector_to_array("probability").alias("p"))
     scored = scored.where((F.col("kind") == "text") | (1 - F.col("p")[0] >= F.lit(classifier.bar)))
@@ -212,9 +238,9 @@ def classify(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return found.withColumn("wide", wide).where(F.col("family").isNotNull() & ~((F.col("kind") == "line") & (F.col("family") == UNKNOWN) & within)).drop("wide")
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licence (families of its paragraphs, sorted, comma-joined; `none`), n_paragraphs: every document once."""
-    found = classify(docs, fit(docs, sample)).groupBy("doc_id").agg(
+    found = classify(docs, fit(docs)).groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licence"), F.count_distinct("block", "kind", "place").alias("n_paragraphs")
     )
     ids = docs.select(F.col("doc_id").cast("long").alias("id")).distinct()

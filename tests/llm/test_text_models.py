@@ -184,6 +184,14 @@ def test_licence_families(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licence_fit_counts_every_paragraph(spark):
+    plain = [(i, f"the tea of the {'lake' if i % 3 else 'public'} is warm\nword{i} and more words\n\nReleased under the MIT License.") for i in range(5_000)]
+    docs = spark.createDataFrame([*plain, (9_000, "Released under the Zeta License."), (9_001, None)], "doc_id long, text string").repartition(7)
+    counted = licenses.corpus(docs).collect()
+    assert sum(r.n for r in counted) == 2 * 5_000 + 1 and len(counted) < 10
+    assert not hasattr(licenses, "SAMPLE")
+
+
 def test_licence_texts_and_wrapped_notices(spark):
     mit = 'Copyright (c) 2020 A. Writer\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.'
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
