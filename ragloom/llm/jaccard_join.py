@@ -538,6 +538,21 @@ def links_of(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The classes that some links make, as links of each member to the least one: chains would cost `components` rounds."""
+    over = {}
+
+    def top(x: int) -> int:
+        while over.setdefault(x, x) != x:
+            over[x] = x = over[over[x]]
+        return x
+
+    for a, b in links:
+        low, high = sorted((top(a), top(b)))
+        over[high] = low
+    return [(x, top(x)) for x in list(over) if top(x) != x]
+
+
 def _block_links(batches):
     """Rows sorted by (block, salt) to links of set_ids; a sub-block has SUB_BLOCK rows or so and its leader."""
     import pyarrow as pa
@@ -548,10 +563,10 @@ def _block_links(batches):
         ids = list(held)
         if len(ids) < 2:
             return None
-        pairs = links_of([np.frombuffer(held[i], dtype=np.uint64) for i in ids])
+        pairs = stars([(ids[a], ids[b]) for a, b in links_of([np.frombuffer(held[i], dtype=np.uint64) for i in ids])])
         if not pairs:
             return None
-        return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in pairs], pa.int64()), pa.array([ids[b] for _, b in pairs], pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
     for batch in batches:
         columns = [batch.column(k).to_pylist() for k in ("block", "salt", "set_id")]
@@ -678,7 +693,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     rows = members.join(sets.select("set_id", "shingles"), "set_id").select("block", "cell", "kind", "set_id", "root", "shingles")
     rows = rows.repartition(common.parts_for(spark, 2 * visits.count() * mean, BLOCK), "block", "cell").sortWithinPartitions("block", "cell", "kind")
     second = common.materialise(rows.mapInArrow(common.tidy(_visit_links), "a long, b long"), "links")
-    final = components(first.union(second)) if second.limit(1).count() else known
+    final = components(known.where("node <> root").selectExpr("node as a", "root as b").union(second)) if second.limit(1).count() else known  # the classes so far are stars
 
     own = slim.where("n > 0").groupBy("set_id").agg(F.min("id").alias("mine")).join(final.withColumnRenamed("node", "set_id"), "set_id", "left")
     own = own.selectExpr("set_id", "mine", "coalesce(root, set_id) as root")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from helpers import ROWS, clashing, documents, rows
 
-from ragloom.llm import fm_index, jaccard_join
+from ragloom.llm import common, fm_index, jaccard_join
 
 LOWER = str.maketrans({i: i + 32 for i in range(65, 91)})
 
@@ -84,6 +84,22 @@ def test_block_search_finds_every_class():
         assert 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i)
 
 
+def test_classes_of_a_block_leave_it_as_stars(spark, monkeypatch):
+    """A chain of links inside a block cost a round of labels, of five stages, for each doubling of its length."""
+    base = np.sort(np.random.default_rng(5).integers(0, 2**63, 400).astype(np.uint64))
+    sets = [np.sort(base[i * 10 : i * 10 + 200]) for i in range(20)]  # each reaches the next one only
+    ids = np.random.default_rng(6).permutation(20).tolist()
+    data = [(7, 0, i, s.tobytes()) for i, s in zip(ids, sets)]
+    df = spark.createDataFrame(data, "block long, salt long, set_id long, shingles binary").coalesce(1).sortWithinPartitions("block", "salt")
+    links = common.materialise(df.mapInArrow(jaccard_join._block_links, "a long, b long"), "links")
+    assert sorted((r.a, r.b) for r in links.collect()) == [(i, 0) for i in range(1, 20)]
+    rounds, write = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name: rounds.append(name) or write(df, name))
+    known = jaccard_join.components(links.union(spark.createDataFrame([(30, 31), (19, 31)], "a long, b long")))
+    assert sorted((r.node, r.root) for r in known.collect()) == [(i, 0) for i in [*range(20), 30, 31]]
+    assert rounds.count("labels") <= 4
+
+
 def test_keep_one(spark):
     kept = jaccard_join.keep_one(clashing(documents(spark)))
     assert sorted(r.doc_id for r in kept.select("doc_id").where("doc_id is not null").collect()) == [1, 4, 5, 6, 7, 9, 11, 12, 14, 15]
