@@ -77,24 +77,54 @@ def lengths(tf: DataFrame, part: str) -> DataFrame:
     return tf.where("term = ''").groupBy(part).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
-def card_lengths(cards: DataFrame, part: str = "country", body: str = "text_en") -> DataFrame:
-    """As `lengths`, from the cards themselves and without a row per term."""
-    dl = cards.select(part, F.size(text.index_tokens(F.col(body))).cast("long").alias("dl"))
-    return dl.groupBy(part).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+def term_counts(cards: DataFrame, part: str = "country", body: str = "text_en") -> DataFrame:
+    """(part, term, n): how many cards of a part have a term, for all terms. A card also counts under its number of tokens behind a blank,
+    which no token has, so that a text is taken apart once for frequencies and lengths."""
 
+    def kinds(w: Column) -> Column:
+        return F.concat(F.array_distinct(w), F.array(F.concat(F.lit(" "), F.size(w).cast("string"))))
 
-def document_frequencies(cards: DataFrame, part: str = "country", body: str = "text_en") -> DataFrame:
-    """(part, term, df) of all terms; a card sends each of its terms once, and they are counted before they move."""
-    terms = cards.select(part, F.explode(F.array_distinct(text.index_tokens(F.col(body)))).alias("term"))
-    return terms.where(F.col(part).isNotNull() & F.col("term").isNotNull()).groupBy(part, "term").agg(F.count("*").alias("df"))
+    terms = F.transform(F.array(text.index_tokens(F.col(body))), kinds)[0]  # the outer array binds the tokens, so that they are made once
+    rows = cards.where(F.col(part).isNotNull()).select(part, F.explode(terms).alias("term"))
+    return rows.where("term is not null").groupBy(part, "term").agg(F.count("*").alias("n"))
+
+
+def corpora(counts: DataFrame, part: str = "country") -> DataFrame:
+    """(part, n_cards, avgdl, mean) from `term_counts`: cards, their average length and the mean idf of the distinct terms. Terms are summed
+    up by frequency, so that the counts are read once for all of these."""
+    length = F.when(F.startswith("term", F.lit(" ")), F.col("term").substr(2, 20).cast("long"))
+    few = counts.groupBy(part, length.alias("length"), "n").agg(F.count("*").alias("terms"))
+    card, term = F.col("length").isNotNull(), F.col("length").isNull()
+    made = few.groupBy(part).agg(
+        F.sum(F.when(card, F.col("n"))).alias("n_cards"), F.sum(F.col("length") * F.col("n")).alias("tokens"), F.array_sort(F.collect_list(F.when(term, F.struct("n", "terms")))).alias("by_df"),
+    )
+    total = F.aggregate("by_df", F.lit(0.0), lambda s, x: s + x["terms"] * raw_idf(F.col("n_cards"), x["n"]))
+    terms = F.aggregate("by_df", F.lit(0).cast("long"), lambda s, x: s + x["terms"])
+    return made.select(part, "n_cards", (F.col("tokens") / F.col("n_cards")).alias("avgdl"), F.when(F.size("by_df") > 0, total / terms).alias("mean"))
+
+
+def raw_idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def asked_terms(questions: DataFrame, part: str, question: str, ask: str) -> DataFrame:
+    return questions.select(part, question, F.explode(text.index_tokens(F.col(ask))).alias("term")).groupBy(part, question, "term").agg(F.count("*").alias("times"))
+
+
+def counted_weights(counts: DataFrame, questions: DataFrame, part: str, question: str, ask: str, floor: float) -> DataFrame:
+    """As `term_weights`, from `term_counts`."""
+    stats = small(corpora(counts, part), of=questions.select(part).distinct(), more=64)
+    met = asked_terms(questions, part, question, ask).join(counts, [part, "term"]).join(stats, part).withColumn("raw", raw_idf(F.col("n_cards"), F.col("n")))
+    idf = F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw"))
+    return met.select(part, question, "term", (F.col("times") * idf).alias("w"), "avgdl")
 
 
 def term_weights(frequencies: DataFrame, sizes: DataFrame, questions: DataFrame, part: str, question: str, ask: str, floor: float) -> DataFrame:
     """The questions' terms as (part, question, term, w, avgdl), w being idf times the repeats in the question."""
     terms = frequencies.join(sizes, part)
-    terms = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    terms = terms.withColumn("raw", raw_idf(F.col("n"), F.col("df")))
     mean = terms.groupBy(part).agg(F.avg("raw").alias("mean"))
-    asked = questions.select(part, question, F.explode(text.index_tokens(F.col(ask))).alias("term")).groupBy(part, question, "term").agg(F.count("*").alias("times"))
+    asked = asked_terms(questions, part, question, ask)
     idf = F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw"))
     return asked.join(terms, [part, "term"]).join(mean, part).select(part, question, "term", (F.col("times") * idf).alias("w"), "avgdl")
 

@@ -52,7 +52,8 @@ def with_texts(t: Tables, top: DataFrame, most: int, made: str, of) -> DataFrame
     names = [c for c in top.columns if c not in ("country", "card_id")]
     few = top.groupBy("country", "card_id").agg(F.collect_list(F.struct(*names)).alias("__top"))
     few = retrieval.small(few, of=questions(t).select("country", "item_id"), more=most * 128)
-    pairs = held_texts(cards(t)).join(few, ["country", "card_id"]).select("country", "card_id", of(F.col("text_en")).alias(made), "__top")
+    held = retrieval.dealt(cards(t).select("country", "card_id", "text_en").join(few, ["country", "card_id"]), "country", "card_id")
+    pairs = held.select("country", "card_id", of(F.col("text_en")).alias(made), "__top")
     return pairs.select("country", "card_id", made, F.explode("__top").alias("__top")).select("country", "card_id", made, *[F.col(f"__top.{c}").alias(c) for c in names])
 
 
@@ -85,8 +86,8 @@ class Sides:
         self.q, self.c = blocked.with_terms(held, self.asked, of=both)
         self.rules = {"vector": "embedding" if vector else None, "of": (self.asked, self.cards)}
 
-    def scored(self, k: int) -> DataFrame:
-        return blocked.scored(self.q, self.c, k, **self.rules)
+    def scored(self, k: int, fused: bool = False) -> DataFrame:
+        return blocked.scored(self.q, self.c, k, fused=fused, **self.rules)
 
     def grid(self) -> DataFrame:
         return blocked.grid(self.q, self.c, **self.rules)
@@ -120,7 +121,7 @@ def graded(t: Tables) -> DataFrame:
 def survivors(t: Tables, k: int, regions: tuple[str, ...] = ()) -> DataFrame:
     """What of the grid (of some regions only) can be among a question's best k at any fusion weight, with the min-max forms over all
     cards of the region."""
-    return blocked.graded(Sides(t, regions).scored(k))
+    return blocked.graded(Sides(t, regions).scored(k, fused=True))
 
 
 def ranked(t: Tables, k: int) -> DataFrame:

@@ -159,3 +159,47 @@ def test_ranks_of_chosen_cards_count_all_cards(spark, world, block):
     few = retrieval.fused_ranks(blocked.ranked(q, c, chosen, vector="v", block=block))
     top = lambda df: sorted(map(tuple, retrieval.top_k(df, 3, ["country", "item_id"], "rrf").select("country", "item_id", "card_id", "rd", "rl", "rrf", "rank").collect()))
     assert top(few) == top(every)
+
+
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_what_is_left_out_is_never_on_top_whatever_the_ids(k):
+    """Better cards come last, where the skyband, which counts smaller ids only, keeps all."""
+    rng = np.random.default_rng(k)
+    gap = blocked.APART
+    for n in (0, 1, k, k + 1, 700):
+        for a, b in ((np.arange(n) / 1e3, np.arange(n) / 70), (np.round(rng.random(n), 6), np.round(10 * rng.random(n), 6)), (np.zeros(n), np.arange(n) / 1e6), (rng.integers(0, 4, n) * 1e-6, rng.integers(0, 4, n) * 1e-6)):
+            left = blocked.hopeful(a, b, k, gap * 2, gap * 11)
+            assert left.tolist() == sorted(set(left.tolist()))
+            for w in ALPHAS:
+                fused = np.round(w * a / 2 + (1 - w) * b / 11, 6)
+                assert set(sorted(range(n), key=lambda i: (-fused[i], i))[:k]) <= set(left.tolist())
+    rising = np.arange(2000) / 2000
+    assert len(blocked.skyband(rising, rising, k)) == 2000 and len(blocked.hopeful(rising, rising, k, gap, gap)) <= 16 * (k + 1)
+
+
+@pytest.mark.parametrize("block", [64, 2048])
+def test_fused_scores_need_fewer_rows_for_the_same_top(spark, world, block):
+    q, c = joined(*world)
+    tops, rows = [], []
+    for fused in (False, True):
+        graded = blocked.graded(blocked.scored(q, c, 2, vector="v", block=block, fused=fused)).cache()
+        rows.append(graded.count())
+        tops.append([sorted(map(tuple, retrieval.top_k(retrieval.hybrid(graded, w), 2, ["country", "item_id"], "hybrid").drop("dn", "ln").collect())) for w in ALPHAS])
+    assert tops[0] == tops[1] and rows[1] < rows[0]
+
+
+def test_one_pass_counts_terms_and_lengths(spark, world):
+    cards, _ = world
+    odd = spark.createDataFrame([(None, 900, "w1 w2", None), ("bare", 901, None, None), ("bare", 902, "the of", None)], cards.schema)
+    cards = cards.unionByName(odd)
+    found = {r.country: r for r in retrieval.corpora(retrieval.term_counts(cards)).collect()}
+    own = {}
+    for r in cards.collect():
+        if r.country is not None:
+            own.setdefault(r.country, []).append([w for w in (r.text_en or "").split() if w not in ("the", "of")])
+    assert set(found) == set(own) == {"hot", "cold", "bare"}
+    for part, lists in own.items():
+        n, dfs = len(lists), [sum(w in x for x in lists) for w in {w for x in lists for w in x}]
+        raws = [np.log(n - d + 0.5) - np.log(d + 0.5) for d in dfs]
+        assert found[part].n_cards == n and found[part].avgdl == pytest.approx(sum(map(len, lists)) / n)
+        assert found[part].mean == (pytest.approx(np.mean(raws)) if raws else None)
