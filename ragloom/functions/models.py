@@ -163,6 +163,7 @@ def echo_generator(words: int = 5) -> Factory:
 
 def lexical_reranker(query_words: F.Column, card_words: F.Column) -> F.Column:
     """Stand-in reranker: Jaccard similarity of two sets of content words. The sets are made once per question and per card,
-    and joined to the pairs."""
-    union = F.size(F.array_union(query_words, card_words))
-    return F.when(union > 0, F.size(F.array_intersect(query_words, card_words)) / union.cast("double")).otherwise(F.lit(0.0))
+    and joined to the pairs. Only the question's words are hashed for a pair, and no union is made: its size follows from the others."""
+    common = F.size(F.array_intersect(card_words, query_words))
+    union = F.size(query_words) + F.size(card_words) - common
+    return F.when(union > 0, common / union.cast("double")).otherwise(F.lit(0.0))

@@ -40,6 +40,26 @@ def index_tokens(text: Column, stop: Iterable[str] = INDEX_STOP_WORDS) -> Column
     return without(tokens(text), stop)
 
 
+def split_terms(lowered, stop: Iterable[str] = INDEX_STOP_WORDS):
+    """`index_tokens` of an Arrow array of lower-cased texts, for use within tasks: all tokens in order, and the row of each."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    blanks = np.array([i if i > 127 or chr(i).isalnum() or i == ord("_") else 32 for i in range(256)], "uint8")
+    valid, offsets, data = lowered.buffers()
+    plain = pa.py_buffer(blanks[np.frombuffer(data or b"", "uint8")])
+    texts = pa.Array.from_buffers(lowered.type, len(lowered), [valid, offsets, plain], lowered.null_count, lowered.offset)
+    other = r"[^\x00-\x7F\p{L}\p{N}]"
+    odd = pc.fill_null(pc.match_substring_regex(texts, other), False)
+    texts = pc.replace_with_mask(texts, odd, pc.replace_substring_regex(texts.filter(odd), other, " "))
+    lists = pc.split_pattern(texts, " ")
+    own = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    words = lists.flatten()
+    keep = pc.invert(pc.is_in(words, value_set=pa.array(["", *stop], words.type)))
+    return words.filter(keep), own[keep.to_numpy(zero_copy_only=False)]
+
+
 def content_words(text: Column, stop: Iterable[str] = CONTENT_STOP_WORDS) -> Column:
     """The set of words of three letters or more that aren't stop words."""
     drop = list(stop)

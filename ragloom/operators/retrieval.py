@@ -18,6 +18,8 @@ DIGITS = 6
 BROADCAST_BYTES = 64 << 20
 #: Parts of a key's cards for each of a shuffle's partitions: as many as that, since a hash that puts parts into partitions is uneven.
 SALTS = 8
+#: Cards of a part whose terms are counted together, on average.
+COUNTED = 4096
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
@@ -77,16 +79,51 @@ def lengths(tf: DataFrame, part: str) -> DataFrame:
     return tf.where("term = ''").groupBy(part).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
-def term_counts(cards: DataFrame, part: str = "country", body: str = "text_en") -> DataFrame:
-    """(part, term, n): how many cards of a part have a term, for all terms. A card also counts under its number of tokens behind a blank,
-    which no token has, so that a text is taken apart once for frequencies and lengths."""
+def asked_by_row(df: DataFrame, keys: list[str], body: str) -> DataFrame:
+    """(keys, term): every index token of a text in a row, taken apart as the cards' are (`text.split_terms`)."""
+    given = df.select(*keys, F.lower(F.coalesce(F.col(body), F.lit(""))).alias("term"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            words, own = text.split_terms(b.column(len(keys)))
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(own)) for i in range(len(keys))], words], [*keys, "term"])
 
-    def kinds(w: Column) -> Column:
-        return F.concat(F.array_distinct(w), F.array(F.concat(F.lit(" "), F.size(w).cast("string"))))
+    return given.mapInArrow(run, given.schema)
 
-    terms = F.transform(F.array(text.index_tokens(F.col(body))), kinds)[0]  # the outer array binds the tokens, so that they are made once
-    rows = cards.where(F.col(part).isNotNull()).select(part, F.explode(terms).alias("term"))
-    return rows.where("term is not null").groupBy(part, "term").agg(F.count("*").alias("n"))
+
+def term_counts(cards: DataFrame, part: str = "country", body: str = "text_en", card: str = "card_id", block: int = COUNTED) -> DataFrame:
+    """(part, term, n): how many cards of a part have a term, for all terms. A card also counts under its number of tokens behind a blank,
+    which no token has, so that a text is taken apart once for frequencies and lengths. Cards of a part are dealt into blocks of about
+    `block` rows, whose terms are counted before anything is sent on: a term is one row a block and not one a card."""
+    rows = cards.where(F.col(part).isNotNull()).select(part, card, F.lower(F.coalesce(F.col(body), F.lit(""))).alias("term"))
+    sizes = small(cards.where(F.col(part).isNotNull()).groupBy(part).agg(F.ceil(F.count("*") / block).alias("__n")))
+    rows = rows.join(sizes, part).withColumn("__block", F.pmod(F.xxhash64(card), F.col("__n")))
+    # no nulls, so that no reader adds a filter of its own: all share one exchange, and texts are read once
+    out = T.StructType([T.StructField(part, cards.schema[part].dataType, False), T.StructField("term", T.StringType(), False), T.StructField("n", T.LongType(), False)])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            parts, (words, own) = b.column(0).dictionary_encode(), text.split_terms(b.column(1))
+            of = parts.indices.to_numpy().astype("int64")
+            terms, lengths = words.dictionary_encode(), np.bincount(own, minlength=len(b))
+            held = np.sort(own * len(terms.dictionary) + terms.indices.to_numpy())
+            held = held[np.flatnonzero(np.diff(held, prepend=-1))]  # a card's term once
+            card, term = np.divmod(held, max(1, len(terms.dictionary)))
+            for kinds, keys, every in ((terms.dictionary, of[card], term), (None, of, lengths)):
+                span = int(every.max(initial=0)) + 1
+                found, n = np.unique(keys * span + every, return_counts=True)
+                at, kind = np.divmod(found, span)
+                names = kinds.take(pa.array(kind)) if kinds is not None else pc.binary_join_element_wise("", pa.array(kind).cast("string"), " ")
+                yield pa.RecordBatch.from_arrays([parts.dictionary.take(pa.array(at)), names, pa.array(n.astype("int64"))], out.names)
+
+    counted = dealt(rows, part, "__block").select(part, "term").mapInArrow(run, out)
+    return counted.groupBy(part, "term").agg(F.sum("n").alias("n"))
 
 
 def corpora(counts: DataFrame, part: str = "country") -> DataFrame:
@@ -114,7 +151,8 @@ def asked_terms(questions: DataFrame, part: str, question: str, ask: str) -> Dat
 def counted_weights(counts: DataFrame, questions: DataFrame, part: str, question: str, ask: str, floor: float) -> DataFrame:
     """As `term_weights`, from `term_counts`."""
     stats = small(corpora(counts, part), of=questions.select(part).distinct(), more=64)
-    met = asked_terms(questions, part, question, ask).join(counts, [part, "term"]).join(stats, part).withColumn("raw", raw_idf(F.col("n_cards"), F.col("n")))
+    asked = asked_by_row(questions, [part, question], ask).groupBy(part, question, "term").agg(F.count("*").alias("times"))
+    met = asked.join(counts, [part, "term"]).join(stats, part).withColumn("raw", raw_idf(F.col("n_cards"), F.col("n")))
     idf = F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw"))
     return met.select(part, question, "term", (F.col("times") * idf).alias("w"), "avgdl")
 

@@ -41,11 +41,6 @@ def gold_hits(t: Tables) -> DataFrame:
     return retrieval.mentions(cards(t), golds(t), ["country", "card_id"], "text_en", [2]).select("country", "item_id", "card_id").distinct().withColumn("gold", F.lit(True))
 
 
-def held_texts(of: DataFrame) -> DataFrame:
-    """Cards (country, card_id, text_en), dealt."""
-    return retrieval.dealt(of.select("country", "card_id", "text_en").where("country is not null"), "country", "card_id")
-
-
 def with_texts(t: Tables, top: DataFrame, most: int, made: str, of) -> DataFrame:
     """`top` (country, item_id, card_id, ..), `most` rows a question at most, with `made`, which `of` makes of a card's text. Only the texts
     of these cards are taken apart, each once."""
@@ -76,12 +71,12 @@ def vectors(t: Tables, asked: DataFrame, held: DataFrame) -> tuple[DataFrame, Da
 
 
 class Sides:
-    """Questions and cards with vectors and terms (of some regions only), as blocks take them. A text is dealt once and read from there."""
+    """Questions and cards with vectors and terms (of some regions only), as blocks take them. Texts are taken apart in the blocks."""
 
     def __init__(self, t: Tables, regions: tuple[str, ...] = (), vector: bool = True):
         own = lambda df: df.where(F.col("country").isin(*regions)) if regions else df
         self.asked, self.cards = own(questions(t)), own(cards(t))
-        held = held_texts(self.cards)
+        held = self.cards.select("country", "card_id", "text_en").where("country is not null")
         both = vectors(t, self.asked, held) if vector else (self.asked.select("country", "item_id"), held)
         self.q, self.c = blocked.with_terms(held, self.asked, of=both)
         self.rules = {"vector": "embedding" if vector else None, "of": (self.asked, self.cards)}
